@@ -1,0 +1,28 @@
+"""Keys too large for one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .durable import materialise
+
+
+def split_hot_groups(frame: DataFrame, key: str, order: str, *, rows_per_part: int) -> DataFrame:
+    """Add ``part_no`` so that no (key, part_no) group exceeds ``rows_per_part`` rows.
+
+    Keys up to that size get part 0. Larger ones are cut along ``order``, a unique
+    long, into ranges; ascending part numbers keep the order. Every row is kept.
+    ``hot_rows`` and ``hot_first`` carry the size and first row of a cut key and are
+    null for the others.
+    """
+    sizes = frame.groupBy(key).agg(
+        F.count(F.lit(1)).alias("hot_rows"), F.min(order).alias("hot_first")
+    )
+    # One row per hot key: at most (all rows / rows_per_part) of them.
+    hot = materialise(sizes.where(F.col("hot_rows") > rows_per_part), "hot-keys")
+    marked = frame.join(hot, key, "left")
+    place = F.floor(F.col(order) / rows_per_part)
+    return marked.withColumn(
+        "part_no", F.when(F.col("hot_rows").isNotNull(), place).otherwise(F.lit(0)).cast("long")
+    )
