@@ -6,7 +6,9 @@ type through the plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .parsing import strip
@@ -91,9 +93,8 @@ def json_kind(json: Column) -> Column:
 
 def json_plain(json: Column) -> Column:
     """A JSON value as plain text: strings lose their quotes."""
-    return F.coalesce(
-        F.get_json_object(F.concat(F.lit('{"v":'), json, F.lit("}")), "$.v"), json
-    )
+    unquoted = F.get_json_object(F.concat(F.lit('{"v":'), json, F.lit("}")), "$.v")
+    return F.when(json_kind(json) == "string", unquoted).otherwise(json)
 
 
 def json_items(json: Column) -> Column:
@@ -113,12 +114,39 @@ def json_integer(json: Column) -> Column:
     )
 
 
-def typed_answer(json: Column, answer_type: Column) -> Column:
+class Answer(NamedTuple):
+    """The readings of an answer that comparisons are made of."""
+
+    kind: Column
+    plain: Column
+    integer: Column
+    items: Column
+
+
+def read_answer(json: Column) -> Answer:
+    return Answer(json_kind(json), json_plain(json), json_integer(json), answer_items(json))
+
+
+def with_answer(frame: DataFrame, response: Column) -> tuple[DataFrame, Answer]:
+    """Add the answer in ``response`` to a frame and give its readings.
+
+    The steps are columns of their own (``answer_json`` and one per reading), so that
+    an expression built from them does not search the text again for each use.
+    """
+    frame = frame.withColumn("found_json", extract_json(response)).withColumn(
+        "answer_json", unwrap_answer(F.col("found_json"))
+    )
+    readings = read_answer(F.col("answer_json"))._asdict()
+    frame = frame.withColumns({f"answer_{name}": column for name, column in readings.items()})
+    return frame, Answer(*(F.col(f"answer_{name}") for name in readings))
+
+
+def typed_answer(answer: Answer, answer_type: Column) -> Column:
     """The answer in the shape its question asks for."""
     return F.struct(
-        F.when(answer_type == "integer", json_integer(json)).alias("integer"),
-        F.when(answer_type == "string_match", json_plain(json)).alias("text"),
-        F.when(answer_type == "list", json_items(json)).alias("items"),
+        F.when(answer_type == "integer", answer.integer).alias("integer"),
+        F.when(answer_type == "string_match", answer.plain).alias("text"),
+        F.when((answer_type == "list") & (answer.kind == "list"), answer.items).alias("items"),
     )
 
 
@@ -131,16 +159,16 @@ def _verdict(correct: Column, reason: Column, answer: Column, difference: Column
     )
 
 
-def compare_integer(json: Column, expected: Column, tolerance: Column) -> Column:
+def compare_integer(found: Answer, expected: Column, tolerance: Column) -> Column:
     """Verdict for a number within a tolerance."""
-    value = json_integer(json)
+    value = found.integer
     difference = F.abs(value - expected)
     tolerance = F.coalesce(tolerance, F.lit(0))
-    unread = F.when(json_kind(json) == "string", "Could not extract integer from: ").otherwise(
+    unread = F.when(found.kind == "string", "Could not extract integer from: ").otherwise(
         "Could not convert to integer: "
     )
     reason = (
-        F.when(value.isNull(), F.concat(unread, json_plain(json)))
+        F.when(value.isNull(), F.concat(unread, found.plain))
         .when(
             difference <= tolerance,
             F.concat(F.lit("Correct (within tolerance ±"), tolerance.cast("string"), F.lit(")")),
@@ -157,16 +185,16 @@ def compare_integer(json: Column, expected: Column, tolerance: Column) -> Column
             )
         )
     )
-    answer = F.coalesce(value.cast("string"), json_plain(json))
+    answer = F.coalesce(value.cast("string"), found.plain)
     return _verdict(difference <= tolerance, reason, answer, difference)
 
 
-def compare_string(json: Column, expected: Column, case_sensitive: Column) -> Column:
+def compare_string(found: Answer, expected: Column, case_sensitive: Column) -> Column:
     """Verdict for a text that contains, or is contained in, an expected one.
 
     An empty answer is contained in any text.
     """
-    plain = strip(json_plain(json))
+    plain = strip(found.plain)
     exact = F.coalesce(case_sensitive, F.lit(False))
     folded = F.when(exact, plain).otherwise(F.lower(plain))
     wanted = F.when(exact, expected).otherwise(F.transform(expected, F.lower))
@@ -205,9 +233,9 @@ def _listed(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
-def compare_list(json: Column, expected: Column, order_matters: Column) -> Column:
+def compare_list(found: Answer, expected: Column, order_matters: Column) -> Column:
     """Verdict for a list, as a set unless the order matters."""
-    items = answer_items(json)
+    items = found.items
     wanted = F.transform(expected, strip)
     ordered = F.coalesce(order_matters, F.lit(False))
     missing, extra = missing_items(items, expected), extra_items(items, expected)
@@ -219,7 +247,7 @@ def compare_list(json: Column, expected: Column, order_matters: Column) -> Colum
         F.when(F.size(extra) > 0, F.concat(F.lit("extra: "), _listed(extra))),
     )
     reason = (
-        F.when(items.isNull(), F.concat(F.lit("Answer is not a list: "), json_kind(json)))
+        F.when(items.isNull(), F.concat(F.lit("Answer is not a list: "), found.kind))
         .when(ordered & correct, "Correct (exact order match)")
         .when(
             ordered,
@@ -230,28 +258,28 @@ def compare_list(json: Column, expected: Column, order_matters: Column) -> Colum
         .when(correct, "Correct (all items present, order ignored)")
         .otherwise(F.concat(F.lit("Incorrect: "), parts))
     )
-    answer = F.coalesce(_listed(items), json_plain(json))
+    answer = F.coalesce(_listed(items), found.plain)
     return _verdict(correct, reason, answer, F.lit(None))
 
 
-def compare(json: Column, spec: dict[str, Column]) -> Column:
+def compare(found: Answer, spec: dict[str, Column]) -> Column:
     """Verdict by the question's ``answer_type``; ``spec`` names the columns of a question."""
     kind = spec["answer_type"]
     unknown = _verdict(
         F.lit(False),
         F.concat(F.lit("Unknown answer type: "), F.coalesce(kind, F.lit("None"))),
-        json_plain(json),
+        found.plain,
         F.lit(None),
     )
     return (
         F.when(
-            kind == "integer", compare_integer(json, spec["expected_int"], spec["tolerance"])
+            kind == "integer", compare_integer(found, spec["expected_int"], spec["tolerance"])
         )
         .when(
             kind == "string_match",
-            compare_string(json, spec["expected_list"], spec["case_sensitive"]),
+            compare_string(found, spec["expected_list"], spec["case_sensitive"]),
         )
-        .when(kind == "list", compare_list(json, spec["expected_list"], spec["order_matters"]))
+        .when(kind == "list", compare_list(found, spec["expected_list"], spec["order_matters"]))
         .otherwise(unknown)
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.answers import compare, extract_json, unwrap_answer
+from ..functions.answers import compare, with_answer
 from ..functions.text import round_half_even
 
 SPEC_COLUMNS = (
@@ -52,12 +52,10 @@ def score_answers(responses: DataFrame, questions: DataFrame) -> DataFrame:
     response without any value in it becomes an error row.
     """
     joined = responses.join(questions.withColumnRenamed("id", "question_id"), "question_id")
-    found = joined.withColumn("_json", extract_json(F.col("response"))).withColumn(
-        "_answer", unwrap_answer(F.col("_json"))
-    )
-    verdict = compare(F.col("_answer"), {name: F.col(name) for name in SPEC_COLUMNS})
-    scored = found.withColumn("_verdict", verdict)
-    failed = F.col("_json").isNull()
+    read, answer = with_answer(joined, F.col("response"))
+    verdict = compare(answer, {name: F.col(name) for name in SPEC_COLUMNS})
+    scored = read.withColumn("_verdict", verdict)
+    failed = F.col("found_json").isNull()
     # Fixed value: the wording of the error.
     error = F.concat(
         F.lit("Could not extract valid JSON from response: "),
@@ -87,7 +85,7 @@ def score_answers(responses: DataFrame, questions: DataFrame) -> DataFrame:
     def column(name: str) -> Column:
         if name in values:
             return values[name].alias(name)
-        if name in scored.columns:
+        if name in joined.columns:
             return F.col(name)
         return F.lit(None).cast(types[name]).alias(name)
 

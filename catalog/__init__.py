@@ -31,7 +31,7 @@ def register(name: str, run: Callable[[Tables], DataFrame], sql: str | None = No
 
 
 def load() -> dict[str, Entry]:
-    from . import counts, ingest, sessions  # noqa: F401
+    from . import answers, counts, ingest, results, sessions  # noqa: F401
 
     return CATALOG
 
