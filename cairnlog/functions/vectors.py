@@ -14,7 +14,11 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector scaled to length 1; a zero vector stays zero."""
-    length = F.sqrt(dot(vector, vector))
-    return F.transform(
-        vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0))
+    # The length is repeated as an array so that it is computed once per row; inside
+    # the lambda it would be computed again for every element.
+    lengths = F.array_repeat(F.sqrt(dot(vector, vector)), F.size(vector))
+    return F.zip_with(
+        vector,
+        lengths,
+        lambda x, length: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)),
     )

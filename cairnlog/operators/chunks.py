@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,8 +98,10 @@ def first_chunks(chunks: DataFrame, n: int) -> DataFrame:
 def _hashed_terms(chunks: DataFrame, text: str, dim: int) -> DataFrame:
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+").transform(chunks)
     counted = HashingTF(inputCol="_words", outputCol="_terms", numFeatures=dim).transform(words)
-    vector = unit(vector_to_array("_terms")).cast("array<float>")
-    return counted.withColumn("vec", vector).drop("_words", "_terms")
+    scaled = Normalizer(inputCol="_terms", outputCol="_unit", p=2.0).transform(counted)
+    return scaled.withColumn("vec", vector_to_array("_unit", "float32")).drop(
+        "_words", "_terms", "_unit"
+    )
 
 
 def embed_chunks(
@@ -170,26 +172,28 @@ def search_similar(
 
     ``query`` is the vector or a frame of one row and column that holds it.
     """
-    if isinstance(query, DataFrame):
-        vector = query.scalar()
-    else:
-        vector = F.array(*(F.lit(float(x)) for x in query))
-    return _nearest(corpus, dot(F.col(column), vector), top_k, min_similarity, key)
+    vector = query.head()[0] if isinstance(query, DataFrame) else query
+    return _nearest(corpus, dot(F.col(column), _constant(vector)), top_k, min_similarity, key)
+
+
+def _constant(vector: Sequence[float]) -> Column:
+    return F.array(*(F.lit(float(x)) for x in vector))
 
 
-def _check_index(corpus: DataFrame, index: int, key: str) -> None:
-    if index < 0 or corpus.where(F.col(key) == index).limit(1).count() == 0:
+def _row_at(corpus: DataFrame, index: int, key: str, column: str) -> object:
+    row = corpus.where(F.col(key) == index).select(column).head() if index >= 0 else None
+    if row is None:
         raise IndexError(f"chunk index {index} out of range")
+    return row[0]
 
 
 def similar_to_chunk(
     corpus: DataFrame, index: int, top_k: int = 5, *, column: str = "vec", key: str = "chunk_index"
 ) -> DataFrame:
     """The ``top_k`` rows closest to one of the rows, itself left out."""
-    _check_index(corpus, index, key)
-    own = corpus.where(F.col(key) == index).select(column)
+    own = _constant(_row_at(corpus, index, key, column))
     others = corpus.where(F.col(key) != index)
-    return _nearest(others, dot(F.col(column), own.scalar()), top_k, None, key)
+    return _nearest(others, dot(F.col(column), own), top_k, None, key)
 
 
 def similar_batch(
@@ -259,7 +263,7 @@ def _batch_pass(
 
 def chunk_by_index(chunks: DataFrame, index: int, key: str = "chunk_index") -> DataFrame:
     """One chunk with its metadata."""
-    _check_index(chunks, index, key)
+    _row_at(chunks, index, key, key)
     return chunks.where(F.col(key) == index)
 
 

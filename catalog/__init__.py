@@ -31,7 +31,16 @@ def register(name: str, run: Callable[[Tables], DataFrame], sql: str | None = No
 
 
 def load() -> dict[str, Entry]:
-    from . import answers, counts, ingest, results, sessions  # noqa: F401
+    from . import (  # noqa: F401
+        answers,
+        counts,
+        ingest,
+        lines,
+        results,
+        runs,
+        sessions,
+        vectors,
+    )
 
     return CATALOG
 
