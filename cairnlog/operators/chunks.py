@@ -96,7 +96,7 @@ def first_chunks(chunks: DataFrame, n: int) -> DataFrame:
 
 
 def _hashed_terms(chunks: DataFrame, text: str, dim: int) -> DataFrame:
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+").transform(chunks)
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+").transform(chunks)
     counted = HashingTF(inputCol="_words", outputCol="_terms", numFeatures=dim).transform(words)
     scaled = Normalizer(inputCol="_terms", outputCol="_unit", p=2.0).transform(counted)
     return scaled.withColumn("vec", vector_to_array("_unit", "float32")).drop(

@@ -43,10 +43,16 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return reader.text(path).select(
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("split_start"),
-        F.replace(F.col("value"), F.lit("�"), F.lit("")).alias("value"),
+        _decoded(F.col("value")).alias("value"),
     )
 
 
+def _decoded(value: Column) -> Column:
+    # A text scan keeps the bytes as they are; lines of valid UTF-8 are left alone.
+    mended = F.replace(F.make_valid_utf8(value), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(value), value).otherwise(mended)
+
+
 def with_line_numbers(lines: DataFrame) -> DataFrame:
     """Add the 1-based ``line_no`` of each line in its file."""
     return number_scan_rows(lines, "line_no")

@@ -13,7 +13,8 @@ from cairnlog.operators.stats import log_facts
 from . import register
 from .views import Tables, sql
 
-RESPONSE = F.col("response")
+def _response():
+    return F.col("response")
 
 
 def _responses(t: Tables) -> DataFrame:
@@ -26,7 +27,7 @@ _LABEL = rf"""CASE WHEN contains(response, '"label": 0') THEN 0 WHEN contains(re
   WHEN regexp_matches(response, '(?i)normal') THEN 0 WHEN regexp_matches(response, '(?i)anomal') THEN 1 END"""
 register(
     "q1_normalize_label",
-    lambda t: _responses(t).select("event_id", fn.normalize_label(RESPONSE).alias("label")),
+    lambda t: _responses(t).select("event_id", fn.normalize_label(_response()).alias("label")),
     sql(f"SELECT event_id, {_LABEL} AS label FROM v_responses", "v_responses"),
 )
 register(
@@ -75,28 +76,29 @@ def _answered(body: str) -> str:
 
 register(
     "q3_extract_json",
-    lambda t: _responses(t).select("event_id", fn.extract_json(RESPONSE).alias("json")),
+    lambda t: _responses(t).select("event_id", fn.extract_json(_response()).alias("json")),
     _answered("SELECT event_id, j AS json FROM answers"),
 )
 _PLAIN = """CASE WHEN json_type(a) = 'VARCHAR' THEN json_extract_string(a, '$') ELSE a END"""
 _INT = r"""CASE json_type(a) WHEN 'VARCHAR' THEN TRY_CAST(nullif(regexp_extract(a, '\d+'), '') AS BIGINT)
   WHEN 'UBIGINT' THEN CAST(a AS BIGINT) WHEN 'BIGINT' THEN CAST(a AS BIGINT) END"""
 _ITEMS = """CASE WHEN json_type(a) = 'ARRAY' THEN from_json(a, '["VARCHAR"]') END"""
-_TYPES = (
-    F.when(F.col("event_id") % 3 == 0, "integer")
-    .when(F.col("event_id") % 3 == 1, "string_match")
-    .otherwise("list")
-)
+def _kind_of_three():
+    return (
+        F.when(F.col("event_id") % 3 == 0, "integer")
+        .when(F.col("event_id") % 3 == 1, "string_match")
+        .otherwise("list")
+    )
 
 
 def _verdicts(t: Tables, verdict) -> DataFrame:
-    frame, answer = fn.with_answer(_responses(t), RESPONSE)
+    frame, answer = fn.with_answer(_responses(t), _response())
     return frame.select("event_id", verdict(answer).alias("v")).select("event_id", "v.*")
 
 
 register(
     "q4_typed_answer",
-    lambda t: _verdicts(t, lambda answer: fn.typed_answer(answer, _TYPES)).withColumn(
+    lambda t: _verdicts(t, lambda answer: fn.typed_answer(answer, _kind_of_three())).withColumn(
         "items", F.array_join("items", "|")
     ),
     _answered(
@@ -107,7 +109,7 @@ register(
 )
 register(
     "q5_unwrap_answer",
-    lambda t: fn.with_answer(_responses(t), RESPONSE)[0].select(
+    lambda t: fn.with_answer(_responses(t), _response())[0].select(
         "event_id", F.col("answer_json").alias("answer")
     ),
     _answered("SELECT event_id, a AS answer FROM answers"),
@@ -128,7 +130,10 @@ register(
     ),
     _answered(f"SELECT event_id, {_INT_COLUMNS} FROM ({_INT_VERDICT})"),
 )
-WANTED = F.array(F.lit("nothing"), F.upper("expected_text"))
+def _wanted():
+    return F.array(F.lit("nothing"), F.upper("expected_text"))
+
+
 _MATCH = """CASE WHEN contains(lower(plain), 'nothing') OR contains('nothing', lower(plain)) THEN 'nothing'
   WHEN contains(lower(plain), expected_text) OR contains(expected_text, lower(plain)) THEN expected_text END"""
 _TEXT_COLUMNS = f"""{_MATCH} IS NOT NULL AS correct, CAST(NULL AS BIGINT) AS difference, plain AS answer,
@@ -136,10 +141,13 @@ _TEXT_COLUMNS = f"""{_MATCH} IS NOT NULL AS correct, CAST(NULL AS BIGINT) AS dif
 _TEXT_INPUT = f"SELECT *, trim({_PLAIN}) AS plain FROM answers"
 register(
     "q7_compare_string",
-    lambda t: _verdicts(t, lambda answer: fn.compare_string(answer, WANTED, F.lit(False))),
+    lambda t: _verdicts(t, lambda answer: fn.compare_string(answer, _wanted(), F.lit(False))),
     _answered(f"SELECT event_id, {_TEXT_COLUMNS} FROM ({_TEXT_INPUT})"),
 )
-LISTED = F.array(F.lit("view"), F.upper("expected_text"), F.lit("click"))
+def _wanted_list():
+    return F.array(F.lit("view"), F.upper("expected_text"), F.lit("click"))
+
+
 _LIST_INPUT = f"""SELECT *, ['view', upper(expected_text), 'click'] AS wanted, CASE json_type(a)
     WHEN 'ARRAY' THEN list_transform({_ITEMS}, lambda x: trim(x))
     WHEN 'VARCHAR' THEN list_filter(list_transform(string_split_regex(json_extract_string(a, '$'), '[,;\n]'), lambda x: trim(x)), lambda x: x <> '') END AS items,
@@ -158,29 +166,32 @@ _LIST_COLUMNS = f"""coalesce(len(missing) = 0 AND len(extra) = 0, false) AS corr
       CASE WHEN len(extra) > 0 THEN concat('extra: [', array_to_string(extra, ', '), ']') END)) END AS reason"""
 register(
     "q8_compare_list",
-    lambda t: _verdicts(t, lambda answer: fn.compare_list(answer, LISTED, F.lit(False))),
+    lambda t: _verdicts(t, lambda answer: fn.compare_list(answer, _wanted_list(), F.lit(False))),
     _answered(f"SELECT event_id, {_LIST_COLUMNS} FROM ({_LIST_PARTS})"),
 )
 register(
     "q9_missing_extra",
-    lambda t: fn.with_answer(_responses(t), RESPONSE)[0]
+    lambda t: fn.with_answer(_responses(t), _response())[0]
     .where(F.col("answer_items").isNotNull())
     .select(
         "event_id",
-        F.array_join(fn.missing_items(F.col("answer_items"), LISTED), "|").alias("missing"),
-        F.array_join(fn.extra_items(F.col("answer_items"), LISTED), "|").alias("extra"),
+        F.array_join(fn.missing_items(F.col("answer_items"), _wanted_list()), "|").alias("missing"),
+        F.array_join(fn.extra_items(F.col("answer_items"), _wanted_list()), "|").alias("extra"),
     ),
     _answered(
         f"""SELECT event_id, array_to_string(missing, '|') AS missing, array_to_string(extra, '|') AS extra
         FROM ({_LIST_PARTS}) WHERE items IS NOT NULL"""
     ),
 )
-KIND = (
-    F.when(F.col("event_id") % 4 == 0, "integer")
-    .when(F.col("event_id") % 4 == 1, "string_match")
-    .when(F.col("event_id") % 4 == 2, "list")
-    .otherwise("essay")
-)
+def _kind_of_four():
+    return (
+        F.when(F.col("event_id") % 4 == 0, "integer")
+        .when(F.col("event_id") % 4 == 1, "string_match")
+        .when(F.col("event_id") % 4 == 2, "list")
+        .otherwise("essay")
+    )
+
+
 register(
     "q10_compare",
     lambda t: _verdicts(
@@ -188,9 +199,9 @@ register(
         lambda answer: fn.compare(
             answer,
             {
-                "answer_type": KIND,
+                "answer_type": _kind_of_four(),
                 "expected_int": F.col("expected_int"),
-                "expected_list": F.when(F.col("event_id") % 4 == 1, WANTED).otherwise(LISTED),
+                "expected_list": F.when(F.col("event_id") % 4 == 1, _wanted()).otherwise(_wanted_list()),
                 "tolerance": F.col("tolerance"),
                 "case_sensitive": F.lit(None).cast("boolean"),
                 "order_matters": F.lit(None).cast("boolean"),
@@ -227,7 +238,7 @@ def _tries(t: Tables) -> DataFrame:
         F.floor(F.col("event_id") / 6).alias("task_id"),
         (F.col("event_id") % 6 + 1).alias("iteration"),
         ((F.col("event_id") * 7 + F.floor(F.col("event_id") / 6)) % 5 == 0).alias("acceptable"),
-        RESPONSE.alias("content"),
+        _response().alias("content"),
     )
 
 
@@ -252,7 +263,7 @@ def _scored(t: Tables) -> DataFrame:
     questions = generate_questions(log_facts(t.parsed()))
     responses = _responses(t).select(
         "event_id",
-        RESPONSE,
+        _response(),
         F.concat(F.lit("cfg"), (F.col("event_id") % 4).cast("string")).alias("config_name"),
         F.element_at(
             F.array(*map(F.lit, ("q1_error_count", "q3_top_component", "q7_level_types"))),

@@ -22,7 +22,8 @@ _MINED = f"""array_to_string(list_transform(string_split(body, ' '), lambda w:
   WHEN regexp_matches(w, '{_VARIABLE}') THEN concat('<*>', regexp_extract(w, '{_VARIABLE}', 3))
   ELSE w END), ' ')"""
 
-RAW = F.col("raw_line")
+def _raw():
+    return F.col("raw_line")
 
 
 def _hdfs(t: Tables) -> DataFrame:
@@ -31,20 +32,24 @@ def _hdfs(t: Tables) -> DataFrame:
 
 register(
     "b8_message_body",
-    lambda t: _hdfs(t).select("line_no", message_body(RAW).alias("body")),
+    lambda t: _hdfs(t).select("line_no", message_body(_raw()).alias("body")),
     sql("SELECT line_no, body FROM blocks", "blocks"),
 )
 register(
     "b9_mine_template",
-    lambda t: _hdfs(t).select("line_no", templates.template_of(RAW).alias("template")),
+    lambda t: _hdfs(t).select("line_no", templates.template_of(_raw()).alias("template")),
     sql(f"SELECT line_no, {_MINED} AS template FROM blocks", "blocks"),
 )
 
-_GIVEN = F.when(F.col("line_no") % 2 == 0, templates.template_of(RAW)).otherwise(message_body(RAW))
+def _given():
+    mined = templates.template_of(_raw())
+    return F.when(F.col("line_no") % 2 == 0, mined).otherwise(message_body(_raw()))
+
+
 register(
     "b10_check_template",
     lambda t: _hdfs(t)
-    .select("line_no", templates.check_template(RAW, _GIVEN).alias("c"))
+    .select("line_no", templates.check_template(_raw(), _given()).alias("c"))
     .select("line_no", "c.*"),
     sql(
         f"""SELECT line_no, mined AS template, CASE WHEN line_no % 2 = 0 THEN true ELSE body = mined END AS is_correct
@@ -52,11 +57,15 @@ register(
         "blocks",
     ),
 )
-_CRITIC = F.when(F.col("line_no") % 3 == 0, templates.template_of(RAW)).otherwise(F.lit("other"))
+def _critic():
+    mined = templates.template_of(_raw())
+    return F.when(F.col("line_no") % 3 == 0, mined).otherwise(F.lit("other"))
+
+
 register(
     "b11_refine_template",
     lambda t: _hdfs(t)
-    .select("line_no", templates.refine_template(RAW, _GIVEN, _CRITIC).alias("r"))
+    .select("line_no", templates.refine_template(_raw(), _given(), _critic()).alias("r"))
     .select("line_no", "r.*"),
     sql(
         f"""SELECT line_no, mined AS template, CASE WHEN line_no % 3 = 0 THEN 'critic'
@@ -254,7 +263,7 @@ register(
 def _blocks(t: Tables) -> DataFrame:
     return (
         _hdfs(t)
-        .select(block_id(RAW).alias("block_id"))
+        .select(block_id(_raw()).alias("block_id"))
         .groupBy("block_id")
         .agg(F.count(F.lit(1)).alias("n_events"))
     )

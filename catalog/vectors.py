@@ -46,7 +46,7 @@ register(
         "chunk_index", F.round(dot(F.col("vec"), F.col("vec")), 4).alias("squared_length")
     ),
     _chunked(
-        r"""SELECT chunk_index, CASE WHEN regexp_matches(chunk, '\w') THEN 1.0 ELSE 0.0 END::double AS squared_length
+        r"""SELECT chunk_index, CASE WHEN regexp_matches(chunk, '[\p{L}\p{N}_]') THEN 1.0 ELSE 0.0 END::double AS squared_length
         FROM chunks"""
     ),
 )
