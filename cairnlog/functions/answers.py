@@ -11,6 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.once import add_once
+from .binding import let
 from .parsing import strip
 
 # How JSON is looked for in an answer, in this order.
@@ -30,12 +32,12 @@ def normalize_label(text: Column) -> Column:
     "abnormal" contains "normal" and so reads as 0.
     """
     text = strip(text)
-    digits = F.regexp_replace(F.regexp_replace(text, r"(?U)\d{4,}", " "), r"(?U)[^\d]", " ")
-    lone = F.try_element_at(F.regexp_extract_all(digits, F.lit(r"\b[01]\b"), F.lit(0)), F.lit(-1))
+    # The last run of digits that is just 0 or 1; the greedy start looks from the end.
+    lone = F.regexp_extract(text, r"(?Us)^.*(?<!\d)([01])(?!\d)", 1)
     return F.coalesce(
         F.when(text.contains('"label": 0') | text.contains('"label":0'), F.lit(0)),
         F.when(text.contains('"label": 1') | text.contains('"label":1'), F.lit(1)),
-        lone.cast("int"),
+        lone.try_cast("int"),
         F.when(text.rlike("(?i)normal"), F.lit(0)),
         F.when(text.rlike("(?i)anomal"), F.lit(1)),
     )
@@ -51,19 +53,26 @@ def prediction_status(expected: Column, predicted: Column) -> Column:
 
 
 def _is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    # Refused text costs an exception inside the reader; most shows in its first letter.
+    return text.rlike(r"^\s*[\[{\"\-0-9tfn]") & F.try_parse_json(text).isNotNull()
 
 
 def extract_json(text: Column) -> Column:
     """The first JSON value found in the text, as JSON text; null when there is none."""
-    fenced = F.when(text.rlike(FENCED_JSON), F.regexp_extract(text, FENCED_JSON, 1))
-    fenced_any = F.when(text.rlike(FENCED_ANY), F.regexp_extract(text, FENCED_ANY, 1))
-    candidates = [F.when(_is_json(fenced), fenced), F.when(_is_json(fenced_any), fenced_any)]
+
+    def valid(found: Column) -> Column:
+        return let(found, lambda x: F.when(_is_json(x), x))
+
+    # A text without a fence or bracket need not be searched for one.
+    fence = text.contains("```")
+    candidates = [
+        F.when(fence, valid(F.regexp_extract(text, FENCED_JSON, 1))),
+        F.when(fence, valid(F.regexp_extract(text, FENCED_ANY, 1))),
+    ]
     for pattern in BARE_JSON:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         candidates.append(F.try_element_at(F.filter(found, _is_json), F.lit(1)))
-    whole = strip(text)
-    candidates.append(F.when(_is_json(whole), whole))
+    candidates.append(valid(strip(text)))
     number = F.regexp_extract(text, FIRST_INTEGER, 1)
     candidates.append(F.when(number != "", number.try_cast("decimal(38,0)").cast("string")))
     quoted = F.regexp_extract(text, QUOTED_TEXT, 1)
@@ -93,19 +102,16 @@ def json_kind(json: Column) -> Column:
 
 def json_plain(json: Column) -> Column:
     """A JSON value as plain text: strings lose their quotes."""
-    unquoted = F.get_json_object(F.concat(F.lit('{"v":'), json, F.lit("}")), "$.v")
+    bare = F.trim(json)
+    # Only a text with escapes needs a JSON reader.
+    unquoted = F.when(
+        json.contains("\\"), F.get_json_object(F.concat(F.lit('{"v":'), json, F.lit("}")), "$.v")
+    ).otherwise(F.substring(bare, F.lit(2), F.length(bare) - 2))
     return F.when(json_kind(json) == "string", unquoted).otherwise(json)
 
 
-def json_items(json: Column) -> Column:
-    """The items of a JSON array as plain texts, null for other values."""
-    return F.when(json_kind(json) == "list", F.from_json(json, "array<string>"))
-
-
-def json_integer(json: Column) -> Column:
-    """A JSON value as an integer: first digits of a string, a number cut to its whole part."""
-    kind, plain = json_kind(json), json_plain(json)
-    # A variant keeps a fraction as decimal, so no cast from text can fail here.
+def json_integer(kind: Column, plain: Column) -> Column:
+    """An integer: the first digits of a string, a number cut to its whole part."""
     number = F.coalesce(plain.try_cast("long"), plain.try_cast("double").try_cast("long"))
     return (
         F.when(kind == "string", F.regexp_extract(plain, r"(?U)\d+", 0).try_cast("long"))
@@ -114,6 +120,13 @@ def json_integer(json: Column) -> Column:
     )
 
 
+def answer_items(json: Column, kind: Column, plain: Column) -> Column:
+    """Items of a list answer; text is cut at commas, semicolons and line ends."""
+    pieces = F.filter(F.transform(F.split(plain, "[,;\n]"), strip), lambda p: p != "")
+    listed = F.transform(F.from_json(json, "array<string>"), strip)
+    return F.when(kind == "list", listed).when(kind == "string", pieces)
+
+
 class Answer(NamedTuple):
     """The readings of an answer that comparisons are made of."""
 
@@ -124,21 +137,28 @@ class Answer(NamedTuple):
 
 
 def read_answer(json: Column) -> Answer:
-    return Answer(json_kind(json), json_plain(json), json_integer(json), answer_items(json))
+    kind, plain = json_kind(json), json_plain(json)
+    return Answer(kind, plain, json_integer(kind, plain), answer_items(json, kind, plain))
 
 
 def with_answer(frame: DataFrame, response: Column) -> tuple[DataFrame, Answer]:
     """Add the answer in ``response`` to a frame and give its readings.
 
-    The steps are columns of their own (``answer_json`` and one per reading), so that
-    an expression built from them does not search the text again for each use.
+    The text is searched once per row; what is found (``found_json``), the answer in it
+    (``answer_json``) and each reading (``answer_kind`` and so on) are columns.
     """
-    frame = frame.withColumn("found_json", extract_json(response)).withColumn(
+    frame = add_once(frame, {"found_json": extract_json(response)}).withColumn(
         "answer_json", unwrap_answer(F.col("found_json"))
     )
-    readings = read_answer(F.col("answer_json"))._asdict()
-    frame = frame.withColumns({f"answer_{name}": column for name, column in readings.items()})
-    return frame, Answer(*(F.col(f"answer_{name}") for name in readings))
+    json, kind, plain = (F.col(f"answer_{name}") for name in ("json", "kind", "plain"))
+    frame = frame.withColumns({"answer_kind": json_kind(json), "answer_plain": json_plain(json)})
+    frame = frame.withColumns(
+        {
+            "answer_integer": json_integer(kind, plain),
+            "answer_items": answer_items(json, kind, plain),
+        }
+    )
+    return frame, Answer(*(F.col(f"answer_{name}") for name in Answer._fields))
 
 
 def typed_answer(answer: Answer, answer_type: Column) -> Column:
@@ -207,14 +227,6 @@ def compare_string(found: Answer, expected: Column, case_sensitive: Column) -> C
     return _verdict(first.isNotNull(), reason, plain, F.lit(None))
 
 
-def answer_items(json: Column) -> Column:
-    """Items of a list answer; text is cut at commas, semicolons and line ends."""
-    pieces = F.filter(F.transform(F.split(json_plain(json), "[,;\n]"), strip), lambda p: p != "")
-    return F.when(json_kind(json) == "list", F.transform(json_items(json), strip)).when(
-        json_kind(json) == "string", pieces
-    )
-
-
 def _folded(items: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(items, lambda x: F.lower(strip(x)))))
 

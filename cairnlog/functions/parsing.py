@@ -1,7 +1,7 @@
 """Line parsers as column expressions.
 
 Every parser returns a nullable ``struct`` of strings. A line that does not fit gives
-null. Patterns use ``(?U)`` so that classes such as ``\\s`` cover Unicode.
+null.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 RECORD_TYPE = "timestamp string, level string, component string, message string"
 
 # The line formats.
@@ -22,16 +24,23 @@ BLOCK_LOG_HEADER = r"^\d{6}\s+\d{6}(\s+\d+)?\s+[A-Z]+\s+\S+:\s+"
 BLOCK_ID = r"blk_-?\d+"
 FORMATS = ("openstack", "bgl", "generic")
 
-_BLANK = r"(?U)\s+"
+# The characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# The same characters as a class; the Unicode flag is far faster than listing them.
+_BLANK = r"(?U)[\s\x1c-\x1f]+"
 _MARK = "\x01"
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def _fields(line: Column, limit: int) -> Column:
+def fields(line: Column, limit: int = -1) -> Column:
+    """The line cut at white space into at most ``limit`` parts; the last keeps its blanks."""
     return F.split(strip(line), _BLANK, limit)
 
 
@@ -47,44 +56,51 @@ def _record(timestamp: Column, level: Column, component: Column, message: Column
 def parse_openstack(line: Column) -> Column:
     """Date-time, level, component and the text after the last ``] ``."""
     # One rewrite marks the four groups, so the pattern is not run once per group.
-    marked = F.regexp_replace(line, OPENSTACK_LINE, "$1" + _MARK + "$2" + _MARK + "$3" + _MARK + "$4")
-    part = F.split(marked, _MARK, 4)
-    return F.when(
-        line.rlike(OPENSTACK_LINE),
-        _record(*(F.try_element_at(part, F.lit(i)) for i in (1, 2, 3, 4))),
-    )
+    marked = F.regexp_replace(line, OPENSTACK_LINE, _MARK.join(("$1", "$2", "$3", "$4")))
+
+    def record(part: Column) -> Column:
+        return _record(*(F.try_element_at(part, F.lit(i)) for i in (1, 2, 3, 4)))
+
+    return F.when(line.rlike(OPENSTACK_LINE), let(F.split(marked, _MARK, 4), record))
 
 
 def parse_bgl(line: Column) -> Column:
     """Ten blank-separated fields; the last keeps its blanks."""
-    part = _fields(line, 10)
-    return F.when(F.size(part) >= 10, _record(part[4], part[8], part[7], part[9]))
+
+    def record(part: Column) -> Column:
+        return F.when(F.size(part) >= 10, _record(part[4], part[8], part[7], part[9]))
+
+    return let(fields(line, 10), record)
+
+
+def bgl_node_record(part: Column) -> Column:
+    """The record of ten ``fields``."""
+    return F.struct(
+        part[4].alias("timestamp"),
+        part[5].alias("node_id"),
+        part[8].alias("level"),
+        part[7].alias("component"),
+        part[9].alias("message"),
+    )
 
 
 def parse_bgl_node(line: Column) -> Column:
     """As ``parse_bgl`` with the node as well."""
-    part = _fields(line, 10)
-    return F.when(
-        F.size(part) >= 10,
-        F.struct(
-            part[4].alias("timestamp"),
-            part[5].alias("node_id"),
-            part[8].alias("level"),
-            part[7].alias("component"),
-            part[9].alias("message"),
-        ),
-    )
+
+    def record(part: Column) -> Column:
+        return F.when(F.size(part) >= 10, bgl_node_record(part))
+
+    return let(fields(line, 10), record)
 
 
 def parse_generic(line: Column) -> Column:
     """Timestamp, level and the rest of the line."""
-    part = _fields(line, 3)
-    return F.when(
-        F.size(part) >= 2,
-        _record(
-            part[0], part[1], F.lit(""), F.coalesce(F.try_element_at(part, F.lit(3)), F.lit(""))
-        ),
-    )
+
+    def record(part: Column) -> Column:
+        rest = F.coalesce(F.try_element_at(part, F.lit(3)), F.lit(""))
+        return F.when(F.size(part) >= 2, _record(part[0], part[1], F.lit(""), rest))
+
+    return let(fields(line, 3), record)
 
 
 PARSERS: dict[str, Callable[[Column], Column]] = {
@@ -103,7 +119,7 @@ def line_format(line: Column) -> Column:
     """Name of the first format that accepts the line; ``generic`` if none does."""
     return (
         F.when(line.rlike(OPENSTACK_LINE), "openstack")
-        .when(F.size(_fields(line, 10)) >= 10, "bgl")
+        .when(F.size(fields(line, 10)) >= 10, "bgl")
         .otherwise("generic")
     )
 
@@ -177,4 +193,4 @@ def mine_template(body: Column) -> Column:
 def hour_of(timestamp: Column) -> Column:
     """Hour text of ``yyyy-MM-dd-HH.mm...``; null when the text has another shape."""
     fourth = F.try_element_at(F.split(timestamp, "-"), F.lit(4))
-    return F.split(fourth, "[.]")[0]
+    return F.substring_index(fourth, ".", 1)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parsing import strip
+from ..functions.parsing import fields, strip
 
 LINES_PER_SEGMENT = 100_000
 
@@ -34,7 +34,7 @@ def grep_count(lines: DataFrame, pattern: str, *, ignore_case: bool = False) ->
 def wc(lines: DataFrame) -> DataFrame:
     """Lines, words and characters (with line ends) per file."""
     text = strip(F.col("value"))
-    words = F.when(text == "", 0).otherwise(F.size(F.split(text, r"(?U)\s+")))
+    words = F.when(text == "", 0).otherwise(F.size(fields(text)))
     return lines.groupBy("file").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(words).alias("words"),

@@ -15,16 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import hour_of, parse_bgl_node, strip
+from ..functions.parsing import bgl_node_record, fields, hour_of
+from ..plans.durable import materialise
+from ..plans.once import add_once, keep_records
 
 
 def parse_lines(lines: DataFrame, value: str = "raw_line") -> DataFrame:
     """Parsed lines from raw ones; lines of another shape are dropped."""
-    return (
-        lines.withColumn("record", parse_bgl_node(F.col(value)))
-        .where(F.col("record").isNotNull())
-        .select("line_no", "record.*")
-    )
+    cut = lines.select("line_no", fields(F.col(value), 10).alias("part"))
+    part = F.col("part")
+    return keep_records(cut, bgl_node_record(part), F.size(part) >= 10, "line_no")
 
 
 def line_counts(parsed: DataFrame) -> DataFrame:
@@ -102,10 +102,9 @@ def hour_level_map(frame: DataFrame) -> DataFrame:
 
 def error_patterns(parsed: DataFrame, k: int = 10) -> DataFrame:
     """The first five lower-case words of ERROR messages of three words or more."""
-    words = F.split(F.lower(strip(F.col("message"))), r"(?U)\s+")
+    errors = parsed.where(F.col("level") == "ERROR").select("line_no", "message")
     patterns = (
-        parsed.where(F.col("level") == "ERROR")
-        .withColumn("words", words)
+        add_once(errors, {"words": fields(F.lower("message"), 6)})
         .where(F.size("words") >= 3)
         .withColumn("pattern", F.array_join(F.slice("words", 1, 5), " "))
     )
@@ -204,7 +203,8 @@ def log_facts(frame: DataFrame) -> DataFrame:
 
     All key counts come out of one pass of grouping sets over ``line_counts``.
     """
-    cells = frame if "first_line" in frame.columns else line_counts(frame)
+    # Two uses below: the counts are written once instead of counting all lines twice.
+    cells = frame if "first_line" in frame.columns else materialise(line_counts(frame), "counts")
     names = ["level", "component", "node_id", "hour"]
     errors = F.when(F.col("level") == "ERROR", F.col("count")).otherwise(0)
     keyed = (
@@ -266,7 +266,7 @@ def log_facts(frame: DataFrame) -> DataFrame:
 
 def statistics_rows(parsed: DataFrame) -> DataFrame:
     """Every statistic in long form: section, key, subkey, value (text)."""
-    cells = line_counts(parsed)
+    cells = materialise(line_counts(parsed), "counts")
 
     def rows(section: str, frame: DataFrame, key: str, subkey: Column, value: Column) -> DataFrame:
         return frame.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import PARSERS, line_format, parse_as, parse_auto, strip
 from ..plans.durable import materialise
+from ..plans.once import add_once
 from ..plans.numbering import number_in_groups, number_scan_rows
 
 
@@ -58,6 +59,11 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     return number_scan_rows(lines, "line_no")
 
 
+def with_record(lines: DataFrame, record: Column) -> DataFrame:
+    """Add ``record``, parsed once per line whatever is filtered or selected later."""
+    return add_once(lines, {"record": record})
+
+
 def detect_formats(lines: DataFrame) -> DataFrame:
     """One row per file: the format of its first line."""
     first = F.min_by(F.col("value"), F.col("line_no"))
@@ -76,7 +82,7 @@ def parse_detected(lines: DataFrame, *, one_format: bool = False) -> DataFrame:
     else:
         # One row per file, written once so that Catalyst can check its size.
         picked = lines.join(materialise(formats, "formats"), "file")
-    return picked.withColumn("record", parse_as(F.col("format"), F.col("value")))
+    return with_record(picked, parse_as(F.col("format"), F.col("value")))
 
 
 def _stripped_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -108,18 +114,18 @@ def parse_file_lines(
     lines = _stripped_lines(spark, path)
     line = F.col("value")
     if callable(parser):
-        return lines.withColumn("record", parser(line))
+        return with_record(lines, parser(line))
     if parser == "per_line":
-        return lines.withColumn("record", parse_auto(line))
+        return with_record(lines, parse_auto(line))
     if parser in PARSERS:
-        return lines.withColumn("record", PARSERS[parser](line))
+        return with_record(lines, PARSERS[parser](line))
     formats = materialise(_file_formats(spark, path), "formats")
     if len(lines.inputFiles()) <= BROADCAST_FILES:
         # A broadcast keeps the scan's splits and their order.
         joined = lines.join(F.broadcast(formats), "file")
     else:
         joined = lines.withColumn("_seq", F.monotonically_increasing_id()).join(formats, "file")
-    return joined.withColumn("record", parse_as(F.col("format"), line))
+    return with_record(joined, parse_as(F.col("format"), line))
 
 
 def logs_rows(parsed: DataFrame, identity: Column, raw: Column, source: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from .views import sql
 _TOTAL = "sessions AS (SELECT session_id, CAST(sum(length(message)) AS double) / 100 AS duration FROM v_sessions GROUP BY 1)"
 _CALLS = """calls AS (SELECT session_id, interaction_no, iteration_no, concat('tool', CAST(length(line) % 4 AS varchar)) AS name,
     concat(session_id, '-', CAST(interaction_no AS varchar), '-', CAST(iteration_no AS varchar)) AS id,
-    CASE WHEN length(line) % 3 <> 0 THEN upper(line[1:5]) END AS result FROM iter_lines WHERE length(line) > 20)"""
+    CASE WHEN length(line) % 3 <> 0 THEN line[1:5] END AS result FROM iter_lines WHERE length(line) > 20)"""
 _WHOLE = """inter AS (SELECT v.*, s.duration AS run_duration, len(string_split(message, chr(10))) AS n_iterations,
     len(list_filter(string_split(message, chr(10)), lambda x: length(x) > 20)) AS total_tool_calls
   FROM v_sessions v JOIN sessions s USING (session_id))"""

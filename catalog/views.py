@@ -248,9 +248,9 @@ class Tables:
 
     def logs(self) -> DataFrame:
         from cairnlog.functions.parsing import parse_bgl
-        from cairnlog.sources.logs import logs_rows
+        from cairnlog.sources.logs import logs_rows, with_record
 
-        lines = self.view("v_logs").withColumn("record", parse_bgl(F.col("raw_line")))
+        lines = with_record(self.view("v_logs"), parse_bgl(F.col("raw_line")))
         return logs_rows(lines, F.col("line_no"), F.col("raw_line"), F.lit("events.log"))
 
     def doc_lines(self) -> DataFrame:
@@ -308,7 +308,7 @@ class Tables:
                     F.array(
                         F.struct(
                             call["name"].alias("name"), call["id"].alias("id"),
-                            F.upper(F.substring("line", 1, 5)).alias("result"),
+                            F.substring("line", 1, 5).alias("result"),
                         )
                     ),
                 ).alias("tool_call_results"),
