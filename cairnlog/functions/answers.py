@@ -219,12 +219,13 @@ def compare_string(found: Answer, expected: Column, case_sensitive: Column) -> C
     folded = F.when(exact, plain).otherwise(F.lower(plain))
     wanted = F.when(exact, expected).otherwise(F.transform(expected, F.lower))
     hits = F.filter(wanted, lambda e: F.contains(folded, e) | F.contains(e, folded))
-    first = F.try_element_at(hits, F.lit(1))
-    reason = F.coalesce(
-        F.concat(F.lit("Matched expected value: "), first),
-        F.lit("Did not match any expected values"),
-    )
-    return _verdict(first.isNotNull(), reason, plain, F.lit(None))
+
+    def verdict(first: Column) -> Column:
+        matched = F.concat(F.lit("Matched expected value: "), first)
+        reason = F.coalesce(matched, F.lit("Did not match any expected values"))
+        return _verdict(first.isNotNull(), reason, plain, F.lit(None))
+
+    return let(F.try_element_at(hits, F.lit(1)), verdict)
 
 
 def _folded(items: Column) -> Column:
@@ -247,31 +248,39 @@ def _listed(items: Column) -> Column:
 
 def compare_list(found: Answer, expected: Column, order_matters: Column) -> Column:
     """Verdict for a list, as a set unless the order matters."""
-    items = found.items
-    wanted = F.transform(expected, strip)
     ordered = F.coalesce(order_matters, F.lit(False))
-    missing, extra = missing_items(items, expected), extra_items(items, expected)
-    same_set = (F.size(missing) == 0) & (F.size(extra) == 0)
-    correct = F.when(ordered, items == wanted).otherwise(same_set)
-    parts = F.concat_ws(
-        ", ",
-        F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), _listed(missing))),
-        F.when(F.size(extra) > 0, F.concat(F.lit("extra: "), _listed(extra))),
-    )
-    reason = (
-        F.when(items.isNull(), F.concat(F.lit("Answer is not a list: "), found.kind))
-        .when(ordered & correct, "Correct (exact order match)")
-        .when(
-            ordered,
-            F.concat(
-                F.lit("Incorrect order: got "), _listed(items), F.lit(", expected "), _listed(wanted)
-            ),
+
+    def verdict(x: Column) -> Column:
+        items, wanted, missing, extra = (x[n] for n in ("items", "wanted", "missing", "extra"))
+        same_set = (F.size(missing) == 0) & (F.size(extra) == 0)
+        correct = F.when(ordered, items == wanted).otherwise(same_set)
+        parts = F.concat_ws(
+            ", ",
+            F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), _listed(missing))),
+            F.when(F.size(extra) > 0, F.concat(F.lit("extra: "), _listed(extra))),
         )
-        .when(correct, "Correct (all items present, order ignored)")
-        .otherwise(F.concat(F.lit("Incorrect: "), parts))
-    )
-    answer = F.coalesce(_listed(items), found.plain)
-    return _verdict(correct, reason, answer, F.lit(None))
+        in_order = (F.lit("Incorrect order: got "), _listed(items), F.lit(", expected "), _listed(wanted))
+        reason = (
+            F.when(items.isNull(), F.concat(F.lit("Answer is not a list: "), found.kind))
+            .when(ordered & correct, "Correct (exact order match)")
+            .when(ordered, F.concat(*in_order))
+            .when(correct, "Correct (all items present, order ignored)")
+            .otherwise(F.concat(F.lit("Incorrect: "), parts))
+        )
+        answer = F.coalesce(_listed(items), found.plain)
+        return _verdict(correct, reason, answer, F.lit(None))
+
+    def compared(folded: Column) -> Column:
+        got, want = folded["got"], folded["want"]
+        return F.struct(
+            found.items.alias("items"),
+            F.transform(expected, strip).alias("wanted"),
+            F.array_except(want, got).alias("missing"),
+            F.array_except(got, want).alias("extra"),
+        )
+
+    folded = F.struct(_folded(found.items).alias("got"), _folded(expected).alias("want"))
+    return let(let(folded, compared), verdict)
 
 
 def compare(found: Answer, spec: dict[str, Column]) -> Column:

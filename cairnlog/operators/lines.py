@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import fields, strip
+from ..plans.durable import materialise
 
 LINES_PER_SEGMENT = 100_000
+ROWS_PER_BLOCK = 100_000
 
 
 def _matches(pattern: str, ignore_case: bool) -> Column:
@@ -97,7 +99,8 @@ def head(lines: DataFrame, n: int = 10) -> DataFrame:
 
 def tail(lines: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` lines of every file."""
-    ends = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
+    # One row per file, written so that Catalyst can check its size for a broadcast.
+    ends = materialise(lines.groupBy("file").agg(F.max("line_no").alias("_last")), "file-ends")
     return (
         lines.join(ends, "file").where(F.col("line_no") > F.col("_last") - n).drop("_last")
     )
@@ -116,13 +119,34 @@ def join_fields(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
+def _value_sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """How often each value occurs on either side."""
+    sides = left.select("value", F.lit(1).alias("l"), F.lit(0).alias("r")).union(
+        right.select("value", F.lit(0), F.lit(1))
+    )
+    return sides.groupBy("value").agg(F.sum("l").alias("left"), F.sum("r").alias("right"))
+
+
+def _repeated(counts: DataFrame, times: Column) -> DataFrame:
+    """Each value ``times`` times; a very frequent one is written out by many tasks."""
+    block = F.lit(ROWS_PER_BLOCK)
+    blocks = counts.select("value", times.cast("long").alias("n")).where(F.col("n") > 0)
+    blocks = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block))))
+    rows = F.least(block, F.col("n") - F.col("_block") * block).cast("int")
+    spread = blocks.select("value", "_block", rows.alias("_rows")).repartition("value", "_block")
+    return spread.select("value", F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_row")).drop(
+        "_row"
+    )
+
+
 def common_lines(left: DataFrame, right: DataFrame) -> DataFrame:
     """Values in both, as often as in the side that has fewer."""
-    return left.select("value").intersectAll(right.select("value"))
+    return _repeated(_value_sides(left, right), F.least("left", "right"))
 
 
 def only_left(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.select("value").exceptAll(right.select("value"))
+    """Values of the left side beyond their number on the right."""
+    return _repeated(_value_sides(left, right), F.col("left") - F.col("right"))
 
 
 def only_right(left: DataFrame, right: DataFrame) -> DataFrame:

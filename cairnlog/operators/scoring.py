@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.answers import compare, with_answer
 from ..functions.text import round_half_even
+from ..plans.durable import materialise
 
 SPEC_COLUMNS = (
     "answer_type", "expected_int", "expected_list", "tolerance", "case_sensitive", "order_matters"
@@ -15,8 +16,12 @@ SPEC_COLUMNS = (
 
 
 def experiment_grid(configs: DataFrame, cases: DataFrame) -> DataFrame:
-    """Every case for every configuration of the same ``task``."""
-    return configs.join(cases, "task")
+    """Every case for every configuration of the same ``task``.
+
+    Configurations are written first: Catalyst then knows their size and broadcasts
+    them if small, which keeps a task with most of the cases spread.
+    """
+    return cases.join(materialise(configs, "configs"), "task")
 
 
 def with_file_context(questions: DataFrame, file_name: str) -> DataFrame:
@@ -47,11 +52,12 @@ def retry_outcome(verdicts: DataFrame, max_iterations: int = 3) -> DataFrame:
 def score_answers(responses: DataFrame, questions: DataFrame) -> DataFrame:
     """Responses joined with their questions and scored, in the result table's columns.
 
-    ``questions`` is a specification of a few rows; Catalyst broadcasts it when its
-    size allows. Responses keep their own columns (configuration, time, tokens) and a
+    ``questions`` is a specification of few rows. It is written first, so that Catalyst
+    knows its size and broadcasts it if small; few keys would make a bad shuffle. Responses keep their own columns (configuration, time, tokens) and a
     response without any value in it becomes an error row.
     """
-    joined = responses.join(questions.withColumnRenamed("id", "question_id"), "question_id")
+    specification = materialise(questions.withColumnRenamed("id", "question_id"), "questions")
+    joined = responses.join(specification, "question_id")
     read, answer = with_answer(joined, F.col("response"))
     verdict = compare(answer, {name: F.col(name) for name in SPEC_COLUMNS})
     scored = read.withColumn("_verdict", verdict)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.parsing import strip
 from ..functions.text import redact_config
+from ..plans.durable import materialise
 from .logs import path_exists
 
 
@@ -101,8 +102,10 @@ def evaluation_documents(
         "_parts", F.greatest(F.lit(1), F.ceil(F.col("_rows") / rows_per_document))
     )
     columns = [c for c in test_results.columns if c != "experiment"]
-    # Runs are few: their part counts are written nowhere near the tests' size.
-    placed = test_results.join(planned.select("experiment", "_parts"), "experiment").withColumn(
+    # One row per run, written so that Catalyst can check its size for a broadcast; a
+    # run with most of the tests then stays spread over all tasks.
+    parts_of = materialise(planned.select("experiment", "_parts"), "document-parts")
+    placed = test_results.join(parts_of, "experiment").withColumn(
         "part_no", F.pmod(F.xxhash64("block_id"), F.col("_parts"))
     )
     parts = placed.groupBy("experiment", "part_no").agg(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parsing import PARSERS, line_format, parse_as, parse_auto, strip
+from ..functions.parsing import FORMATS, PARSERS, line_format, parse_as, parse_auto, strip
 from ..plans.durable import materialise
 from ..plans.once import add_once
 from ..plans.numbering import number_in_groups, number_scan_rows
@@ -64,10 +64,24 @@ def with_record(lines: DataFrame, record: Column) -> DataFrame:
     return add_once(lines, {"record": record})
 
 
+def _first_format(lines: DataFrame, order: str) -> DataFrame:
+    # Order and format share one long: its minimum is found by a hash aggregate, while
+    # the text of the first line would need a sort.
+    code = F.lit(len(FORMATS) - 1)
+    for place, name in enumerate(FORMATS[:-1]):
+        code = F.when(F.col("_format") == name, place).otherwise(code)
+    packed = F.min(F.col(order) * len(FORMATS) + code)
+    first = F.pmod(packed, F.lit(len(FORMATS))).cast("int") + 1
+    return (
+        lines.select("file", order, line_format(F.col("value")).alias("_format"))
+        .groupBy("file")
+        .agg(F.element_at(F.array(*map(F.lit, FORMATS)), first).alias("format"))
+    )
+
+
 def detect_formats(lines: DataFrame) -> DataFrame:
     """One row per file: the format of its first line."""
-    first = F.min_by(F.col("value"), F.col("line_no"))
-    return lines.groupBy("file").agg(line_format(first).alias("format"))
+    return _first_format(lines, "line_no")
 
 
 def parse_detected(lines: DataFrame, *, one_format: bool = False) -> DataFrame:
@@ -97,10 +111,7 @@ def _file_formats(spark: SparkSession, path: str) -> DataFrame:
     # Only the first row of each first split matters; the scan order inside a split
     # is the file order, so its smallest running id is the first line.
     raw = read_log_lines(spark, path).where(F.col("split_start") == 0)
-    tagged = raw.withColumn("_seq", F.monotonically_increasing_id())
-    return tagged.groupBy("file").agg(
-        line_format(F.min_by(F.col("value"), F.col("_seq"))).alias("format")
-    )
+    return _first_format(raw.withColumn("_seq", F.monotonically_increasing_id()), "_seq")
 
 
 def parse_file_lines(
