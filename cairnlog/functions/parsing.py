@@ -162,8 +162,7 @@ def message_body(line: Column) -> Column:
 
 def block_id(line: Column) -> Column:
     """The first block id in the line, null when there is none."""
-    found = F.regexp_extract(line, BLOCK_ID, 0)
-    return F.when(found != "", found)
+    return let(F.regexp_extract(line, BLOCK_ID, 0), lambda found: F.when(found != "", found))
 
 
 # Variable token shapes; a closing punctuation mark is kept.

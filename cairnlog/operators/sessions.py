@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import block_id, message_body
 from ..plans.numbering import number_in_groups
+from ..plans.once import add_once
 from ..plans.skew import split_hot_groups
 
 # Words that mark an explicit failure, any case.
@@ -20,9 +21,8 @@ STORING_NODE = r"blockMap updated: (\S+) is added to"
 
 def session_lines(lines: DataFrame, value: str = "raw_line") -> DataFrame:
     """Lines with the ``session_id`` of the first block they name; others are dropped."""
-    return lines.withColumn("session_id", block_id(F.col(value))).where(
-        F.col("session_id").isNotNull()
-    )
+    keyed = add_once(lines, {"session_id": block_id(F.col(value))})
+    return keyed.where(F.col("session_id").isNotNull())
 
 
 def extract_sessions(

@@ -14,12 +14,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .durable import materialise
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Keep the splits of a scan the same from one job to the next.
+
+    By default they depend on the number of cores at the time, which changes when
+    executors come and go.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+
+
 def number_scan_rows(rows: DataFrame, name: str, *, per_file: bool = True) -> DataFrame:
     """Add 1-based ``name`` to a narrow transformation of a scan.
 
@@ -27,6 +38,7 @@ def number_scan_rows(rows: DataFrame, name: str, *, per_file: bool = True) -> Da
     no shuffle since the scan. ``per_file`` restarts at 1 in every file; otherwise
     numbers run on over the files in name order.
     """
+    pin_splits(rows.sparkSession)
     tagged = rows.withColumn("_seq", F.monotonically_increasing_id())
     splits = tagged.groupBy("file", "split_start").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_base")
@@ -46,9 +58,12 @@ def number_scan_rows(rows: DataFrame, name: str, *, per_file: bool = True) -> Da
         ),
         "split-offsets",
     )
+    # A split that the first pass did not see must stop the job, not lose its rows.
+    unseen = F.raise_error(F.lit("scan splits changed between two passes")).cast("long")
+    shift = F.coalesce(F.col("_shift"), unseen)
     return (
-        tagged.join(offsets, ["file", "split_start"])
-        .withColumn(name, F.col("_seq") + F.col("_shift"))
+        tagged.join(offsets, ["file", "split_start"], "left")
+        .withColumn(name, F.col("_seq") + shift)
         .drop("_seq", "_shift")
     )
 

@@ -31,8 +31,9 @@ def last_labels(rows: DataFrame, order: str) -> DataFrame:
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """A ``BlockId,Label`` CSV as block ids with 0/1; the last row of an id wins."""
     rows = spark.read.csv(path, schema=schemas.LABELS, header=True)
-    # The running id follows the order of the rows in a file.
-    return last_labels(rows.withColumn("_row", F.monotonically_increasing_id() % (1 << 61)), "_row")
+    # The running id follows the order of the rows in a file: its splits are of one size
+    # but for the last, and Spark assigns equal ones to tasks in order.
+    return last_labels(rows.withColumn("_row", F.monotonically_increasing_id()), "_row")
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

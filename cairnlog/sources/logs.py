@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import FORMATS, PARSERS, line_format, parse_as, parse_auto, strip
 from ..plans.durable import materialise
+from ..plans.numbering import number_in_groups, number_scan_rows, pin_splits
 from ..plans.once import add_once
-from ..plans.numbering import number_in_groups, number_scan_rows
-
 
 # One (file name, format) row per file: at most about 10 MB.
 BROADCAST_FILES = 100_000
@@ -38,6 +37,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     ``file`` and ``split_start`` say where the line comes from. Bytes that are not
     UTF-8 are dropped. Rows of one split are in file order.
     """
+    pin_splits(spark)
     reader = spark.read
     if is_folder(spark, path):
         reader = reader.option("pathGlobFilter", "*.log")
