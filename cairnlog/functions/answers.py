@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.once import add_once
 from .binding import let
 from .parsing import strip
+from .text import mentions
 
 # How JSON is looked for in an answer, in this order.
 FENCED_JSON = r"(?s)```json\s*\n(.*?)\n```"
@@ -321,7 +322,7 @@ def parse_verdict(text: Column) -> Column:
     parsed = F.try_parse_json(body)
     accepted = F.to_json(F.try_variant_get(parsed, "$.acceptable", "variant"))
     readable = accepted.isNotNull()
-    by_words = F.lower(text).rlike("|".join(ACCEPT_WORDS))
+    by_words = mentions(F.lower(text), ACCEPT_WORDS)
     return F.struct(
         F.when(readable, ~accepted.isin("false", "null", "0", '""', "[]", "{}"))
         .otherwise(by_words)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,11 @@ def preview(text: Column, chars: int = 500) -> Column:
     ).otherwise(text)
 
 
+def mentions(lower_text: Column, words: Sequence[str]) -> Column:
+    """Whether a lower-case text contains any of the words; far cheaper than a pattern."""
+    return reduce(lambda a, b: a | b, (lower_text.contains(word) for word in words))
+
+
 def line_span(start: Column, end: Column) -> Column:
     """``start-end``."""
     return F.concat_ws("-", start.cast("string"), end.cast("string"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import block_id, message_body
+from ..functions.text import mentions
 from ..plans.numbering import number_in_groups
 from ..plans.once import add_once
 from ..plans.skew import split_hot_groups
@@ -103,16 +104,12 @@ def missing_sessions(ids: DataFrame, sessions: DataFrame) -> DataFrame:
     return ids.join(sessions, "block_id", "left_anti")
 
 
-def _failure(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(FAILURE_WORDS))
-
-
 def textual_signals(lines: DataFrame, value: str = "raw_line") -> DataFrame:
     """Per session: lines that name a failure, and which words occur."""
     body = message_body(F.col(value))
     keyed = session_lines(lines, value).select("session_id", F.lower(body).alias("body"))
     counted = keyed.groupBy("session_id").agg(
-        F.count_if(_failure(F.col("body"))).alias("failure_lines"),
+        F.count_if(mentions(F.col("body"), FAILURE_WORDS)).alias("failure_lines"),
         *(F.count_if(F.col("body").contains(w)).alias(f"_{w}") for w in FAILURE_WORDS),
     )
     words = F.array_compact(F.array(*(F.when(F.col(f"_{w}") > 0, w) for w in FAILURE_WORDS)))
@@ -136,7 +133,7 @@ def session_features(keyed: DataFrame, value: str = "raw_line") -> DataFrame:
         "stored": F.col("body").contains(STORED),
         "terminating": F.col("body").contains(TERMINATING),
         "deleted": deleted,
-        "failures": _failure(F.col("body")),
+        "failures": mentions(F.lower("body"), FAILURE_WORDS),
     }
     places = {"first_allocated": "allocated", "first_received": "received"}
     per_node = (
