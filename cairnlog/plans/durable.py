@@ -9,24 +9,17 @@ it a sort-merge join with AQE skew handling.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only for local masters."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="cairnlog-")
-    context.setCheckpointDir(configured)
+    if not context.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/_checkpoints"))
     return context.getCheckpointDir()
 
 
