@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quality import quality_sql
 from .shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,87 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-first cleaning: counts and verdict of every document."""
+    from .quality import quality
+
+    judged = table(spark, sf_dir, "documents").select("doc_id", quality("text").alias("q"))
+    names = (
+        "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_failed_lines base_failed kept"
+    )
+    return judged.select("doc_id", *(f"q.{name}" for name in names.split()))
+
+
+ORACLE_SQL["op4_line_quality"] = quality_sql()
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, digest of the base spans, all spans."""
+    from .secrets import BASE_KINDS, secrets, spans_text
+
+    found = table(spark, sf_dir, "documents").select("doc_id", secrets("text").alias("s"))
+    base = F.filter("s", lambda span: span["kind"].isin(*BASE_KINDS))
+
+    def count(kind: str):
+        return F.size(F.filter("s", lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in BASE_KINDS),
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("s")).alias("spans"),
+    )
+
+
+#: Rules of the query: host and path, verdict.
+URL_RULES = (
+    ("net/", "block"),
+    ("example.net/en/", "allow"),
+    ("example.com/de/", "block"),
+    ("org/fr/", "allow"),
+)
+#: Members of the block list that results do not name.
+BLOCKED_SITES = ("spam-farm.example.org/",)
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and block list applied to every page's URL."""
+    from .url_filter import judge_urls, write_index
+
+    rows = [(entry, verdict, True) for entry, verdict in URL_RULES]
+    rows += [(entry, "block", False) for entry in BLOCKED_SITES]
+    index = write_index(spark.createDataFrame(rows, "entry string, verdict string, named boolean"))
+    return judge_urls(table(spark, sf_dir, "pages"), index)
+
+
+ORACLE_SQL["op7_url_filter"] = f"""
+WITH parts AS (
+  SELECT page_id, regexp_extract(substr(url, nullif(strpos(url, '://'), 0) + 3), '^([^/?#]*)', 1) AS raw,
+         regexp_extract(substr(url, nullif(strpos(url, '://'), 0) + 3), '^[^/?#]*([^?#]*)', 1) AS raw_path
+  FROM pages
+), p AS (
+  SELECT page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(raw_path, '') AS path
+  FROM parts
+), entries AS (
+  SELECT split_part(e, '/', 1) AS h, substr(e, strpos(e, '/')) AS q, e, v, named
+  FROM (VALUES {", ".join(f"('{e}', '{v}', true)" for e, v in URL_RULES)},
+               {", ".join(f"('{e}', 'block', false)" for e in BLOCKED_SITES)}) AS t(e, v, named)
+), fits AS (
+  SELECT page_id, e, v, named, length(h) + length(q) AS n FROM p JOIN entries
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+)
+SELECT page_id, host, path,
+  (SELECT arg_max(e, n) FROM fits WHERE fits.page_id = p.page_id AND named) AS rule,
+  coalesce((SELECT arg_max(v, n) FROM fits WHERE fits.page_id = p.page_id AND named),
+           (SELECT max(v) FROM fits WHERE fits.page_id = p.page_id), 'allow') AS verdict
+FROM p
+"""
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
@@ -62,3 +144,35 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query
+def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's view."""
+    from .chat import rotate_perspectives
+
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op9_chat_perspectives"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+), v AS (SELECT DISTINCT conv_id, role AS viewer FROM t WHERE role <> 'system'),
+s AS (
+  SELECT conv_id, viewer, turn, role,
+    CASE WHEN role = viewer THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+         ELSE '<|user name=' || role || '|>' END || chr(10) AS header, text
+  FROM t JOIN v USING (conv_id)
+), r AS (SELECT *, header || text || chr(10) || '<|end|>' || chr(10) AS segment FROM s),
+e AS (
+  SELECT *, cast(sum(length(segment)) OVER (
+    PARTITION BY conv_id, viewer ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end"
+  FROM r
+)
+SELECT conv_id, viewer, turn, role AS name,
+  CASE WHEN role = viewer THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS speaks_as,
+  segment, "end" - length(segment) AS start, "end",
+  "end" - length(segment) + length(header) AS learn_start,
+  CASE WHEN role = viewer THEN "end" ELSE "end" - length(segment) + length(header) END AS learn_end
+FROM e
+"""
