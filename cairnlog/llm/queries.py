@@ -184,3 +184,14 @@ SELECT conv_id, viewer, turn, role AS name,
   CASE WHEN role = viewer THEN "end" ELSE "end" - length(segment) + length(header) END AS learn_end
 FROM e
 """
+
+
+@query
+def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of passages that start in an earlier document, removed from every document."""
+    from .phrases import remove_repeated_passages
+
+    cleaned = remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
