@@ -36,6 +36,50 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    from .decontaminate import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity")
+    )
+
+
+#: Items of the given table have at least five words. Windows are those of the operator:
+#: aligned with a shared shingle.
+ORACLE_SQL["op1_decontamination"] = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), ds AS (
+  SELECT doc_id, len(w) - 4 AS m, i, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)
+), its AS (
+  SELECT item_id, len(w) - 4 AS n, i, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)
+), starts AS (
+  SELECT DISTINCT doc_id, item_id, n, greatest(1, least(ds.i - its.i + 1, m - n + 1)) AS b
+  FROM ds JOIN its USING (s) WHERE m >= n
+), wc AS (
+  SELECT doc_id, item_id, n, b, s, count(*) AS c
+  FROM starts JOIN ds USING (doc_id) WHERE ds.i BETWEEN b AND b + n - 1 GROUP BY ALL
+), ic AS (SELECT item_id, s, count(*) AS c FROM its GROUP BY ALL),
+sims AS (
+  SELECT doc_id, item_id, n, b, sum(least(wc.c, ic.c)) / (2 * n - sum(least(wc.c, ic.c))) AS sim
+  FROM wc JOIN ic USING (item_id, s) GROUP BY doc_id, item_id, n, b
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, b) AS r
+  FROM sims WHERE sim >= 0.75
+)
+SELECT doc_id, item_id, cast(b - 1 AS INTEGER) AS start_word, cast(n + 4 AS INTEGER) AS n_words,
+  round(cast(sim AS DOUBLE), 6) AS similarity
+FROM best WHERE r = 1
+"""
+
+
 @query
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
@@ -92,6 +136,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without chunks of lines that occurred before."""
+    from .line_dedup import remove_repeated_chunks
+
+    cleaned, name = remove_repeated_chunks(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", f"{name}.n_lines", f"{name}.n_removed", f"{name}.text")
+
+
 #: Rules of the query: host and path, verdict.
 URL_RULES = (
     ("net/", "block"),
