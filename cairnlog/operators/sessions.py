@@ -9,8 +9,8 @@ from ..functions.parsing import block_id, message_body
 from ..functions.text import mentions
 from ..plans.numbering import number_in_groups
 from ..plans.once import add_once
-from ..plans.skew import split_hot_groups
 
+LINES_PER_SEGMENT = 65_536
 # Words that mark an explicit failure, any case.
 FAILURE_WORDS = ("error", "fail", "exception", "crash", "interrupt", "fatal")
 # Texts of the block life cycle.
@@ -26,25 +26,30 @@ def session_lines(lines: DataFrame, value: str = "raw_line") -> DataFrame:
     return keyed.where(F.col("session_id").isNotNull())
 
 
-def extract_sessions(
-    lines: DataFrame, value: str = "raw_line", *, rows_per_part: int = 100_000
-) -> DataFrame:
-    """Sessions with their lines in order.
+def extract_sessions(lines: DataFrame, value: str = "raw_line") -> DataFrame:
+    """One row per event of a session: ``session_id, event_no, line_no``, the line,
+    ``first_line, n_events``.
 
-    One row per session, ``part_no`` 0; a session of more than ``rows_per_part`` lines
-    has several rows whose events follow each other in ``part_no`` order.
+    ``event_no`` runs from 1 in line order; with a ``file`` column files follow each
+    other by name. Events are rows, so a session of any size has the same shape.
     """
-    keyed = session_lines(lines, value).select("session_id", "line_no", value)
-    parted = split_hot_groups(keyed, "session_id", "line_no", rows_per_part=rows_per_part)
-    event = F.struct("line_no", value)
-    return (
-        parted.groupBy("session_id", "part_no")
-        .agg(
-            F.coalesce(F.max("hot_first"), F.min("line_no")).alias("first_line"),
-            F.coalesce(F.max("hot_rows"), F.count(F.lit(1))).alias("n_events"),
-            F.array_sort(F.collect_list(event)).alias("events"),
-        )
-        .select("session_id", "part_no", "first_line", "n_events", "events")
+    keyed = session_lines(lines, value)
+    order = [name for name in ("file", "line_no") if name in keyed.columns]
+    keyed = keyed.select("session_id", *order, value)
+    sizes = keyed.groupBy("session_id").agg(
+        F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("n_events")
+    )
+    segment = F.struct(*order[:-1], F.floor(F.col("line_no") / LINES_PER_SEGMENT).alias("part"))
+    numbered = number_in_groups(
+        keyed, ["session_id"], segment, [F.col(name) for name in order], "event_no"
+    )
+    return numbered.join(sizes, "session_id").select(
+        "session_id",
+        "event_no",
+        *order,
+        value,
+        F.col("_first.line_no").alias("first_line"),
+        "n_events",
     )
 
 
@@ -58,15 +63,14 @@ def first_sessions(lines: DataFrame, n: int = 10, value: str = "raw_line") -> Da
 
 
 def format_sessions(sessions: DataFrame, value: str = "raw_line") -> DataFrame:
-    """Sessions as text: a header line, then the lines. Later parts have no header."""
-    body = F.array_join(F.transform("events", lambda e: e[value]), "\n")
+    """Sessions as lines of text, ``row_no`` 0 being a header: one row per line."""
     header = F.format_string(
-        "=== Block Session: %s (%d events) ===\n", F.col("session_id"), F.col("n_events")
-    )
-    starts = F.col("events")[0]["line_no"] == F.col("first_line")
-    return sessions.select(
-        "session_id", "part_no", F.when(starts, F.concat(header, body)).otherwise(body).alias("text")
+        "=== Block Session: %s (%d events) ===", F.col("session_id"), F.col("n_events")
     )
+    event = F.struct(F.col("event_no").alias("row_no"), F.col(value).alias("text"))
+    first = F.struct(F.lit(0).cast("long").alias("row_no"), header.alias("text"))
+    rows = F.when(F.col("event_no") == 1, F.array(first, event)).otherwise(F.array(event))
+    return sessions.select("session_id", F.inline(rows))
 
 
 def balanced_sample(
@@ -203,24 +207,24 @@ def signal_phrases() -> Column:
     """Up to three short phrases, most telling first, for a row with features and label."""
     c = F.col
     anomalous = [
-        F.when(c("failures") > 0, "explicit failure message"),
-        F.when(c("repeated_failures"), "repeated failures"),
-        F.when(c("early_end"), "incomplete block operation"),
-        F.when(c("stored") == 0, "missing block storage confirmation"),
-        F.when(c("early_end"), "early termination of block lifecycle"),
-        F.when(c("unfinished"), "reception without completion"),
-        F.when(c("received_first"), "block received before allocation"),
+        F.when(c("failures") > 0, "a failure is named"),
+        F.when(c("repeated_failures"), "failures repeat"),
+        F.when(c("early_end"), "the operation stops early"),
+        F.when(c("stored") == 0, "no node stored the block"),
+        F.when(c("early_end"), "life cycle cut short"),
+        F.when(c("unfinished"), "reception has no end"),
+        F.when(c("received_first"), "received before it was allocated"),
     ]
-    nodes = F.format_string("block storage confirmations from %d nodes", c("storing_nodes"))
+    nodes = F.format_string("stored by %d nodes", c("storing_nodes"))
     normal = [
-        F.when(c("received") > 0, "successful block reception"),
+        F.when(c("received") > 0, "the block was received"),
         F.when(c("storing_nodes") > 0, nodes),
-        F.when(c("terminating") > 0, "normal packet responder termination"),
+        F.when(c("terminating") > 0, "the responder ended"),
         F.when(
             (c("deleted") > 0) & (c("stored") > 0),
-            "deletion after successful storage is normal cleanup",
+            "deleted after it was stored",
         ),
-        F.when(c("failures") == 0, "no errors or exceptions present"),
+        F.when(c("failures") == 0, "no failure is named"),
     ]
     chosen = F.when(c("label") == 1, F.array(*anomalous)).otherwise(F.array(*normal))
     return F.slice(F.array_compact(chosen), 1, 3)

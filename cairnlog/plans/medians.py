@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of equal width that a range is cut into, between its own smallest and largest value.
+PARTS = 1024
+
+
 def _value_range(value: Column) -> Column:
     """A step function of the value that never decreases: about 0.07 % wide ranges."""
     width = F.floor(F.log2(F.lit(1.0) + F.abs(value)) * 1024)
@@ -20,15 +24,30 @@ def _value_range(value: Column) -> Column:
 
 
 def exact_medians(frame: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """One row per ``keys`` with the median of the non-null ``value`` as ``name``."""
-    cells = [*keys, "_range"]
-    counted = (
-        frame.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
+    """One row per ``keys`` with the median of the ``value`` as ``name``; null and NaN do not count.
+
+    Ranges follow the size of the values and are then cut evenly between the values
+    they hold, so neither a long tail nor values close together fill a single one.
+    """
+    cells = [*keys, "_range", "_part"]
+    ranged = (
+        frame.select(*keys, F.col(value).cast("double").alias("_value"))
+        .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+        .groupBy(*keys, "_value")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_range", _value_range(F.col("_value")))
     )
-    running = Window.partitionBy(*keys).orderBy("_range")
+    bounds = ranged.groupBy(*keys, "_range").agg(
+        F.min("_value").alias("_least"), F.max("_value").alias("_most")
+    )
+    share = (F.col("_value") - F.col("_least")) / (F.col("_most") - F.col("_least"))
+    part = F.when(F.col("_most") > F.col("_least"), F.floor(share * (PARTS - 1))).otherwise(0)
+    counted = (
+        ranged.join(bounds, [*keys, "_range"])
+        .withColumn("_part", F.coalesce(part, F.lit(0)))
+        .drop("_least", "_most")
+    )
+    running = Window.partitionBy(*keys).orderBy("_range", "_part")
     whole = Window.partitionBy(*keys)
     ranges = (
         counted.groupBy(*cells)

@@ -84,19 +84,16 @@ register(
     ),
 )
 
-_LINES = "string_agg(raw_line, chr(10) ORDER BY line_no)"
 register(
     "s1_extract_sessions",
     lambda t: ops.extract_sessions(_hdfs(t)).select(
-        "session_id",
-        "part_no",
-        "first_line",
-        "n_events",
-        F.array_join(F.transform("events", lambda e: e["raw_line"]), "\n").alias("lines"),
+        "session_id", F.col("event_no").cast("long"), "line_no", "raw_line", "first_line", "n_events"
     ),
     sql(
-        f"""SELECT session_id, CAST(0 AS BIGINT) AS part_no, min(line_no) AS first_line,
-        count(*) AS n_events, {_LINES} AS lines FROM blocks GROUP BY session_id""",
+        """SELECT session_id, row_number() OVER w AS event_no, line_no, raw_line,
+        min(line_no) OVER (PARTITION BY session_id) AS first_line,
+        count(*) OVER (PARTITION BY session_id) AS n_events
+        FROM blocks WINDOW w AS (PARTITION BY session_id ORDER BY line_no)""",
         "blocks",
     ),
 )
@@ -111,11 +108,14 @@ register(
 )
 register(
     "s3_format_sessions",
-    lambda t: ops.format_sessions(ops.extract_sessions(_hdfs(t))),
+    lambda t: ops.format_sessions(ops.extract_sessions(_hdfs(t))).select(
+        "session_id", F.col("row_no").cast("long"), "text"
+    ),
     sql(
-        f"""SELECT session_id, CAST(0 AS BIGINT) AS part_no, concat('=== Block Session: ', session_id,
-        ' (', CAST(count(*) AS varchar), ' events) ===', chr(10), {_LINES}) AS text
-        FROM blocks GROUP BY session_id""",
+        """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS row_no,
+        raw_line AS text FROM blocks
+        UNION ALL SELECT session_id, 0 AS row_no, concat('=== Block Session: ', session_id,
+        ' (', CAST(count(*) AS varchar), ' events) ===') AS text FROM blocks GROUP BY session_id""",
         "blocks",
     ),
 )
@@ -176,19 +176,19 @@ register(
     sql(f"SELECT session_id, {_GENERIC} AS label FROM behaviour", "behaviour"),
 )
 _SIGNALS = """array_to_string(list_filter(CASE WHEN label = 1 THEN [
-    CASE WHEN failures > 0 THEN 'explicit failure message' END,
-    CASE WHEN repeated_failures THEN 'repeated failures' END,
-    CASE WHEN early_end THEN 'incomplete block operation' END,
-    CASE WHEN stored = 0 THEN 'missing block storage confirmation' END,
-    CASE WHEN early_end THEN 'early termination of block lifecycle' END,
-    CASE WHEN unfinished THEN 'reception without completion' END,
-    CASE WHEN received_first THEN 'block received before allocation' END]
+    CASE WHEN failures > 0 THEN 'a failure is named' END,
+    CASE WHEN repeated_failures THEN 'failures repeat' END,
+    CASE WHEN early_end THEN 'the operation stops early' END,
+    CASE WHEN stored = 0 THEN 'no node stored the block' END,
+    CASE WHEN early_end THEN 'life cycle cut short' END,
+    CASE WHEN unfinished THEN 'reception has no end' END,
+    CASE WHEN received_first THEN 'received before it was allocated' END]
   ELSE [
-    CASE WHEN received > 0 THEN 'successful block reception' END,
-    CASE WHEN storing_nodes > 0 THEN concat('block storage confirmations from ', CAST(storing_nodes AS varchar), ' nodes') END,
-    CASE WHEN terminating > 0 THEN 'normal packet responder termination' END,
-    CASE WHEN deleted > 0 AND stored > 0 THEN 'deletion after successful storage is normal cleanup' END,
-    CASE WHEN failures = 0 THEN 'no errors or exceptions present' END] END,
+    CASE WHEN received > 0 THEN 'the block was received' END,
+    CASE WHEN storing_nodes > 0 THEN concat('stored by ', CAST(storing_nodes AS varchar), ' nodes') END,
+    CASE WHEN terminating > 0 THEN 'the responder ended' END,
+    CASE WHEN deleted > 0 AND stored > 0 THEN 'deleted after it was stored' END,
+    CASE WHEN failures = 0 THEN 'no failure is named' END] END,
   lambda x: x IS NOT NULL)[1:3], '; ')"""
 register(
     "s10_signals",
