@@ -16,8 +16,6 @@ from ..plans.medians import exact_medians
 
 # Columns a result table may be grouped by, in this order.
 GROUP_COLUMNS = ("model", "workflow", "preprocessing", "provider", "embeddings", "config_name")
-MAX_PIVOT_RUNS = 10_000
-
 
 
 def _hit() -> Column:
@@ -77,17 +75,8 @@ def test_rows(evaluations: DataFrame) -> DataFrame:
     )
 
 
-def per_test_breakdown(tests: DataFrame, runs: Sequence[str] | None = None) -> DataFrame:
-    """Blocks by runs: prediction and status, ``-`` where a run lacks the block.
-
-    ``runs`` names the columns; by default the distinct runs, which are result files
-    and few. More than fit a pivot is an error, not a cut.
-    """
-    if runs is None:
-        found = tests.select("run").distinct().limit(MAX_PIVOT_RUNS + 1).collect()
-        if len(found) > MAX_PIVOT_RUNS:
-            raise ValueError(f"more than {MAX_PIVOT_RUNS} runs: pass a list of them")
-        runs = sorted(row["run"] for row in found)
+def per_test_cells(tests: DataFrame) -> DataFrame:
+    """``block, expected, run, cell``: prediction and status of each block in each run."""
     mark = (
         F.when(F.col("correct"), "correct")
         .when(F.col("predicted_label").isNull(), "unparseable")
@@ -95,11 +84,21 @@ def per_test_breakdown(tests: DataFrame, runs: Sequence[str] | None = None) -> D
     )
     cell = F.concat_ws(" ", F.coalesce(F.col("predicted_label").cast("string"), F.lit("None")), mark)
     expected = tests.groupBy("block_id").agg(F.max("expected_label").alias("_expected"))
-    cells = tests.groupBy("block_id").pivot("run", list(runs)).agg(F.max(cell))
+    cells = tests.groupBy("block_id", "run").agg(F.max(cell).alias("cell"))
     return cells.join(expected, "block_id").select(
+        "block_id",
         F.substring("block_id", 1, 20).alias("block"),
         F.coalesce(F.col("_expected").cast("string"), F.lit("-")).alias("expected"),
-        *(F.coalesce(F.col(f"`{run}`"), F.lit("-")).alias(run) for run in runs),
+        "run",
+        "cell",
+    )
+
+
+def per_test_breakdown(tests: DataFrame, runs: Sequence[str]) -> DataFrame:
+    """``per_test_cells`` with a column for each of ``runs``, ``-`` where a run lacks the block."""
+    cells = per_test_cells(tests).groupBy("block_id", "block", "expected")
+    return cells.pivot("run", list(runs)).agg(F.max("cell")).select(
+        "block", "expected", *(F.coalesce(F.col(f"`{run}`"), F.lit("-")).alias(run) for run in runs)
     )
 
 

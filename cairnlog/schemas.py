@@ -11,10 +11,11 @@ RESULTS = (
 )
 RESULT_COLUMNS = [field.split()[0] for field in RESULTS.split(", ")]
 
-TEST_RESULT = (
-    "struct<block_id: string, blk_id: string, expected_label: int, predicted_label: int, "
-    "correct: boolean, detection_raw: string, explanation: string>"
+TEST_COLUMNS = (
+    "block_id string, blk_id string, expected_label int, predicted_label int, "
+    "correct boolean, detection_raw string, explanation string"
 )
+TEST_RESULT = f"struct<{TEST_COLUMNS}>"
 METRICS = (
     "struct<TP: long, TN: long, FP: long, FN: long, accuracy: double, precision: double, "
     "recall: double, f1: double, unparseable: long, total: long>"

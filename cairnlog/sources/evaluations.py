@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.parsing import strip
 from ..functions.text import redact_config
-from ..plans.durable import materialise
+from ..plans.numbering import number_scan_rows
 from .logs import path_exists
 
 
@@ -29,11 +29,13 @@ def last_labels(rows: DataFrame, order: str) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A ``BlockId,Label`` CSV as block ids with 0/1; the last row of an id wins."""
-    rows = spark.read.csv(path, schema=schemas.LABELS, header=True)
-    # The running id follows the order of the rows in a file: its splits are of one size
-    # but for the last, and Spark assigns equal ones to tasks in order.
-    return last_labels(rows.withColumn("_row", F.monotonically_increasing_id()), "_row")
+    """``BlockId,Label`` CSVs as block ids with 0/1; the last row of an id wins, by file name and place."""
+    rows = spark.read.csv(path, schema=schemas.LABELS, header=True).select(
+        "*",
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("split_start"),
+    )
+    return last_labels(number_scan_rows(rows, "_row", per_file=False), "_row")
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
@@ -80,52 +82,53 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation documents ``eval_*.json`` with their ``_filename``, in name order."""
+    """Evaluation documents ``eval_*.json`` with their ``_filename``, which gives their order."""
     return (
         spark.read.schema(schemas.EVALUATION)
         .json(path, multiLine=True, pathGlobFilter="eval_*.json")
         .withColumn("_filename", F.col("_metadata.file_name"))
-        .orderBy("_filename")
     )
 
 
-def evaluation_documents(
-    runs: DataFrame, test_results: DataFrame, *, rows_per_document: int = 10_000
-) -> DataFrame:
-    """Nested documents from one row per run and one row per test.
+def write_evaluation(runs: DataFrame, test_results: DataFrame, path: str) -> None:
+    """Write one JSON row per run, one per test, and the summary as CSV under ``path``.
 
     ``runs`` has ``experiment``, ``metadata`` and ``metrics``; ``test_results`` has
-    ``experiment`` and the test columns. A run with more tests than fit one document
-    continues in further ones (``part_no``); no test is left out.
+    ``experiment`` and the test columns. A run of any size is one row and its tests.
     """
-    sizes = test_results.groupBy("experiment").agg(F.count(F.lit(1)).alias("_rows"))
-    planned = runs.join(sizes, "experiment", "left").withColumn(
-        "_parts", F.greatest(F.lit(1), F.ceil(F.col("_rows") / rows_per_document))
-    )
-    columns = [c for c in test_results.columns if c != "experiment"]
-    # One row per run, written so that Catalyst can check its size for a broadcast; a
-    # run with most of the tests then stays spread over all tasks.
-    parts_of = materialise(planned.select("experiment", "_parts"), "document-parts")
-    placed = test_results.join(parts_of, "experiment").withColumn(
-        "part_no", F.pmod(F.xxhash64("block_id"), F.col("_parts"))
-    )
-    parts = placed.groupBy("experiment", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct(*columns))).alias("test_results")
-    )
+    runs.write.json(f"{path}/runs")
+    test_results.write.json(f"{path}/tests")
+    evaluation_summary(runs).write.csv(f"{path}/summary", header=True)
+
+
+def read_written_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``write_evaluation`` has written: runs as ``comparison_table`` takes them, and tests.
+
+    ``_filename`` is the name of the run; tests are like those of ``test_rows``.
+    """
+    runs = spark.read.schema(f"experiment string, {schemas.EVALUATION}").json(f"{path}/runs")
+    tests = spark.read.schema(f"experiment string, {schemas.TEST_COLUMNS}").json(f"{path}/tests")
     return (
-        planned.drop("_rows", "_parts")
-        .join(parts, "experiment", "left")
-        .withColumn("part_no", F.coalesce("part_no", F.lit(0)))
+        runs.withColumn("_filename", F.col("experiment")),
+        tests.select(
+            F.col("experiment").alias("run"),
+            F.col("experiment").alias("_filename"),
+            F.coalesce("block_id", "blk_id", F.lit("unknown")).alias("block_id"),
+            "expected_label",
+            "predicted_label",
+            "correct",
+        ),
     )
 
 
-def write_evaluation(
-    runs: DataFrame, test_results: DataFrame, path: str, *, rows_per_document: int = 10_000
-) -> None:
-    """Write the documents as JSON and the summary as CSV under ``path``."""
-    documents = evaluation_documents(runs, test_results, rows_per_document=rows_per_document)
-    documents.write.partitionBy("experiment").json(f"{path}/documents")
-    evaluation_summary(runs).write.csv(f"{path}/summary", header=True)
+def stored_tests(runs: DataFrame, test_results: DataFrame) -> DataFrame:
+    """Per run: ``total`` of its metrics, and how many tests there are and are correct."""
+    counts = test_results.groupBy("experiment").agg(
+        F.count(F.lit(1)).alias("tests"), F.count_if("correct").alias("correct")
+    )
+    return runs.select("experiment", F.col("metrics.total").alias("total")).join(
+        counts, "experiment", "left"
+    )
 
 
 def evaluation_summary(runs: DataFrame) -> DataFrame:
@@ -142,13 +145,12 @@ def evaluation_summary(runs: DataFrame) -> DataFrame:
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Nested run logs, newest name first, with API keys hidden."""
+    """Nested run logs with API keys hidden; ``_filename`` gives their order."""
     return (
         spark.read.schema(schemas.RUN_LOG)
         .json(path, multiLine=True, pathGlobFilter="*.json")
         .withColumn("config", redact_config(F.col("config")))
         .withColumn("_filename", F.col("_metadata.file_name"))
-        .orderBy(F.desc("_filename"))
     )
 
 

@@ -185,7 +185,9 @@ def ingest_logs(
     else:
         numbered = number_scan_rows(kept, "id", per_file=False)
     rows = logs_rows(numbered, F.col("id"), F.col("value"), F.col("file"))
-    rows.sortWithinPartitions("level", "timestamp").write.parquet(out)
+    # What a failed write has left has no mark of success, and is written over.
+    mode = "error" if path_exists(spark, f"{out}/_SUCCESS") else "overwrite"
+    rows.sortWithinPartitions("level", "timestamp").write.mode(mode).parquet(out)
     return ingest_stats(parsed)
 
 

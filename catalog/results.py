@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlog.operators import results as ops
 from cairnlog.operators.scoring import confusion_metrics, unparseable_and_total
-from cairnlog.sources.evaluations import evaluation_documents, evaluation_summary
+from cairnlog.sources.evaluations import evaluation_summary, stored_tests
 
 from . import register
 from .views import Tables, sql
@@ -111,7 +111,7 @@ _CELL = """coalesce(max(CASE WHEN run = '{0}' THEN concat(coalesce(CAST(p AS var
     CASE WHEN p = e THEN 'correct' WHEN p IS NULL THEN 'unparseable' ELSE 'wrong' END) END), '-') AS {0}"""
 register(
     "r2_per_test_breakdown",
-    lambda t: ops.per_test_breakdown(_tests(t)),
+    lambda t: ops.per_test_breakdown(_tests(t), [f"run{i}" for i in range(5)]),
     sql("SELECT 1", "v_predictions").replace(
         "\nSELECT 1",
         ",\n"
@@ -120,17 +120,21 @@ register(
         {", ".join(_CELL.format(f"run{i}") for i in range(5))} FROM tests GROUP BY block_id""",
     ),
 )
+register(
+    "r2_per_test_cells",
+    lambda t: ops.per_test_cells(_tests(t)),
+    sql("SELECT 1", "v_predictions").replace(
+        "\nSELECT 1",
+        ",\n"
+        + _TESTS
+        + """\nSELECT block_id, block_id[1:20] AS block, CAST(max(e) OVER (PARTITION BY block_id) AS varchar) AS expected,
+        run, concat(coalesce(CAST(p AS varchar), 'None'), ' ', CASE WHEN p = e THEN 'correct'
+        WHEN p IS NULL THEN 'unparseable' ELSE 'wrong' END) AS cell FROM tests""",
+    ),
+)
 register(
     "a14_evaluation_documents",
-    lambda t: evaluation_documents(_runs(t), _tests(t).withColumnRenamed("run", "experiment"))
-    .select(
-        "experiment",
-        "metrics.total",
-        F.size("test_results").cast("long").alias("tests"),
-        F.size(F.filter("test_results", lambda x: x["correct"])).cast("long").alias("correct"),
-    )
-    .groupBy("experiment", "total")
-    .agg(F.sum("tests").alias("tests"), F.sum("correct").alias("correct")),
+    lambda t: stored_tests(_runs(t), _tests(t).withColumnRenamed("run", "experiment")),
     sql("SELECT 1", "v_predictions").replace(
         "\nSELECT 1",
         ",\n"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnlog import schemas
+from cairnlog.operators.results import comparison_table
 from cairnlog.functions.parsing import parse_with
 from cairnlog.operators.logs import error_logs, query_logs, search_logs
 from cairnlog.operators.questions import generate_questions
@@ -109,6 +110,22 @@ def test_queries(spark, folder, tmp_path):
             query_logs(logs, bad)
 
 
+def test_labels_of_several_files_follow_their_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("BlockId,Label\nblk_1,Anomaly\n")
+    (tmp_path / "b.csv").write_text("BlockId,Label\nblk_1,Normal\n" + "".join(f"blk_x{i},Normal\n" for i in range(500)))
+    found = {r[0]: r[1] for r in ev.read_labels(spark, str(tmp_path)).collect()}
+    assert found["blk_1"] == 0
+
+
+def test_a_failed_write_is_written_over(spark, tmp_path):
+    (tmp_path / "x.log").write_text("2020 INFO all well here\n")
+    out = tmp_path / "table"
+    out.mkdir()
+    (out / "part-0.parquet").write_text("cut off")
+    logs, stats = open_or_ingest(spark, str(tmp_path), str(out))
+    assert logs.count() == 1 and stats.head()["total_lines"] == 1
+
+
 def test_labels_and_sessions(spark, tmp_path):
     (tmp_path / "gt.csv").write_text("BlockId,Label\nblk_1,Normal\nblk_2, ANOMALY \nblk_1,Anomaly\nblk_3,odd\n")
     found = {r[0]: r[1] for r in ev.read_labels(spark, str(tmp_path / "gt.csv")).collect()}
@@ -142,16 +159,17 @@ def test_evaluations(spark, tmp_path):
     (tmp_path / "eval_a.json").write_text(json.dumps({"metadata": {"prompt_variant": "old"}, "summary": {"f1": 0.9}}))
     (tmp_path / "other.json").write_text("{}")
     found = ev.read_evaluations(spark, str(tmp_path)).collect()
+    found = sorted(found, key=lambda r: r["_filename"])
     assert [r["_filename"] for r in found] == ["eval_a.json", "eval_b.json"]
     assert len(found[1]["test_results"]) == 25
     runs = spark.createDataFrame([("e1", "m")], "experiment string, model string").select(
         "experiment", F.struct("model").alias("metadata"),
         F.expr("named_struct('TP', 1, 'FP', 2, 'TN', 3, 'FN', 4, 'precision', 0.5, 'recall', 0.5, 'f1', 0.5, 'accuracy', 0.5)").alias("metrics"))
     results = spark.createDataFrame([("e1", f"blk_{i}", True) for i in range(25)], "experiment string, block_id string, correct boolean")
-    ev.write_evaluation(runs, results, str(tmp_path / "out"), rows_per_document=10)
-    documents = spark.read.json(str(tmp_path / "out" / "documents"))
-    assert documents.count() > 1
-    assert documents.select(F.explode("test_results.block_id").alias("b")).distinct().count() == 25
+    ev.write_evaluation(runs, results, str(tmp_path / "out"))
+    again, tests = ev.read_written_evaluation(spark, str(tmp_path / "out"))
+    assert comparison_table(again).select("_filename", "model", "FP").collect() == [("e1", "m", 2)]
+    assert tests.where("correct").select("block_id").distinct().count() == 25
     assert spark.read.csv(str(tmp_path / "out" / "summary"), header=True).head()["FP"] == "2"
 
 
@@ -182,7 +200,7 @@ def test_run_logs(spark, tmp_path):
     (tmp_path / "s1.json").write_text(json.dumps(RUN, indent=2))
     (tmp_path / "s2.json").write_text(json.dumps({"session_id": "s2", "interactions": [], "config": {}}))
     runs = ev.read_run_logs(spark, str(tmp_path))
-    rows = runs.collect()
+    rows = runs.orderBy(F.desc("_filename")).collect()
     assert [r["session_id"] for r in rows] == ["s2", "s1"] and rows[1]["config"]["api_key"] == "[REDACTED]"
     inter, iters = interactions_table(runs), iterations_table(runs)
     assert {r["session_id"]: tuple(r)[1:] for r in run_summary(runs, inter).collect()} == {"s1": (10.0, 2, 2, 2), "s2": (0.0, 0, 0, 0)}
