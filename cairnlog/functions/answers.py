@@ -55,7 +55,18 @@ def prediction_status(expected: Column, predicted: Column) -> Column:
 
 def _is_json(text: Column) -> Column:
     # Refused text costs an exception inside the reader; most shows in its first letter.
-    return text.rlike(r"^\s*[\[{\"\-0-9tfn]") & F.try_parse_json(text).isNotNull()
+    # The reader stops after the first value. What follows it shows when the text stands
+    # inside an object and inside an array: only a single value fits both.
+    inside = [F.concat(F.lit(a), text, F.lit(b)) for a, b in (('{"v":', "}"), ("[", "]"))]
+    whole = F.try_parse_json(inside[0]).isNotNull() & F.try_parse_json(inside[1]).isNotNull()
+    return text.rlike(r"^\s*[\[{\"\-0-9tfn]") & F.try_parse_json(text).isNotNull() & whole
+
+
+def _integer_text(digits: Column) -> Column:
+    """Digits as a JSON number of any length: no leading zeros."""
+    return F.when(digits.rlike("^[0-9]+$"), F.regexp_replace(digits, "^0+(?=[0-9])", "")).otherwise(
+        digits.try_cast("decimal(38,0)").cast("string")
+    )
 
 
 def extract_json(text: Column) -> Column:
@@ -75,7 +86,7 @@ def extract_json(text: Column) -> Column:
         candidates.append(F.try_element_at(F.filter(found, _is_json), F.lit(1)))
     candidates.append(valid(strip(text)))
     number = F.regexp_extract(text, FIRST_INTEGER, 1)
-    candidates.append(F.when(number != "", number.try_cast("decimal(38,0)").cast("string")))
+    candidates.append(F.when(number != "", _integer_text(number)))
     quoted = F.regexp_extract(text, QUOTED_TEXT, 1)
     escaped = F.replace(F.replace(quoted, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
     candidates.append(F.when(quoted != "", F.concat(F.lit('"'), escaped, F.lit('"'))))

@@ -18,7 +18,7 @@ RECORD_TYPE = "timestamp string, level string, component string, message string"
 
 # The line formats.
 OPENSTACK_LINE = (
-    r"(?U)^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s+(\w+)\s+([\w.]+).*\]\s+(.*)$"
+    r"(?Us)^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s+(\w+)\s+([\w.]+).*\]\s+(.*)$"
 )
 BLOCK_LOG_HEADER = r"^\d{6}\s+\d{6}(\s+\d+)?\s+[A-Z]+\s+\S+:\s+"
 BLOCK_ID = r"blk_-?\d+"

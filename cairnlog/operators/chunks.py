@@ -17,7 +17,7 @@ from ..plans.durable import materialise
 
 ENCODE_BATCH = 32
 CHUNKS_PER_SEGMENT = 4096
-QUERIES_PER_PASS = 1024
+QUERIES_AT_ONCE = 1024
 
 
 def _windows(lines: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -207,43 +207,37 @@ def similar_batch(
     """``similar_to_chunk`` for several rows in one pass over the corpus.
 
     Each task multiplies its rows with the query matrix and keeps the best ``top_k`` per
-    query, so what leaves a task is queries times k rows and never all pairs. The query
-    matrix is bounded: longer lists are worked off in passes of ``QUERIES_PER_PASS``.
+    query, so what leaves a task is queries times k rows and never all pairs. Indexes
+    that no row has are an error, as in ``similar_to_chunk``; no index gives no row.
     """
-    parts = [
-        _batch_pass(corpus, list(indexes[i : i + QUERIES_PER_PASS]), top_k, column, key)
-        for i in range(0, len(indexes), QUERIES_PER_PASS)
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
-def _batch_pass(
-    corpus: DataFrame, indexes: list[int], top_k: int, column: str, key: str
-) -> DataFrame:
-    rows = corpus.where(F.col(key).isin(indexes)).select(key, column).collect()
+    wanted = sorted(set(indexes))
+    rows = corpus.where(F.col(key).isin(wanted)).select(key, column).collect()
+    missing = sorted(set(wanted) - {row[key] for row in rows})
+    if missing:
+        raise IndexError(f"chunk indexes {missing} out of range")
     ids = np.array([row[key] for row in rows], dtype="int64")
     queries = np.array([row[column] for row in rows], dtype="float64")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
         for batch in batches:
-            if batch.empty:
+            if batch.empty or not len(ids):
                 continue
             own = batch[key].to_numpy()
-            similarity = queries @ np.vstack(batch[column].to_numpy()).astype("float64").T
-            similarity[ids[:, None] == own[None, :]] = -np.inf
+            vectors = np.vstack(batch[column].to_numpy()).astype("float64").T
             found = []
-            for row, query_id in enumerate(ids):
-                order = np.lexsort((own, -similarity[row]))[:top_k]
-                order = order[np.isfinite(similarity[row][order])]
-                found.append(
-                    pd.DataFrame(
-                        {"query_id": query_id, key: own[order], "similarity": similarity[row][order]}
+            for begin in range(0, len(ids), QUERIES_AT_ONCE):
+                part = ids[begin : begin + QUERIES_AT_ONCE]
+                similarity = queries[begin : begin + QUERIES_AT_ONCE] @ vectors
+                similarity[part[:, None] == own[None, :]] = -np.inf
+                for query_id, near in zip(part, similarity):
+                    order = np.lexsort((own, -near))[:top_k]
+                    order = order[np.isfinite(near[order])]
+                    found.append(
+                        pd.DataFrame(
+                            {"query_id": query_id, key: own[order], "similarity": near[order]}
+                        )
                     )
-                )
             block = pd.concat(found if kept is None else [kept, *found])
             block = block.sort_values(["query_id", "similarity", key], ascending=[True, False, True])
             kept = block.groupby("query_id").head(top_k)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..plans.durable import materialise
 
 BAR_WIDTH = 50
-MAX_DEPTH = 20
 _CALL_KEYS = ("session_id", "interaction_no", "iteration_no")
 
 
@@ -176,12 +175,12 @@ def newest_runs(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc("session_id"))
 
 
-def run_tree(interactions: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def run_tree(interactions: DataFrame) -> DataFrame:
     """Interactions with ``depth`` and ``path`` of agent names below a root.
 
     Children name their parent, so paths are found between distinct agent names per
     session and interactions are attached once per path. An agent already on the path
-    is shown but not followed again.
+    is shown but not followed again, so the levels come to an end by themselves.
     """
     edges = materialise(
         interactions.select("session_id", "parent", "agent").distinct(), "run-edges"
@@ -193,7 +192,7 @@ def run_tree(interactions: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         "above", F.array().cast("array<string>")
     )
     found = level
-    for _ in range(max_depth):
+    while True:
         grown = level.where(~F.array_contains("above", F.col("agent"))).select(
             "session_id",
             F.col("agent").alias("parent"),

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Of a repeated key in a JSON object the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Small tables written by plans.durable.materialise are broadcast by Catalyst
     # itself when their files are below this size, and sort-merge joined above it.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),

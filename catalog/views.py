@@ -95,9 +95,9 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "question_id": "concat('q', cast(event_id % 18 + 1 as $S))",
             "response": """case event_id % 7
                 when 0 then concat('{"answer": ', cast(user_id as $S), '}')
-                when 1 then concat('The answer is ', cast(user_id as $S), ' errors found.')
+                when 1 then concat('I counted ', cast(user_id as $S), ' such lines')
                 when 2 then concat('```json', chr(10), '{"answer": "', event_type, '"}', chr(10), '```')
-                when 3 then concat('The component is "', event_type, '" which has most logs.')
+                when 3 then concat('It must be "', event_type, '", I think.')
                 when 4 then '["error", "view", "click"]'
                 when 5 then concat('{"label": ', cast(event_id % 2 as $S), ', "signals": ["x"]}')
                 else 'no idea' end""",

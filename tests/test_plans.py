@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairnlog.operators.chunks import chunk_lines, first_chunks, similar_batch, similar_to_chunk
@@ -93,5 +94,27 @@ def test_run_tree_stops_at_cycles(spark):
     assert found == {(0, "lead", 0), (1, "lead > dev", 1), (2, "lead > dev > lead", 2), (3, "lead > dev > test", 2)}
 
 
+def test_run_tree_goes_all_the_way_down(spark):
+    rows = [("s", n, f"a{n}", f"a{n - 1}" if n else None) for n in range(30)]
+    frame = spark.createDataFrame(rows, "session_id string, interaction_no long, agent string, parent string")
+    assert sorted(r["depth"] for r in run_tree(frame).collect()) == list(range(30))
+
+
+def test_similar_batch_refuses_unknown_rows(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_index long, vec array<double>")
+    with pytest.raises(IndexError, match="7"):
+        similar_batch(corpus, [1, 7])
+    assert similar_batch(corpus, []).collect() == []
+
+
+def test_medians_of_values_close_together(spark):
+    rng = random.Random(8)
+    values = [1.7e9 + rng.randrange(100_000) for _ in range(4001)]
+    rows = [("k", v) for v in values] + [("k", float("nan")), ("n", 1.0), ("n", 2.0), ("n", float("nan"))]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    found = {r["k"]: r["m"] for r in exact_medians(frame, ["k"], "v", "m").collect()}
+    assert found == {"k": statistics.median(values), "n": 1.5}
+
+
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark) == spark.sparkContext.getCheckpointDir()
