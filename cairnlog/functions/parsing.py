@@ -21,6 +21,7 @@ OPENSTACK_LINE = (
     r"(?Us)^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s+(\w+)\s+([\w.]+).*\]\s+(.*)$"
 )
 BLOCK_LOG_HEADER = r"^\d{6}\s+\d{6}(\s+\d+)?\s+[A-Z]+\s+\S+:\s+"
+BLOCK_LOG_LINE = r"(?s)^(\d{6})\s+(\d{6})(?:\s+\d+)?\s+([A-Z]+)\s+(\S+):\s+(.*)$"
 BLOCK_ID = r"blk_-?\d+"
 FORMATS = ("openstack", "bgl", "generic")
 
@@ -103,10 +104,21 @@ def parse_generic(line: Column) -> Column:
     return let(fields(line, 3), record)
 
 
+def parse_block_log(line: Column) -> Column:
+    """Lines with the block log header: date and time, level, class and message."""
+
+    def part(place: int) -> Column:
+        return F.regexp_extract(line, BLOCK_LOG_LINE, place)
+
+    stamp = F.concat_ws(" ", part(1), part(2))
+    return F.when(line.rlike(BLOCK_LOG_LINE), _record(stamp, part(3), part(4), part(5)))
+
+
 PARSERS: dict[str, Callable[[Column], Column]] = {
     "openstack": parse_openstack,
     "bgl": parse_bgl,
     "generic": parse_generic,
+    "hdfs": parse_block_log,
 }
 
 

@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import shared_dir
+
+_BEFORE_QUERY = re.compile(r"(?:\s|\(|--[^\n]*(?:\n|\Z)|/\*.*?\*/)*", re.DOTALL)
+_QUERY = re.compile(r"(?:select|with)\b", re.IGNORECASE)
+
 
 def query_logs(
     logs: DataFrame, sql: str, params: Sequence | None = None, *, error_rows: bool = False
 ) -> DataFrame:
     """Run one SELECT with ``?`` parameters over the view ``logs``.
 
-    Any other statement is refused. With ``error_rows`` a query that cannot be
-    analysed gives one row with its ``error`` instead of raising.
+    It may begin with comments and parentheses; any other statement is refused. With
+    ``error_rows`` the query runs at once, its result is kept in the checkpoint folder,
+    and an error, also one that only shows while it runs, gives one row with its
+    ``error`` instead of raising.
     """
     spark = logs.sparkSession
     try:
-        if sql.lstrip().split(None, 1)[0].lower() not in ("select", "with"):
+        begin = _BEFORE_QUERY.match(sql).end()
+        if not _QUERY.match(sql, begin):
             raise ValueError("only a single SELECT is accepted")
         logs.createOrReplaceTempView("logs")
         # Wrapped as a sub-query, text that is not one query cannot be parsed.
-        return spark.sql(f"SELECT * FROM (\n{sql}\n)", args=list(params or []))
-    except (AnalysisException, ValueError, IndexError) as error:
+        found = spark.sql(f"SELECT * FROM (\n{sql}\n)", args=list(params or []))
+        if error_rows:
+            shared_dir(spark)
+            found = found.checkpoint()
+        return found
+    except (PySparkException, ValueError) as error:
         if not error_rows:
             raise
         return spark.createDataFrame([(str(error),)], "error string")

@@ -137,8 +137,13 @@ def time_span(parsed: DataFrame) -> DataFrame:
     )
 
 
-def unique_counts(frame: DataFrame) -> DataFrame:
-    """Exact numbers of distinct nodes and components."""
+def unique_counts(frame: DataFrame, *, approximate: float | None = None) -> DataFrame:
+    """Numbers of distinct nodes and components: exact, or within a relative error."""
+    if approximate is not None:
+        return frame.agg(
+            F.approx_count_distinct("node_id", approximate).alias("unique_nodes"),
+            F.approx_count_distinct("component", approximate).alias("unique_components"),
+        )
     # Pairs first: the distinct counts then expand few rows instead of every line.
     pairs = frame.select("node_id", "component").distinct()
     return pairs.agg(

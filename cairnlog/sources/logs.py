@@ -115,12 +115,17 @@ def _file_formats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_file_lines(
-    spark: SparkSession, path: str, parser: str | Callable[[Column], Column] = "auto"
+    spark: SparkSession,
+    path: str,
+    parser: str | Callable[[Column], Column] = "auto",
+    *,
+    one_format: bool = False,
 ) -> DataFrame:
     """Non-blank lines with ``record`` (null where the parser refuses the line).
 
     ``parser`` is ``auto`` (by each file's first line), ``per_line`` (first that fits
-    each line), a format name, or a column function such as ``parse_with(fn)``.
+    each line), a format name (``hdfs`` for block logs), or a column function such as
+    ``parse_with(fn)``. With ``one_format`` the first file, in name order, decides for all.
     """
     lines = _stripped_lines(spark, path)
     line = F.col("value")
@@ -131,6 +136,9 @@ def parse_file_lines(
     if parser in PARSERS:
         return with_record(lines, PARSERS[parser](line))
     formats = materialise(_file_formats(spark, path), "formats")
+    if one_format:
+        chosen = formats.agg(F.min_by("format", "file").alias("format")).scalar()
+        return with_record(lines, parse_as(chosen, line))
     if len(lines.inputFiles()) <= BROADCAST_FILES:
         # A broadcast keeps the scan's splits and their order.
         joined = lines.join(F.broadcast(formats), "file")
@@ -170,13 +178,15 @@ def ingest_logs(
     path: str,
     out: str,
     parser: str | Callable[[Column], Column] = "auto",
+    *,
+    one_format: bool = False,
 ) -> DataFrame:
     """Parse log files into a Parquet ``logs`` table and return its one-row statistics.
 
     Ids are dense and follow the files in name order. Files are sorted inside by level
     and timestamp, so their column statistics serve the usual filters.
     """
-    parsed = parse_file_lines(spark, path, parser)
+    parsed = parse_file_lines(spark, path, parser, one_format=one_format)
     kept = parsed.where(F.col("record").isNotNull())
     if "_seq" in kept.columns:
         numbered = number_in_groups(

@@ -15,6 +15,7 @@ from .operators.chunks import (
     first_chunks,
     search_similar,
     similar_to_chunk,
+    with_preview,
 )
 from .operators.logs import error_logs, log_stats, query_logs, search_logs
 from .sources.chunks import read_chunks, write_chunks
@@ -75,6 +76,7 @@ class ChunkVectors:
         self.size, self.overlap, self.max_chunks = size, overlap, max_chunks
         self.make_encoder, self.model_name = make_encoder, model_name
         self.corpus: DataFrame | None = None
+        self.info: DataFrame | None = None
 
     def run(self, spark: SparkSession, path: str, workspace: str) -> DataFrame:
         out = f"{workspace}/chunk_vectors"
@@ -94,6 +96,7 @@ class ChunkVectors:
         info = embedding_info(self.corpus)
         for column in config.columns:
             info = info.withColumn(column, config.select(column).scalar())
+        self.info = info
         return info
 
     def _query(self, text: str) -> DataFrame:
@@ -102,12 +105,14 @@ class ChunkVectors:
 
     def tools(self) -> Tools:
         return {
-            "search_similar": lambda text, top_k=5, min_similarity=0.0: search_similar(
-                self.corpus, self._query(text), top_k, min_similarity
+            "search_similar": lambda text, top_k=5, min_similarity=0.0: with_preview(
+                search_similar(self.corpus, self._query(text), top_k, min_similarity)
+            ),
+            "similar_to_chunk": lambda index, top_k=5: with_preview(
+                similar_to_chunk(self.corpus, index, top_k)
             ),
-            "similar_to_chunk": lambda index, top_k=5: similar_to_chunk(self.corpus, index, top_k),
             "chunk_by_index": lambda index: chunk_by_index(self.corpus, index),
-            "embedding_info": lambda: embedding_info(self.corpus),
+            "embedding_info": lambda: self.info,
         }
 
 

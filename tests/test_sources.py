@@ -97,6 +97,26 @@ def test_parsers_by_name_and_function(spark, folder):
     assert parse_file_lines(spark, path, "bgl").where("record is not null").count() == 150
 
 
+def test_one_format_and_block_logs(spark, tmp_path):
+    (tmp_path / "a.log").write_text("1 2 3 4 5 6 7 8 9 ten words\n")
+    (tmp_path / "b.log").write_text("110731 070809 7 INFO dfs.Node: all well\nshort\n")
+    kept = lambda **how: parse_file_lines(spark, str(tmp_path), **how).where("record is not null")
+    assert kept(one_format=True).count() == 1 and kept().count() == 2
+    record = kept(parser="hdfs").select("record.*").head()
+    assert tuple(record) == ("110731 070809", "INFO", "dfs.Node", "all well")
+    assert ingest_logs(spark, str(tmp_path), str(tmp_path / "out"), one_format=True).head()["total_lines"] == 3
+
+
+def test_queries_with_comments_and_errors_at_run_time(spark, folder, tmp_path):
+    out = str(tmp_path / "table")
+    ingest_logs(spark, str(folder), out, "per_line")
+    logs = spark.read.parquet(out)
+    assert query_logs(logs, "-- first\n/* and\nthen */ ((select 1 AS one))").head()[0] == 1
+    failing = "select cast(message as int) from logs"
+    assert query_logs(logs, failing, error_rows=True).columns == ["error"]
+    assert query_logs(logs, "select level, level from logs", error_rows=True).count() == logs.count()
+
+
 def test_queries(spark, folder, tmp_path):
     out = str(tmp_path / "table")
     ingest_logs(spark, str(folder), out, "per_line")
