@@ -68,17 +68,22 @@ register(
         (SELECT embedding FROM embeddings ORDER BY vec_id DESC LIMIT 1) q)
     WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 7""",
 )
+# The text of a chunk finds that chunk, or the first one with the same text.
 register(
     "v4_search_similar_text",
     lambda t: ops.with_preview(
         ops.search_similar(
             ops.embed_chunks(_chunks(t)),
-            ops.embed_chunks(
-                t.table("benchmark").agg(F.max_by("text", "item_id").alias("chunk"))
-            ).select("vec"),
-            5,
+            ops.embed_chunks(_chunks(t).where(F.col("chunk_index") == 5).select("chunk")).select("vec"),
+            1,
         )
     ).select("chunk_index", "file", "lines", "preview", "similarity"),
+    _chunked(
+        """SELECT chunk_index, file, concat(start_line, '-', end_line) AS lines,
+        CASE WHEN length(chunk) > 500 THEN concat(chunk[1:500], '...') ELSE chunk END AS preview,
+        1.0::double AS similarity FROM chunks
+        WHERE chunk = (SELECT chunk FROM chunks WHERE chunk_index = 5) ORDER BY chunk_index LIMIT 1"""
+    ),
 )
 register(
     "v5_similar_to_chunk",
