@@ -277,9 +277,8 @@ def config_metrics(results: DataFrame) -> DataFrame:
 def quadrants(results: DataFrame) -> DataFrame:
     """Each configuration's side of the median accuracy and the median time."""
     cells = config_metrics(results)
-    # One value per configuration, so these medians are over few rows.
-    accuracy = cells.agg(F.median("accuracy")).scalar()
-    seconds = cells.agg(F.median("avg_time")).scalar()
+    accuracy = exact_medians(cells, [], "accuracy", "median").scalar()
+    seconds = exact_medians(cells, [], "avg_time", "median").scalar()
     return cells.withColumn("median_accuracy", accuracy).withColumn(
         "median_time", seconds
     ).select(
