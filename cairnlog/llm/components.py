@@ -45,4 +45,4 @@ def connected_components(links: DataFrame) -> DataFrame:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = (row["n"], row["x"])
         if row["n"]:
-            current = materialise(_small_star(_large_star(current).distinct()).distinct(), "links")
+            current = materialise(_small_star(_large_star(current)).distinct(), "links")

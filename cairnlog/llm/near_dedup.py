@@ -4,10 +4,12 @@ Every hash function gives two signature values, its smallest and its largest val
 the set, so half as many functions are evaluated. Bands of four values make buckets.
 Documents with equal sets are one class from the start; only one of each class goes on.
 
-In a bucket every document is compared with the bucket's smallest one. Links found so
-far make components, and only documents of one bucket that are still in different
-components are compared further. So no bucket is expanded into its pairs, and no pair
-that could still join two components is left out.
+In a bucket every document is compared with the bucket's leader, the one that shares
+most buckets with others. Links found so far make components, and only buckets that
+still hold several components are looked at again: their documents are compared block
+by block inside tasks, which give no more than one link for two components that meet.
+So no bucket is expanded into rows of pairs, and no link that could still join two
+components is left out.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ SIMILAR = 75
 #: Members of a leader compared by one task.
 MEMBERS_PER_TASK = 2_000
 
+#: Members of a family in one block.
+BLOCK_MEMBERS = 256
+
 _MULTIPLIERS = mix(np.arange(1, FUNCTIONS + 1, dtype="u8")) | np.uint64(1)
 _ADDENDS = mix(np.arange(FUNCTIONS + 1, 2 * FUNCTIONS + 1, dtype="u8"))
 
@@ -153,30 +158,34 @@ def near_duplicates(
         "set-classes",
     )
     entries = classes.select("class", F.explode("bands").alias("key"))
-    buckets = (
+    sizes = (
         entries.groupBy("key")
-        .agg(F.min("class").alias("leader"), F.max("class").alias("last"))
-        .where(F.col("leader") < F.col("last"))
-        .select("key", "leader")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .where(F.col("size") > 1)
     )
-    shared = materialise(entries.join(buckets, "key"), "bucket-members")
-    candidates = shared.select(F.col("class").alias("id")).distinct()
-    sets = materialise(_sets(rows.join(candidates, "id", "left_semi")), "candidate-sets")
-
-    stars = materialise(
-        shared.where(F.col("class") > F.col("leader"))
+    shared = materialise(entries.join(sizes, "key"), "bucket-members")
+    candidates = shared.groupBy("class").agg(F.sum("size").alias("weight"))
+    candidates = materialise(candidates, "bucket-weights")
+    sets = materialise(
+        _sets(rows.join(candidates.select(F.col("class").alias("id")), "id", "left_semi")),
+        "candidate-sets",
+    )
+    # A text that others were copied from shares more buckets than its copies do.
+    weighed = shared.join(candidates, "class")
+    leaders = weighed.groupBy("key").agg(
+        F.max_by("class", F.struct("weight", -F.col("class"))).alias("leader")
+    )
+    stars = (
+        shared.join(leaders, "key")
+        .where(F.col("class") != F.col("leader"))
         .groupBy(F.col("class").alias("a"), F.col("leader").alias("b"))
-        .agg(F.count(F.lit(1)).alias("bands")),
-        "stars",
+        .agg(F.count(F.lit(1)).alias("bands"))
     )
-    # First the leader that shares most buckets; the others only where still needed.
+    # First the leader that shares most buckets; families see to all others.
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
-    links = _confirm(_with_members(best), sets)
-    found = connected_components(links)
-    rest = _apart(stars.join(best, ["a", "b"], "left_anti"), found)
-    links = links.unionByName(_confirm(_with_members(rest), sets))
+    links = _confirm(_with_members(materialise(best, "best-leaders")), sets)
     found = connected_components(links)
-    links = links.unionByName(_confirm(_with_members(_across(shared, stars, found)), sets))
+    links = links.unionByName(_confirm_families(_families(shared.join(leaders, "key"), found), sets))
     found = connected_components(links)
 
     component = classes.join(found, F.col("class") == F.col("node"), "left").select(
@@ -187,7 +196,7 @@ def near_duplicates(
         .select(
             F.col("id").alias(id_column),
             "n_shingles",
-            F.coalesce("component_id", "id").alias("component_id"),
+            F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
         )
         .withColumn(
             "kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True))
@@ -210,32 +219,93 @@ def _with_members(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(counts, "b")
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose ends are not yet in one component."""
-    of_a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    of_b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _families(led: DataFrame, found: DataFrame) -> DataFrame:
+    """``leader, class, part`` of the buckets that hold more than one component.
 
-
-def _across(shared: DataFrame, tested: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that were not compared yet."""
-    member = (
-        shared.join(found, F.col("class") == F.col("node"), "left")
-        .select("key", "leader", "class", F.coalesce("component", "class").alias("part"))
+    Buckets with one leader are one family: most of them hold the same documents.
+    """
+    member = led.join(found, F.col("class") == F.col("node"), "left").select(
+        "key", "leader", "class", F.coalesce("component", "class").alias("part")
     )
-    split = (
+    mixed = (
         member.groupBy("key")
         .agg(F.min("part").alias("low"), F.max("part").alias("high"))
         .where(F.col("low") < F.col("high"))
     )
-    mixed = materialise(member.join(split.select("key"), "key"), "mixed-buckets")
-    left = mixed.select("key", F.col("class").alias("a"), F.col("part").alias("pa"))
-    right = mixed.select("key", F.col("class").alias("b"), F.col("part").alias("pb"))
-    pairs = (
-        left.join(right, "key")
-        .where((F.col("pa") != F.col("pb")) & (F.col("a") > F.col("b")))
-        .select("a", "b")
-        .distinct()
+    kept = member.join(mixed.select("key"), "key").select("leader", "class", "part").distinct()
+    return materialise(kept, "families")
+
+
+def _confirm_families(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join components inside a family, stored.
+
+    A family is cut into blocks; a group is a pair of blocks, so none is larger than two
+    of them. In a group whole sets are compared, unless their components have already
+    met there; what leaves it is one link for every two components that meet.
+    """
+    sizes = families.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK_MEMBERS)).cast("int")
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    dealt = (
+        families.join(sizes, "leader")
+        .withColumn("blocks", blocks)
+        .withColumn("block", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "leader",
+            F.least("block", "other").alias("i"),
+            F.greatest("block", "other").alias("j"),
+            "block",
+            "class",
+            "part",
+        )
+    )
+    rows = dealt.join(sets.withColumnRenamed("id", "class"), "class")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        ids = group["class"].tolist()
+        sets_ = [np.frombuffer(raw, "<u8") for raw in group["shingles"]]
+        sides = group["block"].to_numpy()
+        return pd.DataFrame(
+            meeting_links(ids, group["part"].tolist(), sides, sets_),
+            columns=["a", "b"],
+            dtype="int64",
+        )
+
+    return materialise(
+        rows.groupBy("leader", "i", "j").applyInPandas(compare, "a long, b long"), "near-links"
     )
-    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def meeting_links(
+    ids: list[int], parts: list[int], sides: np.ndarray, sets_: list[np.ndarray], similar: int = SIMILAR
+) -> list[tuple[int, int]]:
+    """One link for every two parts that meet between the sides, or inside a single one."""
+    root = {part: part for part in parts}
+
+    def find(part: int) -> int:
+        while root[part] != part:
+            root[part] = root[root[part]]
+            part = root[part]
+        return part
+
+    first = np.flatnonzero(sides == sides.min())
+    second = np.flatnonzero(sides != sides.min())
+    second = second if len(second) else first
+    flat = np.concatenate([sets_[i] for i in second])
+    sizes = np.array([len(sets_[i]) for i in second])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    links = []
+    for i in first.tolist():
+        if all(find(parts[i]) == find(parts[j]) for j in second.tolist()):
+            continue
+        mine = sets_[i]
+        place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        common = np.add.reduceat((mine[place] == flat).astype("i8"), starts)
+        near = 100 * common >= similar * (len(mine) + sizes - common)
+        for j in second[near].tolist():
+            a, b = find(parts[i]), find(parts[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((ids[i], ids[j]))
+    return links

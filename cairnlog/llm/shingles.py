@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered by one Python worker; beyond it, it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
