@@ -14,10 +14,10 @@ import re
 
 import numpy as np
 
-#: Chunks and pieces remembered by one Python worker; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+#: Chunks, and pieces of them, that one Python worker remembers in each of two generations.
+REMEMBERED = 250_000
 
-_UNCLEAN = re.compile(r" (?:\s|\Z)|\A |\s ")
+_RARE_SPACE = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?]?)\\Z")
@@ -32,6 +32,18 @@ def _byte_table() -> dict[int, str]:
     return table
 
 
+def _only_single_spaces(text: str) -> bool:
+    """Whether every space stands between two visible characters; may say no too often."""
+    return not (
+        "  " in text
+        or " \n" in text
+        or "\n " in text
+        or text[0] == " "
+        or text[-1] == " "
+        or _RARE_SPACE.search(text)
+    )
+
+
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -64,22 +76,26 @@ class TextEncoder:
         ):
             self.mode = "words"
         self.table = _byte_table()
+        # What an old generation knows is taken over when it is met again.
         self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.mode == "whole":
             return self._library(text)
-        if len(self.chunks) > REMEMBERED or len(self.pieces) > REMEMBERED:
-            self.chunks.clear()
-            self.pieces.clear()
+        if len(self.chunks) > REMEMBERED:
+            self.chunks, self.old_chunks = {}, self.chunks
+        if len(self.pieces) > REMEMBERED:
+            self.pieces, self.old_pieces = {}, self.pieces
         if self.mode == "words":
             chunks = text.replace("\n", " ").split(" ")
             first = b""
         else:
-            chunks = text.split(" ") if _UNCLEAN.search(text) is None else _CLEAN_SPACE.split(text)
+            chunks = text.split(" ") if _only_single_spaces(text) else _CLEAN_SPACE.split(text)
             first = self._new(chunks[0], "")
             chunks = chunks[1:]
         known = self.chunks
@@ -88,7 +104,8 @@ class TextEncoder:
         except KeyError:
             for chunk in chunks:
                 if chunk not in known:
-                    known[chunk] = self._new(chunk, self.lead)
+                    ids = self.old_chunks.get(chunk)
+                    known[chunk] = self._new(chunk, self.lead) if ids is None else ids
             return first + b"".join([known[chunk] for chunk in chunks])
 
     def _library(self, text: str) -> bytes:
@@ -107,10 +124,16 @@ class TextEncoder:
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = self._encoded_piece(piece)
+        return ids
+
+    def _encoded_piece(self, piece: str) -> bytes:
+        ids = self.old_pieces.get(piece)
         if ids is None:
             visible = piece.encode().decode("latin-1").translate(self.table)
             found = self.tokenizer.model.tokenize(visible)
-            ids = self.pieces[piece] = np.array([token.id for token in found], "<u4").tobytes()
+            ids = np.array([token.id for token in found], "<u4").tobytes()
         return ids
 
 
