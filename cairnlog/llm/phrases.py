@@ -5,7 +5,7 @@ A window is ``WINDOW`` consecutive words. Three passes over the texts:
 1. Every window has a seed, its 5-word run with the smallest hash, so equal windows have
    equal seeds and about a fifth of the words begin one. Seeds that occur in more than
    one document are found.
-2. Windows with such a seed are compared by 128-bit digests; those that start in a
+2. Windows with such a seed are compared by 96-bit digests; those that start in a
    document with a smaller id are confirmed, with that owner.
 3. Confirmed passages of a shard of documents, runs of windows with one owner, are
    compiled into an Aho-Corasick automaton over words, and the shard's documents are
@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import squeezed, unsqueezed
 from .shingles import mix, run_hashes, word_hashes, words_of
 
 WINDOW = 13
@@ -39,28 +40,6 @@ SHARD_WORDS = 2_000_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _squeezed(text: str) -> Column:
-    """The text as compressed bytes: shuffles of it carry a third less."""
-
-    @F.pandas_udf("binary")
-    def squeeze(texts: pd.Series) -> pd.Series:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
-        return pd.Series(
-            [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in texts],
-            dtype=object,
-        )
-
-    return squeeze(text)
-
-
-def _unsqueezed(raw: bytes | None) -> bytes:
-    import zstandard
-
-    return b"" if raw is None else zstandard.ZstdDecompressor().decompress(raw)
-
-
 def window_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all 5-word runs and, for every window, the place of its seed."""
     runs = run_hashes(hashes, SEED)
@@ -107,7 +86,9 @@ def _packed(
     which = ((hi >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype("int64")
     cuts = np.searchsorted(which, np.arange(ranges + 1))
     for number in np.flatnonzero(np.diff(cuts)).tolist():
-        part = slice(cuts[number], cuts[number + 1])
+        # In document order owners and places shrink to little in a shuffle.
+        part = np.arange(cuts[number], cuts[number + 1])
+        part = part[np.lexsort((places[part], docs[part]))]
         yield {
             "range": number, "ready": False, "hi": hi[part].tobytes(), "lo": lo[part].tobytes(),
             "owners": docs[part].tobytes(), "places": places[part].tobytes(),
@@ -121,10 +102,10 @@ def _answers(rows: pd.DataFrame, keep_first: bool) -> tuple[np.ndarray, ...]:
     def joined(part: pd.Series, kind: str) -> np.ndarray:
         return np.frombuffer(b"".join(part), kind)
 
-    hi, lo = joined(asked["hi"], "<u8"), joined(asked["lo"], "<u8")
+    hi, lo = joined(asked["hi"], "<u8"), joined(asked["lo"], "<u4")
     docs, places = joined(asked["owners"], "<i8"), joined(asked["places"], "<u4")
     if not len(lo):
-        lo = np.zeros(len(hi), "<u8")
+        lo = np.zeros(len(hi), "<u4")
     if not len(places):
         places = np.zeros(len(hi), "<u4")
     order = np.lexsort((docs, lo, hi))
@@ -165,9 +146,8 @@ def _repeated_seeds(rows: DataFrame, ranges: int) -> DataFrame:
                 list(_packed(ranges, hi, none, docs, none.astype("<u4"), True)),
                 columns=["range", "ready", "hi", "lo", "owners", "places"],
             )
-            # Seeds have neither a second half nor a place.
-            out["places"] = b""
-            out.loc[~out["ready"].astype(bool), "lo"] = b""
+            # Seeds need no second half, no owner and no place.
+            out["places"] = out["lo"] = b""
             yield out
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
@@ -186,16 +166,16 @@ def _confirmed_windows(rows: DataFrame, ranges: int) -> DataFrame:
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [(np.zeros(0, "<u8"), np.zeros(0, "<u8"), np.zeros(0, "<i8"), np.zeros(0, "<u4"))]
+            parts = [(np.zeros(0, "<u8"), np.zeros(0, "<u4"), np.zeros(0, "<i8"), np.zeros(0, "<u4"))]
             for doc, raw, seeds in zip(batch["id"].tolist(), batch["text"], batch["seeds"]):
-                words = _unsqueezed(raw).split()
+                words = unsqueezed(raw).split()
                 if len(words) < WINDOW:
                     continue
                 hashes = word_hashes(words)
                 runs, seed = window_seeds(hashes)
                 where = np.flatnonzero(np.isin(runs[seed], np.asarray(seeds, "i8").view("u8")))
                 hi = run_hashes(hashes, WINDOW)[where]
-                lo = run_hashes(mix(hashes ^ _SECOND), WINDOW)[where]
+                lo = run_hashes(mix(hashes ^ _SECOND), WINDOW)[where].astype("<u4")
                 parts.append((hi, lo, np.full(len(where), doc, "<i8"), where.astype("<u4")))
             hi, lo, docs, places = (np.concatenate(part) for part in zip(*parts))
             yield pd.DataFrame(
@@ -271,7 +251,7 @@ def _shards(batch: pd.DataFrame) -> Iterator[tuple[slice, list[list[bytes]]]]:
     """Consecutive documents of a batch with at most ``SHARD_WORDS`` words, one at least."""
     begin, size, words = 0, 0, []
     for place, raw in enumerate(batch["text"]):
-        own = _unsqueezed(raw).split()
+        own = unsqueezed(raw).split()
         if words and size + len(own) > min(SHARD_WORDS, _LETTERS):
             yield slice(begin, place), words
             begin, size, words = place, 0, []
@@ -301,11 +281,11 @@ def remove_repeated_passages(
     # About six characters to a word and two seeds to nine words.
     ranges = int(chars / 27 / RANGE_ENTRIES) + 1
     seeds = _repeated_seeds(known, ranges).groupBy("id").agg(F.collect_list("seed").alias("seeds"))
-    squeezed = rows.select("id", _squeezed("text").alias("text"))
-    asking = squeezed.where(F.col("id").isNotNull()).join(seeds, "id")
+    compact = rows.select("id", squeezed("text").alias("text"))
+    asking = compact.where(F.col("id").isNotNull()).join(seeds, "id")
     windows = _confirmed_windows(asking, ranges)
     found = windows.groupBy("id").agg(F.collect_list(F.struct("place", "owner")).alias("w"))
-    marked = squeezed.join(found, "id", "left").select(
+    marked = compact.join(found, "id", "left").select(
         "id", "text", _field("w", "place").alias("places"), _field("w", "owner").alias("owners")
     )
 
