@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fresh_name
+from .frames import fresh_name, squeezed, unsqueezed
 from .shingles import mix, run_hashes
 
 #: Lines to a chunk on average, and at most.
@@ -90,7 +90,7 @@ def repeated_chunks(
     wanted = repeated.groupBy("id").agg(
         F.collect_list(F.struct("first_line", "hi", "lo")).alias("wanted")
     )
-    with_text = rows.join(wanted, "id").select(
+    with_text = rows.select("id", squeezed("text").alias("text")).join(wanted, "id").select(
         "id",
         "text",
         *(F.transform("wanted", lambda w: w[name]).alias(name) for name in ("first_line", "hi", "lo")),
@@ -103,7 +103,7 @@ def repeated_chunks(
                 batch["id"].tolist(), batch["text"], batch["first_line"], batch["hi"], batch["lo"]
             ):
                 own = set(zip(lines.tolist(), his.tolist(), los.tolist()))
-                for begin, size, chunk in chunks(text):
+                for begin, size, chunk in chunks(unsqueezed(text)):
                     hi, lo = _digests(chunk)
                     if (begin, hi, lo) in own:
                         out.append((doc, begin, size, hi, lo, chunk))
