@@ -38,6 +38,8 @@ RANGE_ENTRIES = 250_000
 SHARD_WORDS = 2_000_000
 
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: Set in a place if its document has the window at further places, too.
+_FURTHER = np.uint32(1 << 31)
 
 
 def window_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,8 @@ def _packed(
 
     Of every digest the entry with the smallest document asks. The shard's other
     documents with it are repeated for sure: they go out as ``ready``, with the asking
-    entry as owner, and so does the asking one if ``keep_first``.
+    entry as owner, and so does the asking one if ``keep_first``. Further places of the
+    asking document do not ask: its first place carries ``_FURTHER`` for them.
     """
     order = np.lexsort((places, docs, lo, hi))
     hi, lo, docs, places = hi[order], lo[order], docs[order], places[order]
@@ -82,7 +85,9 @@ def _packed(
                 "hi": hi[place].tobytes(), "lo": docs[head[place]].tobytes(),
                 "owners": docs[place].tobytes(), "places": places[place].tobytes(),
             }
-    hi, lo, docs, places = hi[heads], lo[heads], docs[heads], places[heads]
+    further = np.bincount(group[~behind], minlength=len(heads)) > 1
+    hi, lo, docs = hi[heads], lo[heads], docs[heads]
+    places = np.where(further, places[heads] | _FURTHER, places[heads]).astype("<u4")
     which = ((hi >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype("int64")
     cuts = np.searchsorted(which, np.arange(ranges + 1))
     for number in np.flatnonzero(np.diff(cuts)).tolist():
@@ -161,7 +166,8 @@ def _repeated_seeds(rows: DataFrame, ranges: int) -> DataFrame:
 def _confirmed_windows(rows: DataFrame, ranges: int) -> DataFrame:
     """``id, place, owner`` of windows that start in a smaller document.
 
-    ``rows`` has ``id``, squeezed ``text`` and the document's repeated ``seeds``.
+    ``rows`` has ``id``, squeezed ``text`` and the document's repeated ``seeds``. A place
+    with ``_FURTHER``, negative as an int, stands for all places of its words.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,12 +199,30 @@ def _confirmed_windows(rows: DataFrame, ranges: int) -> DataFrame:
     )
 
 
+def _all_places(text: str, places: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order with their owners, those that ``_FURTHER`` stands for among them."""
+    first = places & 0x7FFFFFFF
+    marked = np.flatnonzero(places < 0).tolist()
+    if marked:
+        wanted = {text[first[i] : first[i] + WINDOW]: int(owners[i]) for i in marked}
+        again = [
+            (place, owner)
+            for place in range(len(text) - WINDOW + 1)
+            if (owner := wanted.get(text[place : place + WINDOW])) is not None
+        ]
+        rest = places >= 0
+        first = np.concatenate([first[rest], np.array([place for place, _ in again], first.dtype)])
+        owners = np.concatenate([owners[rest], np.array([owner for _, owner in again], owners.dtype)])
+    order = np.argsort(first, kind="stable")
+    return first[order], owners[order]
+
+
 def locate_passages(
     documents: list[tuple[int | None, list[bytes]]], windows: list[tuple[np.ndarray, np.ndarray]]
 ) -> list[np.ndarray]:
     """For every document, which words lie in a passage that a smaller document owns.
 
-    ``windows`` has the confirmed places and owners of each document. Words become
+    ``windows`` has the confirmed places (int32) and owners of each document. Words become
     characters, so that the automaton walks over words; runs of windows with one owner
     are its patterns.
     """
@@ -220,8 +244,7 @@ def locate_passages(
     texts = [spelled(words) for _, words in documents]
     passages: dict[str, int] = {}
     for text, (places, owners) in zip(texts, windows):
-        order = np.argsort(places, kind="stable")
-        places, owners = places[order], owners[order]
+        places, owners = _all_places(text, places, owners)
         breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(owners) != 0)) + 1
         for begin, end in zip([0, *breaks.tolist()], [*breaks.tolist(), len(places)]):
             if begin < end:

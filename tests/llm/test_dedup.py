@@ -189,3 +189,18 @@ def test_passages_when_shards_are_cut(spark, monkeypatch):
     got = phrases.remove_repeated_passages(awkward(spark, rows)).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == expected
     assert len(batch) == len(got)
+
+
+def test_a_passage_repeated_in_part_by_its_document(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        rng = random.Random(6)
+        shared = sentence(rng, [f"p{i}" for i in range(300)], 40)
+        part = " ".join(shared.split()[5:30])
+        rows = [(1, shared), (2, f"{shared} x y z {part}"), (3, f"{part} q {part}"), (4, "tie " * 40), (5, "tie " * 60)]
+        expected = plain_passages_removed(rows)
+        assert expected[2][1] == 65
+        got = phrases.remove_repeated_passages(awkward(spark, rows).repartition(5, "doc_id")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == expected
