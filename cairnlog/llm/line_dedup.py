@@ -1,9 +1,9 @@
-"""Repeated chunks of lines removed from all but their first place.
+"""Repeated runs of lines removed from all but their first place.
 
-A text's lines are hashed, and a chunk ends after a line where the hash of the last two
-lines falls on one of ``1 / MEAN_LINES`` values, so that lines put in or left out only
-shift the chunks around them. Chunks of several lines whose digests repeat are compared
-byte by byte with their first occurrence; equal ones are removed.
+Every two adjacent lines of a text are a chunk, so chunks overlap, and a line goes if it
+lies in a run of two or more lines that occurred before, wherever the run begins and ends
+and whatever stands around it. Chunks whose digests repeat are compared byte by byte
+with their first occurrence; equal ones are removed.
 """
 
 from __future__ import annotations
@@ -17,28 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import fresh_name, squeezed, unsqueezed
-from .shingles import mix, run_hashes
-
-#: Lines to a chunk on average, and at most.
-MEAN_LINES, MAX_LINES = 3, 12
-
-
-def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
-    """Begin and end of the chunks of several lines; single lines are left out."""
-    if len(lines) < 2:
-        return []
-    hashes = np.array([xxhash.xxh64_intdigest(line) for line in lines], "u8")
-    cut = np.zeros(len(lines), bool)
-    cut[1:] = run_hashes(hashes, 2) % np.uint64(MEAN_LINES) == 0
-    bounds, begin = [], 0
-    for end in [*(np.flatnonzero(cut) + 1).tolist(), len(lines)]:
-        while end - begin > MAX_LINES:
-            bounds.append((begin, begin + MAX_LINES))
-            begin += MAX_LINES
-        if end - begin > 1:
-            bounds.append((begin, end))
-        begin = max(begin, end)
-    return bounds
+
+#: Lines to a chunk: the shortest run that is removed.
+CHUNK_LINES = 2
 
 
 def chunks(text: str | bytes | None) -> Iterator[tuple[int, int, bytes]]:
@@ -47,10 +28,10 @@ def chunks(text: str | bytes | None) -> Iterator[tuple[int, int, bytes]]:
         return
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
     lines = raw.split(b"\n")
-    for begin, end in chunk_bounds(lines):
-        chunk = b"\n".join(lines[begin:end])
+    for begin in range(len(lines) - CHUNK_LINES + 1):
+        chunk = b"\n".join(lines[begin : begin + CHUNK_LINES])
         if not chunk.isspace():
-            yield begin, end - begin, chunk
+            yield begin, CHUNK_LINES, chunk
 
 
 def _digests(chunk: bytes) -> tuple[int, int]:
@@ -148,10 +129,11 @@ def remove_repeated_chunks(
     """All rows and columns, and the name of a struct column ``text, n_lines, n_removed``.
 
     The struct is named ``result``, with underscores in front while a column of that
-    name exists. Of chunks with equal bytes the first one stays, by id, then line. Null
-    texts stay null and have no lines; an empty text has one empty line; texts of one
-    line stay. Rows with a null id are not compared. Rows that share an id count as one
-    document: equal chunks at the same line of both stay.
+    name exists. Of chunks with equal bytes the first one stays, by id, then line, but for
+    lines that it shares with another chunk that occurred before; the first place of a
+    line always stays. Null texts stay null and have no lines; an empty text has one empty
+    line; texts of one line stay. Rows with a null id are not compared. Rows that share an
+    id count as one document: equal chunks at the same line of both stay.
     """
     name = fresh_name(documents.columns, result)
     key = fresh_name(documents.columns, "chunk_owner")

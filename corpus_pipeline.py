@@ -87,7 +87,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: The chunk boundaries of line_dedup hang on hash values that DuckDB does not have.
+#: The last stage needs a tokenizer, which DuckDB does not have.
 ORACLE_SQL = None
 
 

@@ -204,3 +204,28 @@ def test_a_passage_repeated_in_part_by_its_document(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == expected
+
+
+def plain_runs_removed(rows):
+    """Lines left of every document when those in a run of two lines or more seen before go."""
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for place in range(len(lines) - 1):
+            run = (lines[place], lines[place + 1])
+            if run in seen:
+                gone |= {place, place + 1}
+            seen.add(run)
+        out[doc] = "\n".join(line for place, line in enumerate(lines) if place not in gone)
+    return out
+
+
+def test_runs_of_lines_in_other_surroundings(spark):
+    rng = random.Random(8)
+    fresh = lambda size: [sentence(rng, ["a", "b", "c", "d", "e"], 12) for _ in range(size)]
+    rows, runs = [], [fresh(size) for size in (2, 2, 2, 3, 4, 30)]
+    for doc in range(40):
+        rows.append((doc, "\n".join([*fresh(rng.randrange(3)), *rng.choice(runs), *fresh(rng.randrange(3))])))
+    cleaned, name = line_dedup.remove_repeated_chunks(awkward(spark, rows))
+    got = {r["doc_id"]: r["text"] for r in cleaned.select("doc_id", f"{name}.text").collect()}
+    assert got == plain_runs_removed(rows)
