@@ -86,11 +86,12 @@ def _weighted_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def _seeded_windows(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """``id, start, size, window`` of windows aligned with a shared shingle of ``size`` words.
+def _seeded_windows(documents: DataFrame, items: DataFrame, size: int, least: float) -> DataFrame:
+    """``id, start, count, wanted, window`` of windows aligned with a shared shingle of ``size`` words.
 
     ``items`` has the items whose shingles have ``size`` words. Each run of aligned
-    shared shingles gives one window.
+    shared shingles gives one window. A document with fewer shingles than the item
+    (``wanted``), but at least that part of them, is one window as a whole.
     """
     split = add_once(documents, {"words": _words(F.col("text"))}).select("id", "words")
     rows = add_once(split, {"shingles": _shingles(F.col("words"), size)}).select("id", "shingles")
@@ -118,10 +119,14 @@ def _seeded_windows(documents: DataFrame, items: DataFrame, size: int) -> DataFr
     # Windows that would leave the document are moved to its edge.
     moved = F.greatest(F.lit(0), F.least(start, F.size("shingles") - count))
     return (
-        hits.where(begins & (F.size("shingles") >= count))
-        .select("id", moved.alias("start"), count.alias("count"), "shingles")
-        .select("id", "start", "count", F.slice("shingles", F.col("start") + 1, F.col("count")).alias("window"))
-        .dropDuplicates(["id", "start", "count", "window"])
+        hits.where(begins & (F.size("shingles") / count >= least))
+        .select("id", moved.alias("start"), count.alias("wanted"), "shingles")
+        .withColumn("count", F.least("wanted", F.size("shingles")))
+        .select(
+            "id", "start", "count", "wanted",
+            F.slice("shingles", F.col("start") + 1, F.col("count")).alias("window"),
+        )
+        .dropDuplicates(["id", "start", "wanted", "window"])
     )
 
 
@@ -135,13 +140,15 @@ def find_leaks(
     item_text_column: str = "text",
     similar: float = SIMILAR,
     radius: int = RADIUS,
+    shorter: bool = False,
 ) -> DataFrame:
     """One row per document and item found in it, with the most similar window.
 
     ``<id>, <item>, start_word, n_words, similarity, distance``; of equally similar windows
     the first. Words are compared in lower case. Items with fewer than five words are one
     shingle. Null and empty texts hold nothing, null and empty items are found nowhere.
-    Documents shorter than an item do not hold it. Repeated rows give one row for each
+    Documents shorter than an item do not hold it, except with ``shorter``: then the whole
+    document is compared with the item. Repeated rows give one row for each
     pair of ids; rows with a null id share one. Other columns are ignored.
     """
     docs = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
@@ -150,17 +157,19 @@ def find_leaks(
     length = F.least(F.size("words"), F.lit(SHINGLE_WORDS)).alias("length")
     # At most SHINGLE_WORDS rows.
     sizes = sorted(row["length"] for row in words.select(length).distinct().collect())
+    # A document with a smaller part of an item's shingles cannot be that similar.
+    least = min(similar, 1.0) if shorter else 1.0
     found = None
     for size in sizes:
         fits = F.size("words") >= size if size == SHINGLE_WORDS else F.size("words") == size
         hashed = {"item_shingles": _shingles(F.col("words"), size)}
         items = add_once(words.where(fits), hashed).select("item", "item_shingles")
-        part = _matches(_seeded_windows(docs, items, size), items, size, similar, radius)
+        part = _matches(_seeded_windows(docs, items, size, least), items, size, similar, radius)
         found = part if found is None else found.unionByName(part)
     if found is None:
         items = words.select("item", F.array().cast("array<long>").alias("item_shingles"))
         empty = docs.where(F.lit(False))
-        found = _matches(_seeded_windows(empty, items, 1), items, 1, similar, radius)
+        found = _matches(_seeded_windows(empty, items, 1, least), items, 1, similar, radius)
     best = F.max_by(
         F.struct("start_word", "n_words", "similarity", "distance"),
         F.struct("similarity", -F.col("start_word")),
@@ -196,7 +205,7 @@ def _matches(
     near = (
         left.join(
             right,
-            (left["count"] == right["item_count"])
+            (left["wanted"] == right["item_count"])
             & (left["block"] == right["block"])
             & (left["bits"] == right["bits"]),
         )

@@ -64,8 +64,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item go, also those that are most of one."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"), shorter=True)
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -98,3 +98,13 @@ def test_pipeline(spark, sf_dir):
         fill[row["sequence_id"]] += row["length"]
     assert max(fill.values()) <= 2048
     assert len(fill) <= -(-sum(fill.values()) // 2048) + 1
+
+
+def test_documents_shorter_than_an_item_do_not_pass(spark, tmp_path):
+    item = [f"k{i}" for i in range(59)]
+    spark.createDataFrame([(1, " ".join(item), "w")], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(cut, " ".join(item[: 59 - cut])) for cut in (0, 1, 2, 4, 13, 14, 30)]
+    rows += [(100, " ".join(item[3:])), (101, "k1 k2 k3"), (102, " ".join(item[:20] + item[24:]))]
+    kept = corpus_pipeline.remove_leaks(spark, awkward(spark, rows), str(tmp_path)).collect()
+    # 42 of 55 shingles are similar, 41 are not; without four words in the middle 47 of 55 are left.
+    assert {row["doc_id"] for row in kept} == {14, 30, 101}
