@@ -248,3 +248,117 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates among all documents."""
+    from .exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_exact_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS plain FROM documents
+), g AS (
+  SELECT doc_id, plain, min(doc_id) OVER (PARTITION BY plain) AS keep_id,
+    count(*) OVER (PARTITION BY plain) AS group_size
+  FROM t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM g
+"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as four-byte codes, with the error of each and of its label."""
+    from .vector_codes import codebooks_digest, compress_vectors
+
+    coded, codebooks = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(codebooks_digest(codebooks)))
+
+
+def _vector_codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """Assignment and averaging by brute force, a common table for each round."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, label, part, q[part * (len(q) // {parts}) + 1 : (part + 1) * (len(q) // {parts})] AS x
+  FROM v CROSS JOIN (SELECT unnest(range({parts})) AS part)
+), c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p
+  QUALIFY entry < {entries}
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, label, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d, any_value(x) AS x
+  FROM (
+    SELECT vec_id, label, part, entry, x,
+      cast(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM p JOIN c{i} USING (part)
+  ) GROUP BY vec_id, label, part
+)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (
+  SELECT part, entry, i, cast(floor(cast(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+  FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{i}) GROUP BY part, entry, i
+), c{i + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m, c) AS c
+  FROM c{i} LEFT JOIN (SELECT part, entry, list(m ORDER BY i) AS m FROM s{i} GROUP BY part, entry)
+  USING (part, entry)
+)""")
+    return f"""
+WITH {", ".join(steps)}
+, books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}
+), coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', cast(entry AS INTEGER)), '' ORDER BY part) AS code,
+    cast(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded CROSS JOIN books
+"""
+
+
+ORACLE_SQL["op12_vector_codes"] = _vector_codes_sql(4, 256, 4)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, every seventh label being another one."""
+    from .hard_negatives import mine_hard_negatives
+
+    given = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(given.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+ORACLE_SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * cast(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    cast(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  cast(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
