@@ -34,7 +34,8 @@ def query_logs(
         # Wrapped as a sub-query, text that is not one query cannot be parsed.
         found = spark.sql(f"SELECT * FROM (\n{sql}\n)", args=list(params or []))
         if error_rows:
-            shared_dir(spark)
+            if not spark.sparkContext.getCheckpointDir():
+                spark.sparkContext.setCheckpointDir(shared_dir(spark))
             found = found.checkpoint()
         return found
     except (PySparkException, ValueError) as error:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTEGER, TEXT, LIST = "integer", "string_match", "list"
-MAX_QUESTIONS = 18
 
 
 def _question(

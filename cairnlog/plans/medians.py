@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import materialise
+from .prefix import running_totals
 
 #: Parts of equal width that a range is cut into, between its own smallest and largest value.
 PARTS = 1024
@@ -47,21 +49,27 @@ def exact_medians(frame: DataFrame, keys: Sequence[str], value: str, name: str)
         .withColumn("_part", F.coalesce(part, F.lit(0)))
         .drop("_least", "_most")
     )
-    running = Window.partitionBy(*keys).orderBy("_range", "_part")
-    whole = Window.partitionBy(*keys)
+    sizes = counted.groupBy(*cells).agg(F.sum("_rows").alias("_size"))
+    if keys:
+        running = Window.partitionBy(*keys).orderBy("_range", "_part")
+        before = F.sum("_size").over(running) - F.col("_size")
+        placed = sizes.withColumn("_before", before).withColumn(
+            "_total", F.sum("_size").over(Window.partitionBy(*keys))
+        )
+    else:
+        # All cells are one group: no window may see all of them.
+        stored = materialise(sizes, "median-cells")
+        total = F.lit(stored.agg(F.sum("_size")).first()[0])
+        placed = running_totals(stored, ["_range", "_part"], {"_before": "_size"}).withColumn("_total", total)
     ranges = (
-        counted.groupBy(*cells)
-        .agg(F.sum("_rows").alias("_size"))
-        .withColumn("_upto", F.sum("_size").over(running))
-        .withColumn("_total", F.sum("_size").over(whole))
-        .withColumn("_low", F.floor((F.col("_total") + 1) / 2))
+        placed.withColumn("_low", F.floor((F.col("_total") + 1) / 2))
         .withColumn("_high", F.floor(F.col("_total") / 2) + 1)
         # Ranges that hold the lower or the upper middle rank: one or two per key.
         .where(
-            (F.col("_upto") >= F.col("_low"))
-            & (F.col("_upto") - F.col("_size") < F.col("_high"))
+            (F.col("_before") + F.col("_size") >= F.col("_low"))
+            & (F.col("_before") < F.col("_high"))
         )
-        .select(*cells, (F.col("_upto") - F.col("_size")).alias("_before"), "_low", "_high")
+        .select(*cells, "_before", "_low", "_high")
     )
     inside = Window.partitionBy(*cells).orderBy("_value")
     ranked = (

@@ -12,12 +12,13 @@ window partitions instead of a single huge one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .durable import materialise
+from .prefix import running_totals
 
 
 def pin_splits(spark: SparkSession) -> None:
@@ -43,21 +44,16 @@ def number_scan_rows(rows: DataFrame, name: str, *, per_file: bool = True) -> Da
     splits = tagged.groupBy("file", "split_start").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_base")
     )
-    # One row per split, so the ordered sum below sees splits, never lines.
-    order = (
-        Window.partitionBy("file").orderBy("split_start")
-        if per_file
-        else Window.orderBy("file", "split_start")
-    )
-    before = F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = materialise(
-        splits.select(
-            "file",
-            "split_start",
-            (F.coalesce(before, F.lit(0)) - F.col("_base") + 1).alias("_shift"),
-        ),
-        "split-offsets",
-    )
+    # One row per split, so the sums below see splits, never lines.
+    if per_file:
+        order = Window.partitionBy("file").orderBy("split_start")
+        before = F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        placed = splits.withColumn("_before", F.coalesce(before, F.lit(0)))
+    else:
+        counted = materialise(splits, "split-counts")
+        placed = running_totals(counted, ["file", "split_start"], {"_before": "_rows"})
+    shift = F.col("_before") - F.col("_base") + 1
+    offsets = materialise(placed.select("file", "split_start", shift.alias("_shift")), "split-offsets")
     # A split that the first pass did not see must stop the job, not lose its rows.
     unseen = F.raise_error(F.lit("scan splits changed between two passes")).cast("long")
     shift = F.coalesce(F.col("_shift"), unseen)
@@ -74,20 +70,28 @@ def number_in_groups(
     segment: Column,
     order: Sequence[Column],
     name: str,
+    *,
+    whole: Mapping[str, tuple[Column, Callable[[Column], Column]]] | None = None,
 ) -> DataFrame:
     """Add ``name``: the exact 1-based rank of each row within ``keys`` by ``order``.
 
-    ``segment`` must not decrease along ``order``. ``order`` must be total.
+    ``segment`` must not decrease along ``order``. ``order`` must be total. ``whole`` adds
+    aggregates of the whole group: for each name one of a segment's rows, and the function
+    that combines those of the segments. They come with the segments' counts, so no row
+    is joined on the keys alone.
     """
+    whole = whole or {}
     tagged = frame.withColumn("_segment", segment)
     cells = [*keys, "_segment"]
-    counts = tagged.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows"))
-    running = Window.partitionBy(*keys).orderBy("_segment")
+    counts = tagged.groupBy(*cells).agg(
+        F.count(F.lit(1)).alias("_rows"), *(part.alias(f"_part_{n}") for n, (part, _) in whole.items())
+    )
+    group = Window.partitionBy(*keys)
+    before = F.sum("_rows").over(group.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(
         *cells,
-        F.coalesce(
-            F.sum("_rows").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
+        F.coalesce(before, F.lit(0)).alias("_before"),
+        *(combine(F.col(f"_part_{n}")).over(group).alias(n) for n, (_, combine) in whole.items()),
     )
     inside = Window.partitionBy(*cells).orderBy(*order)
     return (
