@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlog.functions import parsing, text
 from cairnlog.operators import logs as ops
+from cairnlog.plans.files import new_folder
 from cairnlog.sources.evaluations import filter_configs, last_labels
-from cairnlog.sources.logs import detect_formats, ingest_stats, parse_detected, table_stats
+from cairnlog.sources.logs import detect_formats, ingest_logs, ingest_stats, parse_detected, table_stats
 
 from . import register
 from .views import Tables, sql
@@ -45,6 +47,51 @@ def _columns(bgl: bool, generic: bool) -> str:
 register("a3_logs_table", Tables.logs, sql("SELECT * FROM logs", "logs"))
 
 
+def _ingested(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The lines of all documents, written as files in their order and ingested."""
+    spark, folder = t.spark, new_folder(t.spark, "document-lines")
+    # Readers of text end a line at a carriage return, too.
+    lines = F.posexplode(F.split(F.replace("text", F.lit("\r"), F.lit(" ")), "\n")).alias("place", "value")
+    placed = t.table("documents").select("doc_id", lines)
+    ordered = placed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
+    ordered.select("value").write.text(f"{folder}/lines")
+    stats = ingest_logs(spark, f"{folder}/lines", f"{folder}/logs", "per_line", pattern="part-*")
+    return spark.read.parquet(f"{folder}/logs"), stats
+
+
+# The characters that count as white space, for patterns and for trimming.
+_BLANK = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_DOCUMENT_LINES = rf"""document_lines AS (
+    SELECT doc_id, place, value, string_split_regex(value, '[{_BLANK}]+') AS parts FROM (
+      SELECT doc_id, place, regexp_replace(regexp_replace(line, '^[{_BLANK}]+', ''), '[{_BLANK}]+$', '') AS value
+      FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM (
+        SELECT doc_id, string_split(replace(text, chr(13), ' '), chr(10)) AS lines FROM documents)))
+    WHERE value <> ''),
+  parsed_lines AS (SELECT *, len(parts) >= 10 AS long,
+    regexp_extract(value, '(?s)^(?:[^{_BLANK}]+[{_BLANK}]+){{9}}(.*)$', 1) AS rest9,
+    regexp_extract(value, '(?s)^(?:[^{_BLANK}]+[{_BLANK}]+){{2}}(.*)$', 1) AS rest2 FROM document_lines)"""
+
+register(
+    "a3_ingest_logs",
+    lambda t: _ingested(t)[0].drop("file_source"),
+    f"""WITH {_DOCUMENT_LINES}
+    SELECT row_number() OVER (ORDER BY doc_id, place) AS id,
+      CASE WHEN long THEN parts[5] ELSE parts[1] END AS "timestamp",
+      CASE WHEN long THEN parts[9] ELSE parts[2] END AS level,
+      CASE WHEN long THEN parts[8] ELSE '' END AS component,
+      CASE WHEN long THEN rest9 ELSE rest2 END AS message, value AS raw_line
+    FROM parsed_lines WHERE len(parts) >= 2""",
+)
+register(
+    "a3_ingest_logs_stats",
+    lambda t: _ingested(t)[1].select("total_lines", "error_count"),
+    f"""WITH {_DOCUMENT_LINES}
+    SELECT count(*) AS total_lines,
+      count(*) FILTER (CASE WHEN long THEN parts[9] WHEN len(parts) >= 2 THEN parts[2] END = 'ERROR') AS error_count
+    FROM parsed_lines""",
+)
+
+
 def _mixed_parsed(t: Tables):
     return t.view("v_mixed").withColumn("record", parsing.parse_auto(F.col("value")))
 

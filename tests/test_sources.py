@@ -32,6 +32,8 @@ from cairnlog.sources.logs import (
 )
 from cairnlog.steps import ChunkVectors, LogTable, StepRunner
 
+from scans import scanned_rows
+
 BGL = "- {n} 2005.06.03 R0{k} 2005-06-03-15.42.50.{n:06d} R0{k} RAS {c} {l} message {n}"
 
 
@@ -69,13 +71,15 @@ def test_line_numbers_over_splits(spark, folder, small_splits):
     assert {r["file"] for r in found} == {"a.log", "b.log"}
 
 
-@pytest.mark.parametrize("broadcast_files", [100_000, 0])
-def test_ingest(spark, folder, tmp_path, small_splits, monkeypatch, broadcast_files):
+@pytest.mark.parametrize("broadcast_bytes", [32 * 1024 * 1024, 0])
+def test_ingest(spark, folder, tmp_path, small_splits, monkeypatch, broadcast_bytes):
     from cairnlog.sources import logs as module
 
-    monkeypatch.setattr(module, "BROADCAST_FILES", broadcast_files)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", broadcast_bytes)
     out = str(tmp_path / "table")
-    stats = ingest_logs(spark, str(folder), out).head()
+    # Both passes over the text read each of its lines once.
+    stats, lines = scanned_rows(spark, lambda: ingest_logs(spark, str(folder), out).head(), "text")
+    assert lines == 2 * (250 + 3 + 3 + 150)
     # b.log starts with a generic line, so all its lines are read as generic ones.
     assert tuple(stats) == (404, 64, 2)
     logs = spark.read.parquet(out).orderBy("id").collect()
@@ -88,6 +92,58 @@ def test_ingest(spark, folder, tmp_path, small_splits, monkeypatch, broadcast_fi
     assert again.count() == 402 and reused.head()["files_processed"] == 0
 
 
+def test_statistics_of_what_was_written(spark, folder, tmp_path, small_splits):
+    for parser, kept, errors in (("per_line", 402, 101), ("bgl", 400, 100), ("hdfs", 0, 0)):
+        out = str(tmp_path / parser)
+        assert tuple(ingest_logs(spark, str(folder), out, parser).head()) == (404, errors, 2)
+        logs = spark.read.parquet(out)
+        assert sorted(r["id"] for r in logs.select("id").collect()) == list(range(1, kept + 1))
+    first = str(tmp_path / "first")
+    ingest_logs(spark, str(folder), first, one_format=True)
+    assert spark.read.parquet(first).count() == 400
+
+
+def test_files_without_lines(spark, tmp_path):
+    (tmp_path / "blank.log").write_text("\n  \n\n")
+    (tmp_path / "empty.log").write_text("")
+    assert tuple(ingest_logs(spark, str(tmp_path), str(tmp_path / "out")).head()) == (0, 0, 0)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_the_first_line_is_judged_as_it_stands(spark, tmp_path):
+    line = "2019-03-04 05:06:07.089 INFO nova.x [r] one two"
+    (tmp_path / "a.log").write_text(f"  {line}\n{line}\n")
+    (tmp_path / "b.log").write_text(f"\n{line}\n")
+    (tmp_path / "c.log").write_text(f"{line}\nshort line\n")
+    ingest_logs(spark, str(tmp_path), str(tmp_path / "out"))
+    kept = spark.read.parquet(str(tmp_path / "out")).groupBy("file_source").count().collect()
+    assert {r["file_source"]: r["count"] for r in kept} == {"a.log": 2, "b.log": 1, "c.log": 1}
+    parsed = parse_file_lines(spark, str(tmp_path)).where("record is not null")
+    assert {r["file"]: r["count"] for r in parsed.groupBy("file").count().collect()} == {
+        r["file_source"]: r["count"] for r in kept
+    }
+
+
+def test_a_step_is_prepared_anew_for_other_settings(spark, folder, tmp_path):
+    made = []
+
+    def run(**settings):
+        step = ChunkVectors(**settings)
+        step.run(spark, str(folder), str(tmp_path / "work"))
+        made.append(step.out)
+        return step.corpus.count()
+
+    counts = [run(size=50), run(size=50), run(size=40), run(size=50, overlap=5), run(size=50, max_chunks=2)]
+    assert made[0] == made[1] and len(set(made)) == 4
+    assert counts[0] == counts[1] < counts[2] and counts[4] == 2
+    (folder / "b.log").write_text("now another file\n")
+    assert run(size=50) != counts[0] and len(set(made)) == 5
+    table = LogTable()
+    assert table.run(spark, str(folder), str(tmp_path / "work")).head()["files_processed"] == 2
+    assert table.run(spark, str(folder), str(tmp_path / "work")).head()["files_processed"] == 0
+    assert LogTable("bgl").run(spark, str(folder), str(tmp_path / "work")).head()["files_processed"] == 2
+
+
 def test_parsers_by_name_and_function(spark, folder):
     path = str(folder / "b.log")
     per_line = parse_file_lines(spark, path, "per_line").where(F.col("record").isNotNull())
@@ -261,7 +317,7 @@ def test_steps(spark, folder, tmp_path):
         tools["similar_to_chunk"](99)
     assert tools["query_logs"]("select 1 one from logs limit 1").head()[0] == 1
     # A second run reuses both tables.
-    again = StepRunner([LogTable(), ChunkVectors()]).run(spark, str(folder), str(tmp_path / "work"))
+    again = StepRunner([LogTable("per_line"), ChunkVectors(size=50, overlap=5, max_chunks=6)]).run(spark, str(folder), str(tmp_path / "work"))
     assert again["log_table"].head()["files_processed"] == 0
 
 
