@@ -6,18 +6,21 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_span, preview
-from ..functions.vectors import dot, unit
+from ..functions.vectors import unit
 from ..plans.durable import materialise
+from ..plans.prefix import running_totals
+from ..plans.shipping import ship_code
+from .nearest import VectorIndex, build_index, matrix, similarities
 
 ENCODE_BATCH = 32
 CHUNKS_PER_SEGMENT = 4096
-QUERIES_AT_ONCE = 1024
 
 
 def _windows(lines: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -32,12 +35,15 @@ def _windows(lines: DataFrame, size: int, overlap: int) -> DataFrame:
     )
 
 
-def chunk_lines(lines: DataFrame, size: int = 100, overlap: int = 10) -> DataFrame:
+def chunk_lines(
+    lines: DataFrame, size: int = 100, overlap: int = 10, *, first: int | None = None
+) -> DataFrame:
     """Cut the lines of each file into chunks, numbered without the blank ones.
 
     ``lines`` has ``file``, dense ``line_no`` from 1 and ``value``. A group is one
     window, so a file of any length is spread over all tasks. Numbers are counted on
     window ids alone; the text is shuffled once and joined to them on the same key.
+    With ``first`` only so many chunks are built: lines of other windows are not shuffled.
     """
     windows = _windows(lines, size, overlap)
     filled = F.col("value").rlike(r"(?U)\S")
@@ -45,6 +51,9 @@ def chunk_lines(lines: DataFrame, size: int = 100, overlap: int = 10) -> DataFra
         windows.where(filled).select("file", "window_no").distinct()
     )
     numbers = _chunk_numbers(kept)
+    if first is not None:
+        numbers = materialise(numbers.where(F.col("chunk_index") < first), "first-windows")
+        windows = windows.join(numbers.select("file", "window_no"), ["file", "window_no"], "left_semi")
     text = F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", "value"))),
         lambda x: F.concat(x["value"], F.lit("\n")),
@@ -63,17 +72,17 @@ def chunk_lines(lines: DataFrame, size: int = 100, overlap: int = 10) -> DataFra
 def _chunk_numbers(windows: DataFrame) -> DataFrame:
     """``chunk_num`` in the file and ``chunk_index`` over all files, both from 0."""
     tagged = windows.withColumn("_segment", F.floor(F.col("window_no") / CHUNKS_PER_SEGMENT))
-    counts = tagged.groupBy("file", "_segment").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = materialise(
+        tagged.groupBy("file", "_segment").agg(F.count(F.lit(1)).alias("_rows")), "chunk-counts"
+    )
     # One row per segment of thousands of chunks.
-    until = (Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy("file").orderBy("_segment").rowsBetween(*until)
-    over_all = Window.orderBy("file", "_segment").rowsBetween(*until)
+    in_file = Window.partitionBy("file").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(
-        counts.select(
+        running_totals(counts, ["file", "_segment"], {"_over_all": "_rows"}).select(
             "file",
             "_segment",
             F.coalesce(F.sum("_rows").over(in_file), F.lit(0)).alias("_in_file"),
-            F.coalesce(F.sum("_rows").over(over_all), F.lit(0)).alias("_over_all"),
+            "_over_all",
         ),
         "chunk-offsets",
     )
@@ -138,20 +147,45 @@ def normalize_vectors(vectors: DataFrame, column: str = "vec") -> DataFrame:
     return vectors.withColumn(column, unit(F.col(column)))
 
 
+def _similarity(vectors: Column, query: Sequence[float]) -> Column:
+    """Products of a column of vectors with one query, a batch of rows at a time."""
+    own = np.array([float(x) for x in query])
+
+    @F.arrow_udf("double")
+    def product(column: pa.Array) -> pa.Array:
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        found = np.zeros(len(column))
+        found[known] = similarities(matrix(column.drop_null()), own) if known.any() else 0.0
+        return pa.array(found, mask=~known)
+
+    return product(vectors)
+
+
 def _nearest(
-    corpus: DataFrame, similarity: Column, top_k: int, minimum: float | None, key: str
+    corpus: DataFrame, query: Sequence[float], top_k: int, minimum: float | None, key: str, column: str
 ) -> DataFrame:
-    scored = corpus.withColumn("similarity", similarity)
+    ship_code(corpus.sparkSession)
+    scored = corpus.withColumn("similarity", _similarity(F.col(column), query))
     if minimum is not None:
         scored = scored.where(F.col("similarity") >= minimum)
     # Top k per task first, then over the tasks' k rows.
     return (
-        scored.orderBy(F.desc("similarity"), key)
+        scored.where(F.col("similarity").isNotNull())
+        .orderBy(F.desc("similarity"), key)
         .limit(max(top_k, 0))
         .withColumn("similarity", F.round("similarity", 4))
     )
 
 
+def _from_index(
+    corpus: DataFrame, index: VectorIndex, queries: DataFrame, top_k: int, minimum: float | None, others_only: bool
+) -> DataFrame:
+    """The rows of ``corpus`` that an index finds for one query."""
+    found = index.nearest(queries, max(top_k, 0), minimum, others_only=others_only)
+    near = materialise(found.select(index.key, F.round("similarity", 4).alias("similarity")), "nearest")
+    return corpus.join(near, index.key)
+
+
 def with_preview(found: DataFrame) -> DataFrame:
     """Hits with a short text and a line label."""
     return found.withColumn("preview", preview(F.col("chunk"))).withColumn(
@@ -167,92 +201,74 @@ def search_similar(
     *,
     column: str = "vec",
     key: str = "chunk_index",
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """The ``top_k`` rows closest to a unit vector.
 
-    ``query`` is the vector or a frame of one row and column that holds it.
+    ``query`` is the vector or a frame of one row and column that holds it. Without an
+    ``index`` the corpus is scanned once; with one, only cells that can matter are.
     """
     vector = query.head()[0] if isinstance(query, DataFrame) else query
-    return _nearest(corpus, dot(F.col(column), _constant(vector)), top_k, min_similarity, key)
+    if index is None:
+        return _nearest(corpus, vector, top_k, min_similarity, key, column)
+    asked = corpus.sparkSession.createDataFrame([(0, [float(x) for x in vector])], _QUERY)
+    return _from_index(corpus, index, asked, top_k, min_similarity, False)
 
 
-def _constant(vector: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(x)) for x in vector))
+_QUERY = "query_id long, vec array<double>"
 
 
-def _row_at(corpus: DataFrame, index: int, key: str, column: str) -> object:
-    row = corpus.where(F.col(key) == index).select(column).head() if index >= 0 else None
+def _row_at(corpus: DataFrame, place: int, key: str, column: str) -> object:
+    row = corpus.where(F.col(key) == place).select(column).head() if place >= 0 else None
     if row is None:
-        raise IndexError(f"chunk index {index} out of range")
+        raise IndexError(f"chunk index {place} out of range")
     return row[0]
 
 
 def similar_to_chunk(
-    corpus: DataFrame, index: int, top_k: int = 5, *, column: str = "vec", key: str = "chunk_index"
+    corpus: DataFrame,
+    place: int,
+    top_k: int = 5,
+    *,
+    column: str = "vec",
+    key: str = "chunk_index",
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """The ``top_k`` rows closest to one of the rows, itself left out."""
-    own = _constant(_row_at(corpus, index, key, column))
-    others = corpus.where(F.col(key) != index)
-    return _nearest(others, dot(F.col(column), own), top_k, None, key)
+    own = _row_at(corpus, place, key, column)
+    if index is None:
+        return _nearest(corpus.where(F.col(key) != place), own, top_k, None, key, column)
+    asked = corpus.sparkSession.createDataFrame([(place, [float(x) for x in own])], _QUERY)
+    return _from_index(corpus, index, asked, top_k, None, True)
 
 
 def similar_batch(
     corpus: DataFrame,
-    indexes: Sequence[int],
+    places: Sequence[int] | DataFrame,
     top_k: int = 5,
     *,
     column: str = "vec",
     key: str = "chunk_index",
+    index: VectorIndex | None = None,
 ) -> DataFrame:
-    """``similar_to_chunk`` for several rows in one pass over the corpus.
+    """``query_id, <key>, similarity, rank``: ``similar_to_chunk`` for many rows at once.
 
-    Each task multiplies its rows with the query matrix and keeps the best ``top_k`` per
-    query, so what leaves a task is queries times k rows and never all pairs. Indexes
-    that no row has are an error, as in ``similar_to_chunk``; no index gives no row.
+    ``places`` are keys, as a frame of one column or a list. Their rows are sent to the cells
+    of ``index`` (made here if there is none) that can hold one of their ``top_k``. Places
+    that no row has are an error, as in ``similar_to_chunk``; no place gives no row.
     """
-    wanted = sorted(set(indexes))
-    rows = corpus.where(F.col(key).isin(wanted)).select(key, column).collect()
-    missing = sorted(set(wanted) - {row[key] for row in rows})
+    spark = corpus.sparkSession
+    if not isinstance(places, DataFrame):
+        places = spark.createDataFrame([(int(p),) for p in set(places)], "query_id long")
+    wanted = materialise(places.toDF("query_id").distinct(), "query-ids")
+    own = corpus.select(F.col(key).cast("long").alias("query_id"), F.col(column).alias("vec"))
+    queries = materialise(own.join(wanted, "query_id"), "query-vectors")
+    missing = wanted.join(queries.select("query_id"), "query_id", "left_anti").limit(10).collect()
     if missing:
-        raise IndexError(f"chunk indexes {missing} out of range")
-    ids = np.array([row[key] for row in rows], dtype="int64")
-    queries = np.array([row[column] for row in rows], dtype="float64")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            if batch.empty or not len(ids):
-                continue
-            own = batch[key].to_numpy()
-            vectors = np.vstack(batch[column].to_numpy()).astype("float64").T
-            found = []
-            for begin in range(0, len(ids), QUERIES_AT_ONCE):
-                part = ids[begin : begin + QUERIES_AT_ONCE]
-                similarity = queries[begin : begin + QUERIES_AT_ONCE] @ vectors
-                similarity[part[:, None] == own[None, :]] = -np.inf
-                for query_id, near in zip(part, similarity):
-                    order = np.lexsort((own, -near))[:top_k]
-                    order = order[np.isfinite(near[order])]
-                    found.append(
-                        pd.DataFrame(
-                            {"query_id": query_id, key: own[order], "similarity": near[order]}
-                        )
-                    )
-            block = pd.concat(found if kept is None else [kept, *found])
-            block = block.sort_values(["query_id", "similarity", key], ascending=[True, False, True])
-            kept = block.groupby("query_id").head(top_k)
-        if kept is not None:
-            yield kept
-
-    near = corpus.select(key, column).mapInPandas(
-        best, f"query_id long, {key} long, similarity double"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return (
-        near.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_k)
-        .withColumn("similarity", F.round("similarity", 4))
-    )
+        raise IndexError(f"chunk indexes {sorted(row[0] for row in missing)} out of range")
+    index = index or build_index(corpus, column=column, key=key)
+    found = index.nearest(queries, max(top_k, 0), others_only=True)
+    return found.withColumn("similarity", F.round("similarity", 4))
 
 
 def chunk_by_index(chunks: DataFrame, index: int, key: str = "chunk_index") -> DataFrame:
