@@ -1,29 +1,57 @@
-"""Preparation steps run in order over one input."""
+"""Preparation steps run in order over one input.
+
+A step keeps its tables in a folder named after a fingerprint of the input files and of its
+own parameters. The same input and parameters find the folder again; a changed file, size
+or encoder has another one, so what was prepared for something else is never taken.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators.chunks import (
-    chunk_by_index,
     chunk_lines,
     embed_chunks,
     embedding_info,
-    first_chunks,
     search_similar,
     similar_to_chunk,
     with_preview,
 )
+from .operators.nearest import VectorIndex, build_index, read_index
 from .operators.logs import error_logs, log_stats, query_logs, search_logs
-from .sources.chunks import read_chunks, write_chunks
-from .sources.logs import open_or_ingest, path_exists, read_log_lines, with_line_numbers
+from .sources.chunks import read_chunk, read_chunks, write_chunks
+from .sources.logs import is_folder, open_or_ingest, path_exists, read_log_lines, with_line_numbers
 
 Tools = dict[str, Callable[..., DataFrame]]
 
 
+def _named(setting: object) -> object:
+    """A setting as it stands in a fingerprint; functions by name and code."""
+    if not callable(setting):
+        return setting
+    code = getattr(setting, "__code__", None)
+    body = "" if code is None else f"{code.co_code.hex()} {code.co_consts!r}"
+    return [getattr(setting, "__module__", ""), getattr(setting, "__qualname__", type(setting).__name__), body]
+
+
+def fingerprint(spark: SparkSession, path: str, *settings: object) -> str:
+    """A short digest of the log files at ``path`` (names, sizes, times) and of settings."""
+    reader = spark.read.format("binaryFile")
+    if is_folder(spark, path):
+        reader = reader.option("pathGlobFilter", "*.log")
+    # Only what the listing tells is read, not the files.
+    files = reader.load(path).select(F.xxhash64("path", "length", "modificationTime").alias("file"))
+    seen = files.agg(F.count(F.lit(1)), F.bit_xor("file"), F.sum(F.col("file").cast("decimal(38,0)"))).first()
+    text = json.dumps([*map(str, seen), *map(_named, settings)])
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
 class Step(Protocol):
     """Prepares an input below a workspace folder and offers queries on the outcome."""
 
@@ -46,7 +74,8 @@ class LogTable:
         self.logs: DataFrame | None = None
 
     def run(self, spark: SparkSession, path: str, workspace: str) -> DataFrame:
-        self.logs, stats = open_or_ingest(spark, path, f"{workspace}/logs", self.parser)
+        out = f"{workspace}/logs-{fingerprint(spark, path, self.parser)}"
+        self.logs, stats = open_or_ingest(spark, path, out, self.parser)
         return stats
 
     def tools(self) -> Tools:
@@ -76,23 +105,28 @@ class ChunkVectors:
         self.size, self.overlap, self.max_chunks = size, overlap, max_chunks
         self.make_encoder, self.model_name = make_encoder, model_name
         self.corpus: DataFrame | None = None
+        self.index: VectorIndex | None = None
         self.info: DataFrame | None = None
+        self.out = ""
 
     def run(self, spark: SparkSession, path: str, workspace: str) -> DataFrame:
-        out = f"{workspace}/chunk_vectors"
-        if not path_exists(spark, f"{out}/config/_SUCCESS"):
+        settings = (self.size, self.overlap, self.max_chunks, self.make_encoder, self.model_name)
+        self.out = f"{workspace}/chunk_vectors-{fingerprint(spark, path, *settings)}"
+        if not path_exists(spark, f"{self.out}/config/_SUCCESS"):
             lines = with_line_numbers(read_log_lines(spark, path))
-            chunks = chunk_lines(lines, self.size, self.overlap)
-            if self.max_chunks:
-                chunks = first_chunks(chunks, self.max_chunks)
+            chunks = chunk_lines(lines, self.size, self.overlap, first=self.max_chunks or None)
             write_chunks(
                 embed_chunks(chunks, self.make_encoder),
-                out,
+                self.out,
                 chunk_size=self.size,
                 overlap=self.overlap,
                 model_name=self.model_name,
             )
-        self.corpus, config = read_chunks(spark, out)
+        self.corpus, config = read_chunks(spark, self.out)
+        if path_exists(spark, f"{self.out}/index/centres/_SUCCESS"):
+            self.index = read_index(spark, f"{self.out}/index")
+        else:
+            self.index = build_index(self.corpus, f"{self.out}/index")
         info = embedding_info(self.corpus)
         for column in config.columns:
             info = info.withColumn(column, config.select(column).scalar())
@@ -106,12 +140,12 @@ class ChunkVectors:
     def tools(self) -> Tools:
         return {
             "search_similar": lambda text, top_k=5, min_similarity=0.0: with_preview(
-                search_similar(self.corpus, self._query(text), top_k, min_similarity)
+                search_similar(self.corpus, self._query(text), top_k, min_similarity, index=self.index)
             ),
             "similar_to_chunk": lambda index, top_k=5: with_preview(
-                similar_to_chunk(self.corpus, index, top_k)
+                similar_to_chunk(self.corpus, index, top_k, index=self.index)
             ),
-            "chunk_by_index": lambda index: chunk_by_index(self.corpus, index),
+            "chunk_by_index": lambda index: read_chunk(self.corpus.sparkSession, self.out, index),
             "embedding_info": lambda: self.info,
         }
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from cairnlog.functions.vectors import dot
 from cairnlog.operators import chunks as ops
+from cairnlog.operators.nearest import build_index
+from cairnlog.plans.files import new_folder
+from cairnlog.sources.chunks import read_chunk, read_chunk_range, write_chunks
 
-from . import register
+from . import CATALOG, register
 from .views import Tables, sql
 
 SIZE, OVERLAP = 10, 3
@@ -37,9 +40,23 @@ def _corpus(t: Tables) -> DataFrame:
 register("v1_chunk_lines", _chunks, _chunked("SELECT * FROM chunks"))
 register(
     "v2_first_chunks",
-    lambda t: ops.first_chunks(_chunks(t), 40),
+    lambda t: ops.chunk_lines(t.doc_lines(), SIZE, OVERLAP, first=40),
     _chunked("SELECT * FROM chunks WHERE chunk_index < 40"),
 )
+
+
+def _stored_chunks(t: Tables) -> str:
+    """The folder of all chunks, stored by number."""
+    folder = new_folder(t.spark, "catalog-chunks")
+    write_chunks(_chunks(t), folder, chunk_size=SIZE, overlap=OVERLAP, model_name="none", per_part=64)
+    return folder
+
+
+register(
+    "v2_stored_chunks",
+    lambda t: read_chunk_range(t.spark, _stored_chunks(t), 0, 40),
+    CATALOG["v2_first_chunks"].sql,
+)
 register(
     "v3_embed_chunks",
     lambda t: ops.embed_chunks(_chunks(t)).select(
@@ -85,6 +102,13 @@ register(
         WHERE chunk = (SELECT chunk FROM chunks WHERE chunk_index = 5) ORDER BY chunk_index LIMIT 1"""
     ),
 )
+register(
+    "v4_search_similar_indexed",
+    lambda t: ops.search_similar(
+        _corpus(t), _query_vector(t), 7, 0.1, index=build_index(_corpus(t))
+    ).select("chunk_index", "file", "similarity"),
+    CATALOG["v4_search_similar"].sql,
+)
 register(
     "v5_similar_to_chunk",
     lambda t: ops.similar_to_chunk(_corpus(t), 3, 6).select(
@@ -99,8 +123,7 @@ register(
 def _batch(t: Tables) -> DataFrame:
     """The nearest rows of each label's first vector."""
     firsts = t.table("embeddings").groupBy("label").agg(F.min("vec_id").alias("id"))
-    ids = [row["id"] for row in firsts.collect()]
-    return ops.similar_batch(_corpus(t), sorted(ids), 4).select(
+    return ops.similar_batch(_corpus(t), firsts.select("id"), 4).select(
         "query_id", "chunk_index", F.col("rank").cast("long"), "similarity"
     )
 
@@ -116,7 +139,7 @@ register(
 )
 register(
     "v7_chunk_by_index",
-    lambda t: ops.chunk_by_index(_chunks(t), 5),
+    lambda t: read_chunk(t.spark, _stored_chunks(t), 5),
     _chunked("SELECT * FROM chunks WHERE chunk_index = 5"),
 )
 register(
