@@ -7,7 +7,7 @@ is summed up by partial aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.durable import materialise
@@ -175,34 +175,81 @@ def newest_runs(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc("session_id"))
 
 
+def _longer(paths: DataFrame, segments: DataFrame) -> DataFrame:
+    """Every open path continued by every segment that begins where the path ends.
+
+    ``nodes`` may not repeat, but for the last one, which then closes the path.
+    """
+    left = paths.where("open").select(
+        "session_id", "rooted", "top", F.col("nodes").alias("head"), F.element_at("nodes", -1).alias("joint")
+    )
+    right = segments.select(
+        "session_id", F.col("nodes")[0].alias("joint"), F.col("nodes").alias("tail"), F.col("open").alias("tail_open")
+    )
+    inner = F.slice("tail", F.lit(2), F.size("tail") - 2)
+    crosses = F.coalesce(F.arrays_overlap("head", inner), F.lit(False))
+    met = F.coalesce(F.array_contains("head", F.element_at("tail", -1)), F.lit(False))
+    return (
+        left.join(right, ["session_id", "joint"])
+        .where(~crosses)
+        .select(
+            "session_id",
+            "rooted",
+            "top",
+            F.concat("head", F.slice("tail", F.lit(2), F.size("tail") - 1)).alias("nodes"),
+            (F.col("tail_open") & ~met).alias("open"),
+        )
+    )
+
+
 def run_tree(interactions: DataFrame) -> DataFrame:
     """Interactions with ``depth`` and ``path`` of agent names below a root.
 
     Children name their parent, so paths are found between distinct agent names per
     session and interactions are attached once per path. An agent already on the path
-    is shown but not followed again, so the levels come to an end by themselves.
+    is shown but not followed again, so paths come to an end by themselves.
+
+    Paths grow by doubling: round j has all paths from a root with fewer than 2 ** j steps
+    and all segments, from any agent, of 2 ** j steps. Both are continued by the segments,
+    which gives all rooted paths below 2 ** (j + 1) steps and the next segments. So a chain
+    of a thousand agents takes ten rounds, each one join and one table.
     """
     edges = materialise(
         interactions.select("session_id", "parent", "agent").distinct(), "run-edges"
     )
-    child = edges.where(F.col("parent").isNotNull() & (F.col("parent") != ""))
-    root = F.col("parent").isNull() | (F.col("parent") == "")
-    # ``above`` is the path of the parent; roots hang below the empty path.
-    level = edges.where(root).select("session_id", "parent", "agent").withColumn(
-        "above", F.array().cast("array<string>")
+    is_root = F.col("parent").isNull() | (F.col("parent") == "")
+    roots = edges.where(is_root).select(
+        "session_id",
+        F.lit(True).alias("rooted"),
+        F.col("parent").alias("top"),
+        F.array("agent").alias("nodes"),
+        F.lit(True).alias("open"),
     )
-    found = level
-    while True:
-        grown = level.where(~F.array_contains("above", F.col("agent"))).select(
-            "session_id",
-            F.col("agent").alias("parent"),
-            F.array_append("above", F.col("agent")).alias("above"),
-        ).distinct()
-        level = materialise(grown.join(child, ["session_id", "parent"]), "run-level")
-        if level.isEmpty():
+    segments = edges.where(~is_root).select(
+        "session_id",
+        F.lit(False).alias("rooted"),
+        F.lit(None).cast("string").alias("top"),
+        F.array("parent", "agent").alias("nodes"),
+        F.coalesce(F.col("parent") != F.col("agent"), F.lit(True)).alias("open"),
+    )
+    paths, known = roots, roots.count()
+    while known:
+        seen = Observation()
+        grown = paths.unionByName(_longer(paths.unionByName(segments), segments)).observe(
+            seen, F.count_if("rooted").alias("rooted"), F.count_if(~F.col("rooted")).alias("segments")
+        )
+        stored = materialise(grown, "run-paths")
+        paths, segments = stored.where("rooted"), stored.where(~F.col("rooted"))
+        longer, known = seen.get["rooted"] > known, seen.get["rooted"]
+        if not longer or not seen.get["segments"]:
             break
-        found = found.unionByName(level.select("session_id", "parent", "agent", "above"))
-    paths = found.select("session_id", "parent", "agent", "above").distinct()
+    placed = paths.select(
+        "session_id",
+        F.element_at("nodes", -1).alias("agent"),
+        F.when(F.size("nodes") > 1, F.try_element_at("nodes", F.lit(-2))).otherwise(F.col("top")).alias("parent"),
+        (F.size("nodes") - 1).alias("depth"),
+        F.array_join("nodes", " > ").alias("path"),
+    )
     same = (
         (F.col("i.session_id") == F.col("p.session_id"))
         & (F.col("i.agent") == F.col("p.agent"))
@@ -210,12 +257,6 @@ def run_tree(interactions: DataFrame) -> DataFrame:
     )
     return (
         interactions.alias("i")
-        .join(paths.alias("p"), same)
-        .select(
-            "i.session_id",
-            "i.interaction_no",
-            "i.agent",
-            F.size("p.above").alias("depth"),
-            F.array_join(F.array_append("p.above", F.col("i.agent")), " > ").alias("path"),
-        )
+        .join(placed.alias("p"), same)
+        .select("i.session_id", "i.interaction_no", "i.agent", "p.depth", "p.path")
     )

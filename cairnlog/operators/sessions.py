@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import block_id, message_body
 from ..functions.text import mentions
+from ..plans.durable import materialise
 from ..plans.numbering import number_in_groups
 from ..plans.once import add_once
 
@@ -36,14 +37,16 @@ def extract_sessions(lines: DataFrame, value: str = "raw_line") -> DataFrame:
     keyed = session_lines(lines, value)
     order = [name for name in ("file", "line_no") if name in keyed.columns]
     keyed = keyed.select("session_id", *order, value)
-    sizes = keyed.groupBy("session_id").agg(
-        F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("n_events")
-    )
     segment = F.struct(*order[:-1], F.floor(F.col("line_no") / LINES_PER_SEGMENT).alias("part"))
     numbered = number_in_groups(
-        keyed, ["session_id"], segment, [F.col(name) for name in order], "event_no"
+        keyed,
+        ["session_id"],
+        segment,
+        [F.col(name) for name in order],
+        "event_no",
+        whole={"_first": (F.min(F.struct(*order)), F.min), "n_events": (F.count(F.lit(1)), F.sum)},
     )
-    return numbered.join(sizes, "session_id").select(
+    return numbered.select(
         "session_id",
         "event_no",
         *order,
@@ -54,11 +57,16 @@ def extract_sessions(lines: DataFrame, value: str = "raw_line") -> DataFrame:
 
 
 def first_sessions(lines: DataFrame, n: int = 10, value: str = "raw_line") -> DataFrame:
-    """Lines of the first ``n`` sessions by first appearance; 0 keeps all."""
+    """Lines of the first ``n`` sessions by first appearance; 0 keeps all.
+
+    With a ``file`` column files follow each other by name, as in ``extract_sessions``.
+    """
     keyed = session_lines(lines, value)
     if n <= 0:
         return keyed
-    starts = keyed.groupBy("session_id").agg(F.min("line_no").alias("_first"))
+    order = [name for name in ("file", "line_no") if name in keyed.columns]
+    # Sessions that start on one line do not exist: a line belongs to one session.
+    starts = keyed.groupBy("session_id").agg(F.min(F.struct(*order)).alias("_first"))
     return keyed.join(starts.orderBy("_first").limit(n), "session_id", "left_semi")
 
 
@@ -73,25 +81,53 @@ def format_sessions(sessions: DataFrame, value: str = "raw_line") -> DataFrame:
     return sessions.select("session_id", F.inline(rows))
 
 
+#: Hex digits of a digest that make a cell of the shuffled order.
+CELL_DIGITS = 3
+
+
+def _cut_cells(cells: DataFrame, wanted: int) -> DataFrame:
+    """``label, _cut, _rest`` from counts of cells: the cell that holds the last wanted id of
+    a label, and how many of the cell's ids are wanted. Labels with fewer ids have none."""
+    before = F.sum("n").over(
+        Window.partitionBy("label").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # One row per label and cell: at most 16 ** CELL_DIGITS to a label.
+    running = cells.withColumn("_before", F.coalesce(before, F.lit(0)))
+    return running.where(
+        (F.col("_before") < wanted) & (F.col("_before") + F.col("n") >= wanted)
+    ).select("label", F.col("_cell").alias("_cut"), (wanted - F.col("_before")).alias("_rest"))
+
+
 def balanced_sample(
     labels: DataFrame, n: int | None, seed: int = 42, *, order: Column | None = None
 ) -> DataFrame:
     """``n // 2`` ids per label, or all ids when a label has fewer; ``n`` None keeps all.
 
-    ``order`` is a hex digest that shuffles the ids; by default one of seed and id.
+    ``order`` is a hex digest that shuffles the ids; by default one of seed and id. Counts
+    of digest prefixes tell up to which prefix ids are wanted: rows beyond it go at once,
+    rows before it stay, and only those of the last prefix are ranked.
     """
     if n is None:
         return labels
+    wanted = max(n // 2, 0)
     digest = order if order is not None else F.md5(F.concat(F.lit(f"{seed}:"), "block_id"))
-    shuffled = labels.withColumn("_digest", digest)
+    shuffled = labels.where(F.col("label").isNotNull() & F.lit(wanted > 0)).withColumn(
+        "_digest", F.coalesce(digest, F.lit(""))
+    )
+    shuffled = shuffled.withColumn("_cell", F.substring("_digest", 1, CELL_DIGITS))
+    cells = shuffled.groupBy("label", "_cell").agg(F.count(F.lit(1)).alias("n"))
+    cuts = materialise(_cut_cells(cells, wanted), "sample-cuts")
+    placed = shuffled.join(cuts, "label", "left")
+    sure = placed.where(F.col("_cut").isNull() | (F.col("_cell") < F.col("_cut")))
     ranked = number_in_groups(
-        shuffled,
+        placed.where(F.col("_cell") == F.col("_cut")),
         ["label"],
-        F.substring("_digest", 1, 3),
+        F.substring("_digest", CELL_DIGITS + 1, CELL_DIGITS),
         [F.col("_digest"), F.col("block_id")],
         "_place",
     )
-    return ranked.where(F.col("_place") <= n // 2).drop("_digest", "_place")
+    last = ranked.where(F.col("_place") <= F.col("_rest"))
+    return sure.select(*labels.columns).unionByName(last.select(*labels.columns))
 
 
 def sessions_with_labels(sessions: DataFrame, labels: DataFrame) -> DataFrame:

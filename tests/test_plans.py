@@ -7,11 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnlog.operators.chunks import chunk_lines, first_chunks, similar_batch, similar_to_chunk
+from cairnlog.operators import runs as runs_module
 from cairnlog.operators.lines import uniq_adjacent
 from cairnlog.operators.runs import run_tree
 from cairnlog.plans.durable import shared_dir
 from cairnlog.plans.medians import exact_medians
 from cairnlog.plans.numbering import number_in_groups
+from cairnlog.plans.prefix import running_totals
+from scans import scanned_rows
 
 
 def test_number_in_groups(spark):
@@ -23,6 +26,40 @@ def test_number_in_groups(spark):
         assert {r["v"]: r["n"] for r in found if r["k"] == key} == expected
 
 
+def test_number_in_groups_with_aggregates_of_the_group(spark):
+    rows = [("hot" if n % 3 else "cold", n * 7 % 1009) for n in range(1000)]
+    frame = spark.createDataFrame(rows, "k string, v long")
+    whole = {"n": (F.count(F.lit(1)), F.sum), "least": (F.min("v"), F.min)}
+    found = number_in_groups(frame, ["k"], F.floor(F.col("v") / 64), [F.col("v")], "place", whole=whole).collect()
+    for key in ("hot", "cold"):
+        own = [v for k, v in rows if k == key]
+        assert {(r["n"], r["least"]) for r in found if r["k"] == key} == {(len(own), min(own))}
+
+
+@pytest.mark.parametrize("count", [0, 1, 700])
+def test_running_totals(spark, count):
+    rng = random.Random(count)
+    values = [rng.randrange(-5, 50) for _ in range(count)]
+    rows = list(enumerate(values))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "place long, v long").withColumn("one", F.lit(1))
+    # One block, several of them, and more of them than splits.
+    for rows_ in (65_536, 300, 20):
+        got = running_totals(frame, ["place"], {"before": "v", "n": "one"}, block_rows=rows_).collect()
+        assert sorted((r["place"], r["before"], r["n"]) for r in got) == [
+            (i, sum(values[:i]), i) for i in range(count)
+        ]
+
+
+def test_windows_without_a_key_see_blocks_only(spark):
+    frame = spark.range(5000).select(F.col("id").alias("place"), F.lit(1).alias("v"))
+    totals = running_totals(frame, ["place"], {"before": "v"}, block_rows=700)
+    assert totals.agg(F.max("before")).first()[0] == 4999
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    # The only exchange to one partition carries the totals of blocks.
+    assert plan.count("SinglePartition") <= 2 and "_block" in plan
+
+
 def test_exact_medians(spark):
     rng = random.Random(5)
     rows = [(rng.choice("aab"), rng.choice([rng.uniform(-3, 900), 4.0, 0.0])) for _ in range(2001)]
@@ -118,3 +155,67 @@ def test_medians_of_values_close_together(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_a_long_chain_takes_few_tables(spark, monkeypatch):
+    rows = [("s", 0, "a0", None)] + [("s", i, f"a{i}", f"a{i - 1}") for i in range(1, 1000)]
+    interactions = spark.createDataFrame(rows, "session_id string, interaction_no long, agent string, parent string")
+    written = []
+    materialise = runs_module.materialise
+    monkeypatch.setattr(runs_module, "materialise", lambda *a: (written.append(a[1]), materialise(*a))[1])
+    found = run_tree(interactions).collect()
+    assert {(r["agent"], r["depth"]) for r in found} == {(f"a{i}", i) for i in range(1000)} and len(found) == 1000
+    assert max(found, key=lambda r: r["depth"])["path"] == " > ".join(f"a{i}" for i in range(1000))
+    assert len(written) <= 12
+
+
+def plain_tree(rows):
+    """All paths from a root; an agent that is on its path already is not followed."""
+    edges = {(s, p or "", a) for s, _, a, p in rows}
+    paths, found = [(s, p, a, (a,)) for s, p, a in edges if not p], []
+    while paths:
+        s, p, a, path = paths.pop()
+        found.append((s, p, a, path))
+        if a not in path[:-1]:
+            paths += [(s, a, b, (*path, b)) for t, q, b in edges if t == s and q == a and a]
+    return sorted(
+        (s, n, a, len(path) - 1, " > ".join(path))
+        for s, n, a, p in rows
+        for t, q, b, path in found
+        if (t, q, b) == (s, p or "", a)
+    )
+
+
+def test_trees_with_rings(spark):
+    rng = random.Random(17)
+    for agents in (3, 5, 6):
+        rows = [(f"s{i % 2}", i, f"a{rng.randrange(agents)}", rng.choice([None, *(f"a{j}" for j in range(agents))])) for i in range(16)]
+        interactions = spark.createDataFrame(rows, "session_id string, interaction_no long, agent string, parent string")
+        assert sorted(map(tuple, run_tree(interactions).collect())) == plain_tree(rows)
+    none = spark.createDataFrame([("s", 1, "a", "b")], "session_id string, interaction_no long, agent string, parent string")
+    assert run_tree(none).count() == 0
+
+
+def test_stored_chunks_are_read_by_number(spark, tmp_path):
+    from cairnlog.sources.chunks import read_chunk, read_chunk_range, read_chunks, write_chunks
+
+    lines = spark.range(3000).select(
+        F.concat(F.lit("f"), F.floor(F.col("id") / 1000)).alias("file"), (F.col("id") % 1000 + 1).alias("line_no"),
+        F.concat(F.lit("line "), "id").alias("value"))
+    chunks = chunk_lines(lines, 5, 1)
+    path = str(tmp_path / "chunks")
+    write_chunks(chunks, path, chunk_size=5, overlap=1, model_name="none", per_part=100)
+    stored, config = read_chunks(spark, path)
+    assert stored.columns == chunks.columns and config.columns == ["chunk_size", "overlap", "model_name"]
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, chunks.collect()))
+    found, rows = scanned_rows(spark, lambda: read_chunk_range(spark, path, 0, 40).collect(), "parquet")
+    assert sorted(r["chunk_index"] for r in found) == list(range(40)) and rows <= 102
+    (one,), rows = scanned_rows(spark, lambda: read_chunk(spark, path, 450).collect(), "parquet")
+    assert one["chunk_index"] == 450 and rows <= 210
+    for wrong in (-1, 750, 10_000):
+        with pytest.raises(IndexError):
+            read_chunk(spark, path, wrong)
+    first = chunk_lines(lines, 5, 1, first=40)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, found))
+    write_chunks(chunks.limit(0), str(tmp_path / "none"), chunk_size=5, overlap=1, model_name="none")
+    assert read_chunks(spark, str(tmp_path / "none"))[0].count() == 0
