@@ -11,6 +11,7 @@ from cairnlog.operators.questions import generate_questions
 from cairnlog.operators.stats import log_facts
 
 from . import register
+from .counts import _FACTS, _QUESTION_SQL
 from .views import Tables, sql
 
 def _response():
@@ -259,33 +260,41 @@ register(
 )
 
 
+# The ids of all questions.
+_QUESTIONS = (
+    "q1_error_count", "q2_total_lines", "q3_top_component", "q4_top3_components", "q5_peak_error_hour",
+    "q6_warning_count", "q7_level_types", "q8_error_ratio", "q9_unique_nodes", "q10_busiest_node",
+    "q11_has_fatal", "q12_component_most_errors", "q13_info_error_ratio", "q14_info_vs_warning",
+    "q15_quietest_hour", "q16_busiest_hour", "q17_nodes_vs_components", "q18_hours_with_errors",
+)
+
+
 def _scored(t: Tables) -> DataFrame:
+    """Every response as an answer to one of the questions, each of which gets its share."""
     questions = generate_questions(log_facts(t.parsed()))
+    number = (F.col("event_id") % len(_QUESTIONS) + 1).cast("int")
     responses = _responses(t).select(
         "event_id",
         _response(),
         F.concat(F.lit("cfg"), (F.col("event_id") % 4).cast("string")).alias("config_name"),
-        F.element_at(
-            F.array(*map(F.lit, ("q1_error_count", "q3_top_component", "q7_level_types"))),
-            (F.col("event_id") % 3 + 1).cast("int"),
-        ).alias("question_id"),
+        F.element_at(F.array(*map(F.lit, _QUESTIONS)), number).alias("question_id"),
         F.col("expected_int").alias("tokens_input"),
         (F.col("event_id") % 9).alias("tokens_output"),
     )
     return ops.score_answers(responses, questions)
 
 
-_Q = """q AS (SELECT (SELECT count(*) FROM p WHERE level = 'ERROR') AS e,
-    (SELECT component FROM p GROUP BY 1 ORDER BY count(*) DESC, min(line_no) LIMIT 1) AS c,
-    (SELECT list(lower(level) ORDER BY level) FROM (SELECT DISTINCT level FROM p)) AS levels)"""
-_SCORED = f"""SELECT concat('cfg', CAST(event_id % 4 AS varchar)) AS config_name,
-    CASE event_id % 3 WHEN 0 THEN 'q1_error_count' WHEN 1 THEN 'q3_top_component' ELSE 'q7_level_types' END AS question_id,
-    coalesce(CASE event_id % 3 WHEN 0 THEN {_INT} = e
-      WHEN 1 THEN contains(lower({_PLAIN}), lower(c)) OR contains(lower(c), lower({_PLAIN}))
-      ELSE list_sort(list_distinct(list_transform(items, lambda x: lower(x)))) = levels END, false) AS correct,
+_IDS = ", ".join(f"'{name}'" for name in _QUESTIONS)
+_EXPECTED = "string_split(q.expected_texts, '|')"
+_SCORED = f"""SELECT concat('cfg', CAST(event_id % 4 AS varchar)) AS config_name, q.id AS question_id,
+    coalesce(CASE q.answer_type
+      WHEN 'integer' THEN abs({_INT} - q.expected_int) <= q.tolerance
+      WHEN 'string_match' THEN len(list_filter({_EXPECTED},
+        lambda x: contains(lower(trim(plain)), lower(x)) OR contains(lower(x), lower(trim(plain))))) > 0
+      ELSE {_FOLD.format("items")} = {_FOLD.format(_EXPECTED)} END, false) AS correct,
     a IS NULL AS failed,
-    CASE WHEN a IS NULL THEN 0 ELSE expected_int + event_id % 9 END AS tokens
-  FROM ({_LIST_INPUT}), q"""
+    CASE WHEN a IS NULL THEN 0 ELSE r.expected_int + event_id % 9 END AS tokens
+  FROM ({_LIST_INPUT}) r JOIN quest q ON q.id = [{_IDS}][event_id % {len(_QUESTIONS)} + 1]"""
 register(
     "q13_score_answers",
     lambda t: _scored(t)
@@ -296,12 +305,14 @@ register(
         F.count("error").alias("errors"),
         F.sum("tokens_total").alias("tokens"),
     ),
-    sql("SELECT 1", "p", "v_responses").replace(
+    sql("SELECT 1", "ph", "v_responses").replace(
         "\nSELECT 1",
         ",\n"
+        + _FACTS
+        + ",\nquest AS ("
+        + _QUESTION_SQL
+        + "),\n"
         + _ANSWERS
-        + ",\n"
-        + _Q
         + f"""\nSELECT config_name, question_id, count(*) AS n, count(*) FILTER (correct) AS correct,
         count(*) FILTER (failed) AS errors, CAST(sum(tokens) AS BIGINT) AS tokens
         FROM ({_SCORED}) GROUP BY 1, 2""",

@@ -135,13 +135,13 @@ register(
 
 
 def _half(t: Tables, rest: int) -> DataFrame:
-    """Beginnings of block ids: of every third event, or of the others. Many are in both."""
-    short = F.substring("value", 1, 6).alias("value")
+    """The words of every third line, or of the others. Many are in both, some in one only."""
     third = F.col("line_no") % 3 == 0
-    return _block_file(t).where(~third if rest else third).select("file", "line_no", short)
+    words = F.explode(F.split("value", " ")).alias("value")
+    return _log_file(t).where(~third if rest else third).select("file", "line_no", words)
 
 
-_HALF = "SELECT value[1:6] AS value FROM blocks_file WHERE (line_no % 3 <> 0) = ({0} = 1)"
+_HALF = """SELECT unnest(string_split(value, ' ')) AS value FROM mixed WHERE (line_no % 3 <> 0) = ({0} = 1)"""
 for _name, _run, _set in (
     ("u11_common_lines", ops.common_lines, f"{_HALF.format(0)} INTERSECT ALL {_HALF.format(1)}"),
     ("u11_only_left", ops.only_left, f"{_HALF.format(0)} EXCEPT ALL {_HALF.format(1)}"),

@@ -5,14 +5,21 @@ from pyspark.sql import functions as F
 from cairnlog.functions import parsing as p
 from cairnlog.operators.templates import check_template, refine_template
 
-ADDED = "110731 070809 7 INFO dfs.FSNamesystem: BLOCK* NameSystem.addStoredBlock: blockMap updated: 192.168.7.5:50010 is added to blk_77 size 1024"
-RECEIVING = "110731 070810 12 INFO dfs.DataNode$DataXceiver: Receiving block blk_-78 src: /192.168.7.4:40001 dest: /192.168.7.5:50010"
-RESPONDER = "110731 070811 13 INFO dfs.DataNode$PacketResponder: PacketResponder 2 for block blk_79 terminating"
+HEAD = "190203 141516 21 "
+ALLOCATION = HEAD + "INFO fs.Names: allocate /jobs/7/out-3 as blk_41 now"
+FAILING_WRITE = HEAD + "ERROR fs.Node: write of blk_-42 to 10.1.2.3:4040 ended after 17, 0x2f left"
+DELETION = HEAD + "WARN fs.Names: drop blk_43 (-1.5) from 10.1.2.4; x7 stays"
 TEMPLATES = {
-    ADDED: "BLOCK* NameSystem.addStoredBlock: blockMap updated: <*>:<*> is added to <*> size <*>",
-    RECEIVING: "Receiving block <*> src: <*>:<*> dest: <*>:<*>",
-    RESPONDER: "PacketResponder <*> for block <*> terminating",
+    ALLOCATION: "allocate <*> as <*> now",
+    FAILING_WRITE: "write of <*> to <*>:<*> ended after <*>, <*> left",
+    DELETION: "drop <*> (-1.5) from <*>; x7 stays",
 }
+# One token of every kind, with what a template has in its place.
+TOKENS = {
+    "blk_5": "<*>", "blk_-5": "<*>", "8": "<*>", "-8": "<*>", "8.25": "<*>", "0xBeef": "<*>", "/a/b.c": "<*>",
+    "10.1.2.3": "<*>", "/10.1.2.3": "<*>", "10.1.2.3:99": "<*>:<*>", "/10.1.2.3:99": "<*>:<*>",
+    "word": "word", "blk5": "blk5", "8x": "8x", "a/b": "a/b", "k=8": "k=8", "(8": "(8", "--8": "--8",
+}
 
 
 def apply(spark, function, *values):
@@ -44,25 +51,31 @@ def test_bgl_and_generic(spark):
     assert apply(spark, p.line_format, line, "a b", "a") == ["bgl", "generic", "generic"]
 
 
-def test_block_headers_and_templates(spark):
-    bodies = apply(spark, p.message_body, *TEMPLATES, "110731 070812 INFO dfs.DataNode: Receiving block blk_3", "no header")
-    assert bodies[1].startswith("Receiving block blk_-78 src:")
-    assert bodies[3:] == ["Receiving block blk_3", "no header"]
+def test_block_headers(spark):
+    bodies = apply(spark, p.message_body, *TEMPLATES, "190203 141516 INFO fs.Node: no process number", "no header")
+    assert bodies[0] == "allocate /jobs/7/out-3 as blk_41 now"
+    assert bodies[3:] == ["no process number", "no header"]
     assert apply(spark, p.mine_template, *bodies[:3]) == list(TEMPLATES.values())
-    assert apply(spark, p.mine_template, "at /a/b.c, 0x1F and x=5 (7)") == ["at <*>, <*> and x=5 (7)"]
-    assert apply(spark, p.block_id, ADDED, "blk_-12 blk_3", "none") == ["blk_77", "blk_-12", None]
+    assert apply(spark, p.block_id, DELETION, "blk_-12 blk_3", "none") == ["blk_43", "blk_-12", None]
+
+
+def test_tokens_before_punctuation(spark):
+    ends = ["", ".", ",", ";", ":", ")"]
+    bodies = [f"at {token}{end} end" for token in TOKENS for end in ends]
+    expected = [f"at {shape}{end} end" for shape in TOKENS.values() for end in ends]
+    assert apply(spark, p.mine_template, *bodies) == expected
+    assert apply(spark, p.mine_template, "", "8", "8!", "8..") == ["", "<*>", "8!", "8.."]
 
 
 def test_template_critic_and_refiner(spark):
-    raw = ADDED.partition("FSNamesystem: ")[2]
-    found = apply(spark, check_template, (ADDED, raw), (RECEIVING, "Receiving block blk_<*> src: <*>:<*> dest: <*>:<*>"),
-                  (RESPONDER, "PacketResponder 2 for block blk_* terminating"), (RESPONDER, TEMPLATES[RESPONDER]))
-    assert [x["template"] for x in found] == [*TEMPLATES.values(), TEMPLATES[RESPONDER]]
+    body, half = "allocate /jobs/7/out-3 as blk_41 now", "write of blk_<*> to <*>:<*> ended after 17, 0x2f left"
+    found = apply(spark, check_template, (ALLOCATION, body), (FAILING_WRITE, half), (DELETION, "drop"), (DELETION, TEMPLATES[DELETION]))
+    assert [x["template"] for x in found] == [*TEMPLATES.values(), TEMPLATES[DELETION]]
     assert [x["is_correct"] for x in found] == [False, False, False, True]
-    found = apply(spark, refine_template, (ADDED, raw, TEMPLATES[ADDED]), (RECEIVING, TEMPLATES[RECEIVING], TEMPLATES[RECEIVING]),
-                  (RESPONDER, "PacketResponder 2 for block blk_* terminating", "PacketResponder <*> for block blk_<*> terminating"))
+    found = apply(spark, refine_template, (ALLOCATION, body, TEMPLATES[ALLOCATION]), (FAILING_WRITE, TEMPLATES[FAILING_WRITE], half),
+                  (DELETION, "drop", "drop <*>"))
     assert [x["template"] for x in found] == list(TEMPLATES.values())
-    assert [x["chosen"] for x in found] == ["critic", "critic", "mined"]
+    assert [x["chosen"] for x in found] == ["critic", "parser", "mined"]
 
 
 def test_hour_of(spark):
