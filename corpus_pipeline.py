@@ -21,6 +21,7 @@ from cairnlog.llm.quality import quality
 from cairnlog.llm.queries import table, tokenizer_file
 from cairnlog.llm.shipping import ship_code
 from cairnlog.llm.storage import new_folder
+from cairnlog.plans.durable import materialise
 
 
 def _with_text(documents: DataFrame, source: str, field: str, columns: list[str]) -> DataFrame:
@@ -53,7 +54,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     ship_code(spark)
     judged = near_duplicates(docs)
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
+    # Written first: while the ids that go are few, they are broadcast and no text is moved.
+    gone = materialise(judged.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
     left = docs.join(gone, "doc_id", "left_anti")
     again = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     again = again.where((F.col("n") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
@@ -65,8 +67,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, also those that are most of one."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"), shorter=True)
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    gone = materialise(leaks.select("doc_id").distinct(), "leaking-documents")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
