@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cairnlog.plans.durable import materialise
 
+from .shipping import ship_code
 from .tokenizer import encoder
 
 CAPACITY = 2048
@@ -43,6 +44,7 @@ def tokenize_pieces(
     one; it still has its end id. Repeated rows are documents of their own, told apart
     by ``item_id``. ``ids`` are little-endian unsigned 32-bit integers.
     """
+    ship_code(documents.sparkSession)
     kind = documents.schema[id_column].dataType.simpleString()
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 

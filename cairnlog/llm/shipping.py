@@ -1,32 +1,7 @@
-"""The library's own code for the executors.
-
-Functions that run in tasks import this package there. A cluster whose executors do not
-have it installed gets it as a zip file through Spark, once per application.
-"""
+"""The library's own code for the executors: see ``cairnlog.plans.shipping``."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import SparkSession
-
-from .storage import new_folder, write_bytes
-
-_SHIPPED: set[str] = set()
-
+from cairnlog.plans.shipping import ship_code
 
-def ship_code(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as archive:
-        for path in sorted(package.rglob("*.py")):
-            archive.write(path, path.relative_to(package.parent).as_posix())
-    address = f"{new_folder(spark, 'code')}/{package.name}.zip"
-    write_bytes(address, packed.getvalue())
-    context.addPyFile(address)
-    _SHIPPED.add(context.applicationId)
+__all__ = ["ship_code"]

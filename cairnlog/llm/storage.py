@@ -1,55 +1,7 @@
-"""Binary files in the folder that all executors share.
-
-Spark's writers commit tables; the files here are formats of their own. A task writes
-each file under a name that holds its attempt, and reports it in a table that Spark
-commits: files of lost or repeated attempts are never read, as no table lists them.
-"""
+"""Binary files in the folder that all executors share: see ``cairnlog.plans.files``."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark import TaskContext
-from pyspark.sql import SparkSession
-
-from cairnlog.plans.durable import shared_dir
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """The address of a folder that does not exist yet, below the shared one."""
-    return f"{shared_dir(spark)}/cairnlog/{label}-{uuid.uuid4().hex}"
-
-
-def _filesystem(address: str):
-    from pyarrow import fs
-
-    if "://" not in address and not address.startswith("file:"):
-        return fs.LocalFileSystem(), address
-    if address.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + address.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(address)
-
-
-def attempt_name(prefix: str, number: int) -> str:
-    """A file name no other attempt of this or another task uses."""
-    context = TaskContext.get()
-    return f"{prefix}-{context.partitionId():06d}-{context.taskAttemptId()}-{number:04d}"
-
-
-def write_bytes(address: str, data: bytes) -> None:
-    system, path = _filesystem(address)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(path) as out:
-        out.write(data)
-
-
-def read_bytes(address: str):
-    """A buffer of the file's bytes: mapped into memory where the file is a local path."""
-    import numpy as np
-    from pyarrow import fs
+from cairnlog.plans.files import attempt_name, new_folder, read_bytes, write_bytes
 
-    system, path = _filesystem(address)
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, dtype=np.uint8, mode="r")
-    with system.open_input_stream(path) as stream:
-        return np.frombuffer(stream.read(), dtype=np.uint8)
+__all__ = ["attempt_name", "new_folder", "read_bytes", "write_bytes"]

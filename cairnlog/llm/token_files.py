@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shipping import ship_code
 from .storage import attempt_name, new_folder, read_bytes, write_bytes
 from .tokenizer import encoder
 
@@ -163,6 +164,7 @@ def write_token_files(
     A null id comes first and is kept as null. Repeated ids stay next to each other,
     rows with fewer characters first. An empty input gives no file. Ids must be integers.
     """
+    ship_code(documents.sparkSession)
     spark = documents.sparkSession
     folder = folder or new_folder(spark, "token-ids")
     rows = documents.select(
