@@ -1,21 +1,24 @@
 """Repeated passages located by automata and removed from all but the first document.
 
-A window is ``WINDOW`` consecutive words. Three passes over the texts:
+A window is ``WINDOW`` consecutive words. Documents are dealt to shards of bounded size,
+and three passes over the shards find every window that starts in an earlier document:
 
 1. Every window has a seed, its 5-word run with the smallest hash, so equal windows have
-   equal seeds and about a fifth of the words begin one. Seeds that occur in more than
-   one document are found.
-2. Windows with such a seed are compared by 96-bit digests; those that start in a
-   document with a smaller id are confirmed, with that owner.
-3. Confirmed passages of a shard of documents, runs of windows with one owner, are
-   compiled into an Aho-Corasick automaton over words, and the shard's documents are
-   streamed through it. An occurrence in a document behind the owner is removed.
-
-Windows of one shard of documents are brought together before anything is shuffled: a
-passage that a third of all documents share is one request per shard, and occurrences
-that a shard already knows to be repeated are dealt out evenly. Requests travel packed,
-a block of digests per shard and hash range. Hash ranges are cut to a size that depends
-on the number of words only.
+   equal seeds. A shard asks once for each of its seeds; those that several documents
+   hold come back.
+2. Windows with such a seed are confirmed by 96-bit digests. A shard asks once for each
+   distinct window, with the smallest id that holds it. What comes back is one place in
+   the shard for each window that another document holds, and whether that one is earlier
+   than any of the shard's.
+3. The passages at these places are compiled into the shard's Aho-Corasick automaton, with
+   words as letters: a window contains one of the ``ANCHOR``-word pieces its passage is
+   cut into. All documents of the shard are streamed through it; around every hit words
+   are compared, and only this says where, how often and in which documents a passage
+   occurs.
+
+A passage that a third of all documents share is so one request and one answer per shard,
+however often the shard holds it. Hash ranges are cut to a size that depends on the
+amount of text only.
 """
 
 from __future__ import annotations
@@ -24,266 +27,335 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import squeezed, unsqueezed
-from .shingles import mix, run_hashes, word_hashes, words_of
+from cairnlog.plans.durable import materialise
+
+from .shingles import REMEMBERED, run_hashes, word_hashes, words_of
+from .shipping import ship_code
 
 WINDOW = 13
 SEED = 5
+#: Words of a pattern: every window of a passage holds one of its pieces at a multiple of it.
+ANCHOR = (WINDOW + 1) // 2
 #: Entries that one hash range is cut to hold.
 RANGE_ENTRIES = 250_000
-#: Words compiled into one automaton at most; longer shards are cut.
-SHARD_WORDS = 2_000_000
+#: Bytes of text in a shard; a longer text is a shard of its own.
+SHARD_BYTES = 3_000_000
+#: Letters that words are spelled with: all code points that are characters, but for 0.
+LETTERS = 0x10FFFF - 0x800
+
 
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
-#: Set in a place if its document has the window at further places, too.
-_FURTHER = np.uint32(1 << 31)
+def window_seeds(hashes: np.ndarray) -> np.ndarray:
+    """For every window the smallest hash of its 5-word runs."""
+    least = run_hashes(hashes, SEED)
+    runs, span = WINDOW - SEED + 1, 1
+    while 2 * span <= runs:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    rest = runs - span
+    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def window_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all 5-word runs and, for every window, the place of its seed."""
-    runs = run_hashes(hashes, SEED)
-    view = np.lib.stride_tricks.sliding_window_view(runs, WINDOW - SEED + 1)
-    return runs, view.argmin(axis=1) + np.arange(len(view))
+_OTHERS: dict[bytes, int] = {}
 
 
-_REQUESTS = "range int, ready boolean, hi binary, lo binary, owners binary, places binary"
+def _other_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of words that do not depend on those of ``word_hashes``."""
+    if len(_OTHERS) > REMEMBERED:
+        _OTHERS.clear()
+    out = []
+    for word in words:
+        value = _OTHERS.get(word)
+        if value is None:
+            value = _OTHERS[word] = xxhash.xxh64_intdigest(word, 1)
+        out.append(value)
+    return np.array(out, "u8")
 
 
-def _packed(
-    ranges: int, hi: np.ndarray, lo: np.ndarray, docs: np.ndarray, places: np.ndarray, keep_first: bool
-) -> Iterator[dict]:
-    """Requests of a shard for each hash range, and what the shard knows by itself.
+def _dealt(documents: DataFrame) -> DataFrame:
+    """One row per shard, stored: ``shard, n_bytes, ids, named, sizes, texts``.
 
-    Of every digest the entry with the smallest document asks. The shard's other
-    documents with it are repeated for sure: they go out as ``ready``, with the asking
-    entry as owner, and so does the asking one if ``keep_first``. Further places of the
-    asking document do not ask: its first place carries ``_FURTHER`` for them.
+    ``texts`` are the shard's texts one after the other, compressed; ``sizes`` are theirs in
+    bytes, ``ids`` 64-bit integers, ``named`` tells which are not null. Null texts are empty.
     """
-    order = np.lexsort((places, docs, lo, hi))
-    hi, lo, docs, places = hi[order], lo[order], docs[order], places[order]
-    first = np.ones(len(hi), bool)
-    first[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-    group = np.cumsum(first) - 1
-    heads = np.flatnonzero(first)
-    head = heads[group]
-    behind = docs > docs[head]
-    known = behind.copy()
-    if keep_first:
-        repeated = np.zeros(len(heads), bool)
-        repeated[group[behind]] = True
-        known |= repeated[group]
-    own = np.flatnonzero(known)
-    if len(own):
-        # Any even split does: these only pass through.
-        for part, place in enumerate(np.array_split(own, max(1, len(own) // 20_000))):
-            spread = int((int(hi[place[0]]) >> 7) % ranges) if ranges > 1 else 0
-            yield {
-                "range": (spread + part) % ranges, "ready": True,
-                "hi": hi[place].tobytes(), "lo": docs[head[place]].tobytes(),
-                "owners": docs[place].tobytes(), "places": places[place].tobytes(),
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+        from pyspark import TaskContext
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        first = TaskContext.get().partitionId() << 32
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+        number = size = 0
+
+        def close() -> pd.DataFrame:
+            row = {
+                "shard": first + number, "n_bytes": size,
+                "ids": np.array([id_ or 0 for id_ in ids], "<i8").tobytes(),
+                "named": np.array([id_ is not None for id_ in ids], "?").tobytes(),
+                "sizes": [len(text) for text in texts], "texts": pack(b"".join(texts)),
             }
-    further = np.bincount(group[~behind], minlength=len(heads)) > 1
-    hi, lo, docs = hi[heads], lo[heads], docs[heads]
-    places = np.where(further, places[heads] | _FURTHER, places[heads]).astype("<u4")
-    which = ((hi >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype("int64")
+            return pd.DataFrame([row])
+
+        for batch in batches:
+            for id_, text in zip(batch["id"], batch["text"]):
+                raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+                if texts and size + len(raw) > SHARD_BYTES:
+                    yield close()
+                    ids, texts, size, number = [], [], 0, number + 1
+                ids.append(None if pd.isna(id_) else int(id_))
+                texts.append(raw)
+                size += len(raw)
+        if texts:
+            yield close()
+
+    kind = "shard long, n_bytes long, ids binary, named binary, sizes array<int>, texts binary"
+    return materialise(documents.mapInPandas(deal, kind), "phrase-shards")
+
+
+_SHARD = ("shard", "n_bytes", "ids", "named", "sizes", "texts")
+
+
+def _documents(row) -> list[tuple[int | None, list[bytes]]]:
+    """Id and words of every document of a shard."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(row.texts) if row.n_bytes else b""
+    sizes = np.asarray(row.sizes, "i8")
+    ids, named = np.frombuffer(row.ids, "<i8").tolist(), np.frombuffer(row.named, "?").tolist()
+    return [
+        (id_ if known else None, raw[end - size : end].split())
+        for id_, known, size, end in zip(ids, named, sizes.tolist(), np.cumsum(sizes).tolist())
+    ]
+
+
+def _compared(documents: list[tuple[int | None, list[bytes]]]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Number, id and words of the documents that have an id and a window."""
+    for number, (id_, words) in enumerate(documents):
+        if id_ is not None and len(words) >= WINDOW:
+            yield number, id_, words
+
+
+def _starts(keys: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Which entries of sorted arrays begin a group of equal ones."""
+    first = np.ones(len(keys), bool)
+    if len(keys):
+        first[1:] = keys[1:] != keys[:-1]
+        for other in more:
+            first[1:] |= other[1:] != other[:-1]
+    return first
+
+
+def _by_range(keys: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
+    """The part of sorted 64-bit keys that falls into each hash range."""
+    which = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype("i8")
     cuts = np.searchsorted(which, np.arange(ranges + 1))
-    for number in np.flatnonzero(np.diff(cuts)).tolist():
-        # In document order owners and places shrink to little in a shuffle.
-        part = np.arange(cuts[number], cuts[number + 1])
-        part = part[np.lexsort((places[part], docs[part]))]
-        yield {
-            "range": number, "ready": False, "hi": hi[part].tobytes(), "lo": lo[part].tobytes(),
-            "owners": docs[part].tobytes(), "places": places[part].tobytes(),
-        }
-
-
-def _answers(rows: pd.DataFrame, keep_first: bool) -> tuple[np.ndarray, ...]:
-    """Digest, document, place and owner of the repeated entries of one hash range."""
-    ready, asked = rows[rows["ready"]], rows[~rows["ready"]]
-
-    def joined(part: pd.Series, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(part), kind)
-
-    hi, lo = joined(asked["hi"], "<u8"), joined(asked["lo"], "<u4")
-    docs, places = joined(asked["owners"], "<i8"), joined(asked["places"], "<u4")
-    if not len(lo):
-        lo = np.zeros(len(hi), "<u4")
-    if not len(places):
-        places = np.zeros(len(hi), "<u4")
-    order = np.lexsort((docs, lo, hi))
-    hi, lo, docs, places = hi[order], lo[order], docs[order], places[order]
-    first = np.ones(len(hi), bool)
-    first[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-    group = np.cumsum(first) - 1
-    owner = docs[np.flatnonzero(first)[group]] if len(hi) else docs
-    known = docs > owner
-    if keep_first and len(hi):
-        repeated = np.zeros(int(group[-1]) + 1, bool)
-        repeated[group[known]] = True
-        known = repeated[group]
-    return (
-        np.concatenate([hi[known], joined(ready["hi"], "<u8")]),
-        np.concatenate([docs[known], joined(ready["owners"], "<i8")]),
-        np.concatenate([places[known], joined(ready["places"], "<u4")]),
-        np.concatenate([owner[known], joined(ready["lo"], "<i8")]),
-    )
+    return [(n, slice(cuts[n], cuts[n + 1])) for n in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-def _repeated_seeds(rows: DataFrame, ranges: int) -> DataFrame:
-    """``id, seed`` for every document and seed that another document has, too."""
+def _by_row(shards: pd.Series, asked: np.ndarray) -> list[tuple[int, slice]]:
+    """Shards with the entries (in the order of rows) that their row of a request has."""
+    rows, first = np.unique(asked, return_index=True)
+    ends = np.append(first[1:], len(asked))
+    return [(shards.iloc[row], slice(a, b)) for row, a, b in zip(rows.tolist(), first.tolist(), ends.tolist())]
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seeds, owners = [np.zeros(0, "<u8")], [np.zeros(0, "<i8")]
-            for doc, text in zip(batch["id"].tolist(), batch["text"]):
-                words = words_of(text)
-                if len(words) >= WINDOW:
-                    runs, seed = window_seeds(word_hashes(words))
-                    own = np.unique(runs[np.unique(seed)])
-                    seeds.append(own)
-                    owners.append(np.full(len(own), doc, "<i8"))
-            hi, docs = np.concatenate(seeds), np.concatenate(owners)
-            none = np.zeros(len(hi), "<u8")
-            out = pd.DataFrame(
-                list(_packed(ranges, hi, none, docs, none.astype("<u4"), True)),
-                columns=["range", "ready", "hi", "lo", "owners", "places"],
-            )
-            # Seeds need no second half, no owner and no place.
-            out["places"] = out["lo"] = b""
-            yield out
 
-    def answer(part: pd.DataFrame) -> pd.DataFrame:
-        part["places"] = [b"\0" * (len(x) // 2) if r else b"" for x, r in zip(part["owners"], part["ready"])]
-        seed, docs, _, _ = _answers(part, True)
-        return pd.DataFrame({"id": docs, "seed": seed.view("i8")})
+def _local_seeds(documents: list[tuple[int | None, list[bytes]]]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Distinct seeds of a shard, how many of its documents hold each, and seeds by window."""
+    own = {number: window_seeds(word_hashes(words)) for number, _, words in _compared(documents)}
+    each = [np.unique(seeds) for seeds in own.values()]
+    seeds, counts = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, "u8"),) * 2
+    return seeds, counts, own
 
-    return rows.mapInPandas(ask, _REQUESTS).groupBy("range").applyInPandas(answer, "id long, seed long")
 
+def _joined(parts, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join([] if parts is None else list(parts)), kind)
 
-def _confirmed_windows(rows: DataFrame, ranges: int) -> DataFrame:
-    """``id, place, owner`` of windows that start in a smaller document.
 
-    ``rows`` has ``id``, squeezed ``text`` and the document's repeated ``seeds``. A place
-    with ``_FURTHER``, negative as an int, stands for all places of its words.
+def _repeated_seeds(shards: DataFrame, ranges: int) -> DataFrame:
+    """``shard, seeds`` that a document of another shard holds, too, packed by hash range."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                seeds, _, _ = _local_seeds(_documents(row))
+                out = [(number, row.shard, seeds[part].tobytes()) for number, part in _by_range(seeds, ranges)]
+                yield pd.DataFrame(out, columns=["range", "shard", "seeds"])
+
+    def answer(part: pd.DataFrame) -> pd.DataFrame:
+        seeds = _joined(part["seeds"], "<u8")
+        asked = np.repeat(np.arange(len(part)), [len(raw) // 8 for raw in part["seeds"]])
+        order = np.argsort(seeds, kind="stable")
+        seeds, asked = seeds[order], asked[order]
+        first = _starts(seeds)
+        group = np.cumsum(first) - 1
+        several = np.bincount(group)[group] > 1 if len(seeds) else first
+        seeds, asked = seeds[several], asked[several]
+        order = np.argsort(asked, kind="stable")
+        out = [(shard, seeds[order[own]].tobytes()) for shard, own in _by_row(part["shard"], asked[order])]
+        return pd.DataFrame(out, columns=["shard", "seeds"])
+
+    asked = shards.mapInPandas(ask, "range int, shard long, seeds binary")
+    return asked.groupBy("range").applyInPandas(answer, "shard long, seeds binary")
+
+
+def shard_windows(
+    documents: list[tuple[int | None, list[bytes]]], repeated: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Distinct windows with a repeated seed, in the order of their digests.
+
+    ``hi, lo``, the smallest id that holds the window, whether several ids of the shard do,
+    and the number and place of a document of the smallest id. A seed is repeated if it is
+    in ``repeated`` or several documents of the shard hold it.
+    """
+    seeds, counts, own = _local_seeds(documents)
+    wanted = np.union1d(seeds[counts > 1], repeated)
+    none = np.zeros(0, "u8")
+    parts = [(none, none.astype("u4"), none.astype("i8"), none.astype("u4"), none.astype("u4"))]
+    for number, id_, words in _compared(documents):
+        place = np.flatnonzero(np.isin(own[number], wanted))
+        if len(place):
+            hi = run_hashes(word_hashes(words), WINDOW)[place]
+            lo = run_hashes(_other_hashes(words), WINDOW)[place].astype("u4")
+            same = np.full(len(place), number, "u4")
+            parts.append((hi, lo, np.full(len(place), id_, "i8"), same, place.astype("u4")))
+    hi, lo, ids, numbers, places = (np.concatenate(part) for part in zip(*parts))
+    order = np.lexsort((places, numbers, ids, lo, hi))
+    hi, lo, ids, numbers, places = (column[order] for column in (hi, lo, ids, numbers, places))
+    heads = np.flatnonzero(_starts(hi, lo))
+    greatest = np.maximum.reduceat(ids, heads) if len(heads) else ids
+    return hi[heads], lo[heads], ids[heads], greatest > ids[heads], numbers[heads], places[heads]
+
+
+_COLUMNS = ("hi", "lo", "ids", "several", "numbers", "places")
+_KINDS = ("<u8", "<u4", "<i8", "u1", "<u4", "<u4")
+_REQUESTS = "range int, shard long, " + ", ".join(f"{name} binary" for name in _COLUMNS)
+_ANSWERS = "shard long, earlier binary, numbers binary, places binary"
+
+
+def _confirmed(shards: DataFrame, seeds: DataFrame, ranges: int) -> DataFrame:
+    """Per shard and hash range the places of its windows that several ids hold.
+
+    ``earlier`` tells for each whether an id smaller than all of the shard's holds it.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [(np.zeros(0, "<u8"), np.zeros(0, "<u4"), np.zeros(0, "<i8"), np.zeros(0, "<u4"))]
-            for doc, raw, seeds in zip(batch["id"].tolist(), batch["text"], batch["seeds"]):
-                words = unsqueezed(raw).split()
-                if len(words) < WINDOW:
-                    continue
-                hashes = word_hashes(words)
-                runs, seed = window_seeds(hashes)
-                where = np.flatnonzero(np.isin(runs[seed], np.asarray(seeds, "i8").view("u8")))
-                hi = run_hashes(hashes, WINDOW)[where]
-                lo = run_hashes(mix(hashes ^ _SECOND), WINDOW)[where].astype("<u4")
-                parts.append((hi, lo, np.full(len(where), doc, "<i8"), where.astype("<u4")))
-            hi, lo, docs, places = (np.concatenate(part) for part in zip(*parts))
-            yield pd.DataFrame(
-                list(_packed(ranges, hi, lo, docs, places, False)),
-                columns=["range", "ready", "hi", "lo", "owners", "places"],
-            ).assign(hi=lambda out: [b"" if r else x for r, x in zip(out["ready"], out["hi"])])
+            for row in batch.itertuples():
+                columns = shard_windows(_documents(row), _joined(row.seeds, "<u8"))
+                out = []
+                for number, part in _by_range(columns[0], ranges):
+                    # In document order ids and places shrink to little in a shuffle.
+                    order = np.lexsort((columns[5][part], columns[4][part]))
+                    out.append(
+                        (number, row.shard, *(c[part][order].astype(k).tobytes() for c, k in zip(columns, _KINDS)))
+                    )
+                yield pd.DataFrame(out, columns=["range", "shard", *_COLUMNS])
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        part["hi"] = [b"\0" * len(o) if r else x for r, x, o in zip(part["ready"], part["hi"], part["owners"])]
-        _, docs, places, owner = _answers(part, False)
-        return pd.DataFrame({"id": docs, "place": places.astype("i4"), "owner": owner})
+        asked = np.repeat(np.arange(len(part)), [len(raw) // 8 for raw in part["hi"]])
+        hi, lo, ids, several, numbers, places = (_joined(part[c], k) for c, k in zip(_COLUMNS, _KINDS))
+        order = np.lexsort((ids, lo, hi))
+        first = _starts(hi[order], lo[order])
+        least = np.empty_like(ids)
+        least[order] = ids[order][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(ids) else ids
+        earlier = least < ids
+        known = earlier | (several > 0)
+        asked, *columns = (column[known] for column in (asked, earlier, numbers, places))
+        out = [
+            (shard, *(column[own].tobytes() for column in columns))
+            for shard, own in _by_row(part["shard"], asked)
+        ]
+        return pd.DataFrame(out, columns=["shard", "earlier", "numbers", "places"])
 
-    return rows.mapInPandas(ask, _REQUESTS).groupBy("range").applyInPandas(
-        answer, "id long, place int, owner long"
-    )
+    known = seeds.groupBy("shard").agg(F.collect_list("seeds").alias("seeds"))
+    asking = shards.join(known, "shard", "left").select(*_SHARD, "seeds")
+    return asking.mapInPandas(ask, _REQUESTS).groupBy("range").applyInPandas(answer, _ANSWERS)
 
 
-def _all_places(text: str, places: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in order with their owners, those that ``_FURTHER`` stands for among them."""
-    first = places & 0x7FFFFFFF
-    marked = np.flatnonzero(places < 0).tolist()
-    if marked:
-        wanted = {text[first[i] : first[i] + WINDOW]: int(owners[i]) for i in marked}
-        again = [
-            (place, owner)
-            for place in range(len(text) - WINDOW + 1)
-            if (owner := wanted.get(text[place : place + WINDOW])) is not None
-        ]
-        rest = places >= 0
-        first = np.concatenate([first[rest], np.array([place for place, _ in again], first.dtype)])
-        owners = np.concatenate([owners[rest], np.array([owner for _, owner in again], owners.dtype)])
-    order = np.argsort(first, kind="stable")
-    return first[order], owners[order]
+class _Letters(dict):
+    """A letter for every word, or as many as it takes (``width``) beyond ``LETTERS`` words."""
+
+    def __init__(self, width: int = 1) -> None:
+        self.width = width
+
+    def __missing__(self, word: bytes) -> str:
+        number = len(self)
+        if number >= LETTERS**self.width:
+            raise OverflowError("more words than letters")
+        spelled = ""
+        for _ in range(self.width):
+            number, code = divmod(number, LETTERS)
+            # Code points without the surrogates, which are no characters.
+            spelled += chr(code + 1 if code + 1 < 0xD800 else code + 0x801)
+        self[word] = spelled
+        return spelled
+
+
+def _spelled(documents: list[list[bytes]]) -> tuple[list[str], int]:
+    """All documents with words as letters, and the letters of a word."""
+    width = 1
+    while True:
+        letters = _Letters(width)
+        try:
+            return ["".join([letters[word] for word in words]) for words in documents], width
+        except OverflowError:
+            width += 1
 
 
 def locate_passages(
-    documents: list[tuple[int | None, list[bytes]]], windows: list[tuple[np.ndarray, np.ndarray]]
+    documents: list[tuple[int | None, list[bytes]]], numbers: np.ndarray, places: np.ndarray, earlier: np.ndarray
 ) -> list[np.ndarray]:
-    """For every document, which words lie in a passage that a smaller document owns.
+    """For every document, which words lie in a window that a smaller id holds.
 
-    ``windows`` has the confirmed places (int32) and owners of each document. Words become
-    characters, so that the automaton walks over words; runs of windows with one owner
-    are its patterns.
+    Windows are given by document number and place, each once; ``earlier`` ones are held by
+    an id smaller than any of these documents', the others by several of them.
     """
     import ahocorasick
 
-    letters: dict[bytes, str] = {}
-
-    def spelled(words: list[bytes]) -> str:
-        out = []
-        for word in words:
-            letter = letters.get(word)
-            if letter is None:
-                # Code points without the surrogates, which are no characters.
-                number = len(letters) + 1
-                letter = letters[word] = chr(number if number < 0xD800 else number + 0x800)
-            out.append(letter)
-        return "".join(out)
-
-    texts = [spelled(words) for _, words in documents]
-    passages: dict[str, int] = {}
-    for text, (places, owners) in zip(texts, windows):
-        places, owners = _all_places(text, places, owners)
-        breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(owners) != 0)) + 1
-        for begin, end in zip([0, *breaks.tolist()], [*breaks.tolist(), len(places)]):
-            if begin < end:
-                passage = text[places[begin] : places[end - 1] + WINDOW]
-                owner = int(owners[begin])
-                passages[passage] = min(owner, passages.get(passage, owner))
     removed = [np.zeros(len(words), bool) for _, words in documents]
-    if not passages:
+    if not len(places):
         return removed
+    texts, width = _spelled([words for _, words in documents])
+    order = np.lexsort((places, numbers))
+    numbers, places, earlier = numbers[order].astype("i8"), places[order].astype("i8"), earlier[order]
+    window, anchor = WINDOW * width, ANCHOR * width
+    # The smallest id that holds a window: none yet, or one before all of these.
+    holders: dict[str, int | None] = {}
     automaton = ahocorasick.Automaton()
-    for passage, owner in passages.items():
-        automaton.add_word(passage, (len(passage), owner))
+    begins = np.flatnonzero((np.diff(numbers, prepend=-1) != 0) | (np.diff(places, prepend=-2) != 1))
+    ends = np.append(begins[1:], len(places))
+    for begin, end in zip(begins.tolist(), ends.tolist()):
+        text = texts[numbers[begin]]
+        for entry in range(begin, end):
+            at = int(places[entry]) * width
+            holders[text[at : at + window]] = -(2**63) - 1 if earlier[entry] else None
+        last = (int(places[end - 1]) + WINDOW) * width
+        for at in range(int(places[begin]) * width, last - anchor + 1, anchor):
+            automaton.add_word(text[at : at + anchor], True)
     automaton.make_automaton()
-    for (doc, _), text, mark in zip(documents, texts, removed):
-        if doc is not None:
-            for last, (size, owner) in automaton.iter(text):
-                if owner < doc:
-                    mark[last - size + 1 : last + 1] = True
+    ids = [id_ for id_, _ in documents]
+    for number in sorted((n for n, id_ in enumerate(ids) if id_ is not None), key=lambda n: ids[n]):
+        text, mark, id_ = texts[number], removed[number], ids[number]
+        # A hit at an end covers all windows that begin up to ``ANCHOR`` - 1 words before it.
+        for last, _ in automaton.iter(text):
+            hit = last + 1 - anchor
+            if hit % width:
+                continue
+            for at in range(max(0, hit - anchor + width), hit + 1, width):
+                found = text[at : at + window]
+                if found in holders:
+                    holder = holders[found]
+                    if holder is None:
+                        holders[found] = id_
+                    elif holder < id_:
+                        mark[at // width : at // width + WINDOW] = True
     return removed
 
 
-#: Distinct words that characters can stand for.
-_LETTERS = 1_100_000
-
-
-def _shards(batch: pd.DataFrame) -> Iterator[tuple[slice, list[list[bytes]]]]:
-    """Consecutive documents of a batch with at most ``SHARD_WORDS`` words, one at least."""
-    begin, size, words = 0, 0, []
-    for place, raw in enumerate(batch["text"]):
-        own = unsqueezed(raw).split()
-        if words and size + len(own) > min(SHARD_WORDS, _LETTERS):
-            yield slice(begin, place), words
-            begin, size, words = place, 0, []
-        words.append(own)
-        size += len(own)
-    if words:
-        yield slice(begin, begin + len(words)), words
-
-
 def remove_repeated_passages(
     documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -292,50 +364,44 @@ def remove_repeated_passages(
     A word goes if it lies in a window whose words also start in a document with a
     smaller id; ``kept`` are the other words joined by single spaces. Null and empty
     texts have no words and an empty ``kept``; texts shorter than a window stay. Rows
-    with a null id are not compared and stay whole. Rows that share an id count as one
-    document: they own passages together and take none from each other. Other columns
-    are ignored. Ids must be integers; a text has at most a million distinct words.
+    with a null id are not compared and stay whole. Rows that share an id take nothing
+    from each other, but each takes its own words from rows with greater ids. Other
+    columns are ignored. Ids must be integers. Any number of distinct words will do.
     """
-    rows = documents.select(
-        F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")
+    ship_code(documents.sparkSession)
+    given = documents.select(
+        F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")
     )
-    known = rows.where(F.col("id").isNotNull())
-    chars = known.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0.0
-    # About six characters to a word and two seeds to nine words.
-    ranges = int(chars / 27 / RANGE_ENTRIES) + 1
-    seeds = _repeated_seeds(known, ranges).groupBy("id").agg(F.collect_list("seed").alias("seeds"))
-    compact = rows.select("id", squeezed("text").alias("text"))
-    asking = compact.where(F.col("id").isNotNull()).join(seeds, "id")
-    windows = _confirmed_windows(asking, ranges)
-    found = windows.groupBy("id").agg(F.collect_list(F.struct("place", "owner")).alias("w"))
-    marked = compact.join(found, "id", "left").select(
-        "id", "text", _field("w", "place").alias("places"), _field("w", "owner").alias("owners")
+    shards = _dealt(given)
+    size = shards.agg(F.sum("n_bytes")).first()[0] or 0
+    # About six bytes to a word and two seeds to nine words.
+    ranges = int(size / 27 / RANGE_ENTRIES) + 1
+    confirmed = _confirmed(shards, _repeated_seeds(shards, ranges), ranges)
+    lists = confirmed.groupBy("shard").agg(
+        F.collect_list(F.struct("earlier", "numbers", "places")).alias("found")
     )
+    marked = shards.join(lists, "shard", "left").select(
+        *_SHARD,
+        *(F.transform("found", lambda x: x[name]).alias(name) for name in ("earlier", "numbers", "places")),
+    )
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = (np.zeros(0, "i4"), np.zeros(0, "i8"))
         for batch in batches:
-            for part, words in _shards(batch):
-                own = batch.iloc[part]
-                ids = [None if pd.isna(doc) else int(doc) for doc in own["id"]]
-                windows = [
-                    empty if places is None else (np.asarray(places), np.asarray(owners))
-                    for places, owners in zip(own["places"], own["owners"])
-                ]
-                gone = locate_passages(list(zip(ids, words)), windows)
+            for row in batch.itertuples():
+                own = _documents(row)
+                gone = locate_passages(
+                    own, _joined(row.numbers, "<u4"), _joined(row.places, "<u4"), _joined(row.earlier, "?")
+                )
                 kept = [
-                    b" ".join(w for w, out in zip(ws, mark.tolist()) if not out)
-                    if mark.any()
-                    else b" ".join(ws)
-                    for ws, mark in zip(words, gone)
+                    b" ".join([w for w, out in zip(words, mark.tolist()) if not out] if mark.any() else words)
+                    for (_, words), mark in zip(own, gone)
                 ]
-                edges = [int((np.diff(mark.astype("i1"), prepend=0) == 1).sum()) for mark in gone]
                 yield pd.DataFrame(
                     {
-                        "id": own["id"].to_numpy(),
-                        "n_words": [len(ws) for ws in words],
+                        "id": pd.array([id_ for id_, _ in own], "Int64"),
+                        "n_words": [len(words) for _, words in own],
                         "n_removed": [int(mark.sum()) for mark in gone],
-                        "n_passages": edges,
+                        "n_passages": [int((np.diff(mark.astype("i1"), prepend=0) == 1).sum()) for mark in gone],
                         "kept": [text.decode("utf-8", "surrogatepass") for text in kept],
                     }
                 )
@@ -344,7 +410,3 @@ def remove_repeated_passages(
         locate, "id long, n_words long, n_removed long, n_passages long, kept string"
     )
     return located.withColumnRenamed("id", id_column)
-
-
-def _field(array: str, name: str) -> Column:
-    return F.transform(array, lambda entry: entry[name])
