@@ -19,13 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlog.plans.durable import materialise
 
 from .components import connected_components
 from .shingles import lowered_words, mix, shingle_set
+from .shipping import ship_code
 
 SHINGLE_WORDS = 5
 #: Hash functions; each gives a minimum and a maximum.
@@ -145,9 +146,11 @@ def near_duplicates(
     Documents are linked at a Jaccard similarity of ``SIMILAR`` percent of their sets of
     five-word shingles, words in lower case (A-Z). ``component_id`` is the smallest id
     that can be reached. Null and empty texts have an empty set and no link. Rows with a
-    null id are left alone: component null, kept. Rows that share an id are judged by
-    their own texts. Other columns are ignored. Ids must be integers.
+    null id are left alone: component null, kept. Rows that share an id are one document:
+    what one of their texts is linked with, the id is linked with. Other columns are
+    ignored. Ids must be integers.
     """
+    ship_code(documents.sparkSession)
     rows = documents.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")
     )
@@ -236,6 +239,47 @@ def _families(led: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(kept, "families")
 
 
+def _dealt_to_blocks(families: DataFrame, members: int | None = None) -> DataFrame:
+    """``leader, class, part, block, other``: every member with each block it has to meet.
+
+    A component with a block's number of members has blocks of its own, the members of
+    smaller ones share blocks. Blocks of one component need not meet each other, so a set
+    goes only where sets of other components are: with a million copies and one outlier
+    every copy goes to the outlier's block, and nowhere else.
+    """
+    members = members or BLOCK_MEMBERS
+    sizes = families.groupBy("leader", "part").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("n") >= members, F.col("part"))
+    cells = sizes.groupBy("leader", own.alias("cell")).agg(F.sum("n").alias("n"))
+    cells = cells.withColumn("blocks", F.ceil(F.col("n") / members).cast("int"))
+    # One row for each large component of a family and one for all small ones.
+    in_order = Window.partitionBy("leader").orderBy("cell")
+    before = F.sum("blocks").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = cells.select(
+        F.col("leader").alias("of_leader"),
+        "cell",
+        "blocks",
+        F.coalesce(before, F.lit(0)).cast("int").alias("base"),
+        F.sum("blocks").over(Window.partitionBy("leader")).cast("int").alias("total"),
+    )
+    large = materialise(placed, "family-cells")
+    parts = materialise(
+        sizes.select(F.col("leader").alias("of_leader"), F.col("part").alias("of_part"), own.alias("of_cell")).join(
+            large, ["of_leader"]
+        ).where(F.col("of_cell").eqNullSafe(F.col("cell"))),
+        "family-parts",
+    )
+    member = families.join(
+        parts, (F.col("leader") == F.col("of_leader")) & (F.col("part") == F.col("of_part"))
+    )
+    own_block = F.col("base") + F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    all_blocks = F.sequence(F.lit(0), F.col("total") - 1)
+    others = F.when(F.col("cell").isNull(), all_blocks).otherwise(
+        F.filter(all_blocks, lambda b: (b < F.col("base")) | (b >= F.col("base") + F.col("blocks")))
+    )
+    return member.select("leader", "class", "part", own_block.alias("block"), F.explode(others).alias("other"))
+
+
 def _confirm_families(families: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that join components inside a family, stored.
 
@@ -243,22 +287,13 @@ def _confirm_families(families: DataFrame, sets: DataFrame) -> DataFrame:
     of them. In a group whole sets are compared, unless their components have already
     met there; what leaves it is one link for every two components that meet.
     """
-    sizes = families.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK_MEMBERS)).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    dealt = (
-        families.join(sizes, "leader")
-        .withColumn("blocks", blocks)
-        .withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "leader",
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            "block",
-            "class",
-            "part",
-        )
+    dealt = _dealt_to_blocks(families).select(
+        "leader",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "block",
+        "class",
+        "part",
     )
     rows = dealt.join(sets.withColumnRenamed("id", "class"), "class")
 
