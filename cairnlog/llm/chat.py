@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 #: Turn numbers per segment of a conversation.
 SEGMENT = 256
+#: Parts of a conversation's turns that have no number.
+UNNUMBERED_PARTS = 4096
 SYSTEM = "system"
-NOBODY = "unknown"
+#: Stands for a role that is null or blank; an escaped name never begins like that.
+NOBODY = "%"
+#: Characters that would end a name or its line, and how they are written; "%" is one, so
+#: that different names stay different.
+ESCAPES = {"%": "%25", "|": "%7C", "<": "%3C", ">": "%3E", "\n": "%0A"}
 
 # Markers of the rendered text.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -26,6 +32,14 @@ def _safe(text: Column) -> Column:
     return F.replace(text, F.lit(OPEN), F.lit("< |"))
 
 
+def _name(role: Column) -> Column:
+    """The role as it stands in a header, different for different roles."""
+    name = role
+    for character, code in ESCAPES.items():
+        name = F.replace(name, F.lit(character), F.lit(code))
+    return F.when(role.isNull() | (F.trim(role) == ""), F.lit(NOBODY)).otherwise(name)
+
+
 def _header(role: Column, viewer: Column) -> Column:
     own = F.lit(f"{OPEN}assistant{CLOSE}")
     system = F.lit(f"{OPEN}system{CLOSE}")
@@ -48,21 +62,23 @@ def rotate_perspectives(
     exclusive; ``learn_start`` to ``learn_end`` covers the words and end mark of the
     viewer's own turns and is empty for others. Segments in turn order make the dialogue.
 
-    System turns have no view of their own. A null or empty role is ``unknown``, a null
-    text empty. Turns without a number come first; turns with equal numbers follow role
-    and text; repeated rows stay. Rows with a null id form one conversation. Without
+    System turns have no view of their own. Names are escaped (``ESCAPES``), so different
+    roles are different participants; null and blank roles are one, named ``%``. A null
+    text is empty. Turns without a number come first, in the order of digests of role and
+    text; turns with equal numbers follow role and text; repeated rows stay. Rows with a null id form one conversation. Without
     participants (only system turns) there is no row. Other columns are ignored.
     """
-    role = F.col(role_column).cast("string")
-    named = F.when(role.isNull() | (F.trim(role) == ""), F.lit(NOBODY)).otherwise(
-        F.regexp_replace(_safe(role), r"[|>\n]", "_")
-    )
+    text = _safe(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    turn = F.col(turn_column).cast("long")
+    # Unnumbered turns are cut by their digests, which also order them.
+    unnumbered = F.lit(-(2**62)) + F.pmod(F.xxhash64(role_column, text_column), F.lit(UNNUMBERED_PARTS))
     turns = conversations.select(
         F.col(id_column).alias("id"),
-        F.col(turn_column).cast("long").alias("turn"),
-        named.alias("role"),
-        _safe(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-(2**62))))
+        turn.alias("turn"),
+        _name(F.col(role_column).cast("string")).alias("role"),
+        text.alias("text"),
+        F.coalesce(F.floor(turn / SEGMENT), unnumbered).alias("part"),
+    )
     sizes = turns.groupBy("id", "part", "role").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")
     )

@@ -1,10 +1,17 @@
 """Benchmark items found in documents, by DataFrame functions alone.
 
-A window is as many consecutive words of a document as an item has. Windows without any
-shingle of any item have similarity 0, so only those aligned with a shared shingle get a
-SimHash fingerprint. Fingerprints are cut into one block more than the radius, so that
-two of them within the radius agree in a block; blocks are joined, the distance is
-checked, and pairs are confirmed by the exact similarity of their weighted shingles.
+A window is as many consecutive words of a document as an item has; a document that is
+shorter is one window as a whole. Every place where a document shares a shingle with an
+item of some length aligns the two. Moving a window that begins before all alignments
+of its shared shingles to the right, or one behind all of them to the left, loses none of
+these; and two shingles of one window have alignments less than two lengths apart. So
+the best window lies between neighbouring alignments at most that far apart, and all
+windows there get a SimHash fingerprint, no others.
+
+Fingerprints are cut into one block more than the radius, so that two of them within the
+radius agree in a block. Blocks are joined with nothing but fingerprints and places, the
+distance is checked, and what is left is confirmed by the exact similarity of its
+weighted shingles.
 """
 
 from __future__ import annotations
@@ -12,14 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlog.plans.durable import materialise
 from cairnlog.plans.once import add_once
 
 SHINGLE_WORDS = 5
 SIMILAR = 0.75
 #: Bits in which fingerprints may differ. At similarity 0.75 about 11 of 64 do.
 RADIUS = 23
-#: Shingles of all items (with their item's) that are broadcast at most, in bytes.
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -86,48 +92,49 @@ def _weighted_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def _seeded_windows(documents: DataFrame, items: DataFrame, size: int, least: float) -> DataFrame:
-    """``id, start, count, wanted, window`` of windows aligned with a shared shingle of ``size`` words.
+def _aligned(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """``id, text_hash, wanted, m, starts``, stored: where documents align with items.
 
-    ``items`` has the items whose shingles have ``size`` words. Each run of aligned
-    shared shingles gives one window. A document with fewer shingles than the item
-    (``wanted``), but at least that part of them, is one window as a whole.
+    ``items`` has the items whose shingles have ``size`` words, ``wanted`` is the number of
+    shingles of an item, ``m`` that of the document. ``starts`` are where the item would
+    begin in the document, in order. Only places are joined, not what is there.
     """
-    split = add_once(documents, {"words": _words(F.col("text"))}).select("id", "words")
-    rows = add_once(split, {"shingles": _shingles(F.col("words"), size)}).select("id", "shingles")
-    seeds = items.select(
-        F.posexplode("item_shingles").alias("offset", "seed"), "item_shingles"
-    )
-    # Every item shingle carries its item's shingles.
-    bytes_ = items.agg(F.sum(F.pow(F.size("item_shingles"), 2) * 8)).first()[0] or 0
-    exploded = rows.where(F.size("shingles") > 0)
-    if bytes_ <= BROADCAST_BYTES:
-        hits = exploded.select("id", "shingles", F.posexplode("shingles").alias("pos", "seed")).join(
-            F.broadcast(seeds), "seed"
-        )
-    else:
-        # Too many items to send around: places are joined by shuffle, then their texts.
-        places = exploded.select("id", F.posexplode("shingles").alias("pos", "seed"))
-        hits = places.join(seeds, "seed").join(rows, "id")
-    count = F.size("item_shingles")
-    start = F.col("pos") - F.col("offset")
-    before = (F.col("pos") == 0) | (F.col("offset") == 0)
-    begins = before | (
-        F.try_element_at("shingles", F.greatest(F.col("pos"), F.lit(1)))
-        != F.try_element_at("item_shingles", F.greatest(F.col("offset"), F.lit(1)))
+    seeds = materialise(
+        items.select(
+            F.size("item_shingles").alias("wanted"), F.posexplode("item_shingles").alias("offset", "seed")
+        ).distinct(),
+        "item-seeds",
     )
-    # Windows that would leave the document are moved to its edge.
-    moved = F.greatest(F.lit(0), F.least(start, F.size("shingles") - count))
-    return (
-        hits.where(begins & (F.size("shingles") / count >= least))
-        .select("id", moved.alias("start"), count.alias("wanted"), "shingles")
-        .withColumn("count", F.least("wanted", F.size("shingles")))
-        .select(
-            "id", "start", "count", "wanted",
-            F.slice("shingles", F.col("start") + 1, F.col("count")).alias("window"),
-        )
-        .dropDuplicates(["id", "start", "wanted", "window"])
+    split = add_once(documents, {"words": _words(F.col("text"))}).select("id", "text_hash", "words")
+    rows = add_once(split, {"shingles": _shingles(F.col("words"), size)})
+    places = rows.select(
+        "id", "text_hash", F.size("shingles").alias("m"), F.posexplode("shingles").alias("pos", "seed")
     )
+    hits = places.join(seeds, "seed").select(
+        "id", "text_hash", "m", "wanted", (F.col("pos") - F.col("offset")).alias("start")
+    )
+    # A start is one of fewer places than document and item have together.
+    aligned = hits.groupBy("id", "text_hash", "m", "wanted").agg(
+        F.array_sort(F.collect_set("start")).alias("starts")
+    )
+    return materialise(aligned, "alignments")
+
+
+def _window_starts() -> Column:
+    """All starts from an alignment to the next one that is less than two lengths away."""
+    reach = 2 * F.col("wanted")
+    until = F.transform(
+        "starts",
+        lambda start, place: F.struct(
+            start.alias("a"), F.coalesce(F.try_element_at("starts", place + 2), start).alias("b")
+        ),
+    )
+    ranges = F.transform(
+        until, lambda x: F.when(x["b"] - x["a"] < reach, F.sequence(x["a"], x["b"])).otherwise(F.array(x["a"]))
+    )
+    # Windows that would leave the document are moved to its edge.
+    last = F.greatest(F.lit(0), F.col("m") - F.col("wanted"))
+    return F.array_distinct(F.transform(F.flatten(ranges), lambda x: F.greatest(F.lit(0), F.least(x, last))))
 
 
 def find_leaks(
@@ -140,36 +147,30 @@ def find_leaks(
     item_text_column: str = "text",
     similar: float = SIMILAR,
     radius: int = RADIUS,
-    shorter: bool = False,
 ) -> DataFrame:
     """One row per document and item found in it, with the most similar window.
 
     ``<id>, <item>, start_word, n_words, similarity, distance``; of equally similar windows
-    the first. Words are compared in lower case. Items with fewer than five words are one
-    shingle. Null and empty texts hold nothing, null and empty items are found nowhere.
-    Documents shorter than an item do not hold it, except with ``shorter``: then the whole
-    document is compared with the item. Repeated rows give one row for each
-    pair of ids; rows with a null id share one. Other columns are ignored.
+    the first. Words are compared in lower case. A document with fewer words than an item is
+    compared as a whole. Items with fewer than five words are one shingle, which shorter
+    documents do not hold. Null and empty texts hold nothing, null and empty items are
+    found nowhere. Repeated rows give one row for each pair of ids; rows with a null id
+    share one. Other columns are ignored.
     """
     docs = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     given = benchmark.select(F.col(item_column).alias("item"), F.col(item_text_column).alias("text"))
     words = add_once(given, {"words": _words(F.col("text"))}).drop("text").where(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(SHINGLE_WORDS)).alias("length")
-    # At most SHINGLE_WORDS rows.
-    sizes = sorted(row["length"] for row in words.select(length).distinct().collect())
-    # A document with a smaller part of an item's shingles cannot be that similar.
-    least = min(similar, 1.0) if shorter else 1.0
+    # At most SHINGLE_WORDS rows; without an item one size does for the empty result.
+    sizes = sorted(row["length"] for row in words.select(length).distinct().collect()) or [SHINGLE_WORDS]
     found = None
     for size in sizes:
         fits = F.size("words") >= size if size == SHINGLE_WORDS else F.size("words") == size
         hashed = {"item_shingles": _shingles(F.col("words"), size)}
         items = add_once(words.where(fits), hashed).select("item", "item_shingles")
-        part = _matches(_seeded_windows(docs, items, size, least), items, size, similar, radius)
+        part = _matches(docs, items, size, similar, radius)
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        items = words.select("item", F.array().cast("array<long>").alias("item_shingles"))
-        empty = docs.where(F.lit(False))
-        found = _matches(_seeded_windows(empty, items, 1, least), items, 1, similar, radius)
     best = F.max_by(
         F.struct("start_word", "n_words", "similarity", "distance"),
         F.struct("similarity", -F.col("start_word")),
@@ -179,19 +180,15 @@ def find_leaks(
     )
 
 
-def _matches(
-    windows: DataFrame, items: DataFrame, size: int, similar: float, radius: int
-) -> DataFrame:
-    marked = add_once(windows, {"print": fingerprint(F.col("window"))})
-    known = add_once(items, {"item_print": fingerprint(F.col("item_shingles"))}).withColumn(
-        "item_count", F.size("item_shingles")
-    )
-    left = marked.select("*", F.explode(_blocks(F.col("print"), radius)).alias("b")).select(
-        "*", "b.block", "b.bits"
-    )
-    right = known.select("*", F.explode(_blocks(F.col("item_print"), radius)).alias("b")).select(
-        "item", "item_shingles", "item_print", "item_count", "b.block", "b.bits"
-    )
+def _same_document(left: DataFrame, right: DataFrame) -> Column:
+    return left["id"].eqNullSafe(right["id"]) & (left["text_hash"] == right["text_hash"])
+
+
+def _candidates(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """``id, text_hash, start, wanted, m, item, distance`` of windows and items of one length whose
+    fingerprints differ in ``radius`` bits at most. Both sides are fingerprints and names."""
+    left = windows.select("*", F.inline(_blocks(F.col("print"), radius)))
+    right = items.select("*", F.inline(_blocks(F.col("item_print"), radius)))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     # Of the blocks in which a pair agrees only the first one speaks for it.
     agree = F.array_position(
@@ -202,26 +199,54 @@ def _matches(
         ),
         True,
     )
-    near = (
-        left.join(
-            right,
-            (left["wanted"] == right["item_count"])
-            & (left["block"] == right["block"])
-            & (left["bits"] == right["bits"]),
-        )
+    return (
+        left.join(right, ["wanted", "block", "bits"])
         .where(distance <= radius)
-        .where(agree == right["block"] + 1)
+        .where(agree == F.col("block") + 1)
+        .select("id", "text_hash", "start", "wanted", "m", "item", distance.alias("distance"))
+    )
+
+
+def _matches(
+    documents: DataFrame, items: DataFrame, size: int, similar: float, radius: int
+) -> DataFrame:
+    aligned = _aligned(documents, items, size)
+    # A document with a smaller part of an item's shingles cannot be that similar.
+    aligned = aligned.where(F.col("m") >= similar * F.col("wanted"))
+    # The few documents that share a shingle with an item are split again.
+    named = aligned.select("id", "text_hash").distinct()
+    again = documents.join(named, _same_document(documents, named), "left_semi").distinct()
+    split = add_once(again, {"words": _words(F.col("text"))}).select("id", "text_hash", "words")
+    shingled = materialise(
+        add_once(split, {"shingles": _shingles(F.col("words"), size)}).select("id", "text_hash", "shingles"),
+        "aligned-documents",
+    )
+    starts = aligned.select("id", "text_hash", "m", "wanted", F.explode(_window_starts()).alias("start"))
+    placed = starts.join(
+        shingled.withColumnRenamed("id", "d_id").withColumnRenamed("text_hash", "d_hash"),
+        F.col("id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")),
+    )
+    window = F.slice("shingles", F.col("start") + 1, F.least("wanted", "m"))
+    marked = add_once(placed, {"print": fingerprint(window)}).select(
+        "id", "text_hash", "m", "wanted", "start", "print"
     )
-    similarity = _weighted_similarity(F.col("window"), F.col("item_shingles"))
+    known = add_once(items, {"item_print": fingerprint(F.col("item_shingles"))})
+    prints = known.select("item", F.size("item_shingles").alias("wanted"), "item_print")
+    near = _candidates(marked, prints, radius)
+    pairs = near.join(
+        shingled.withColumnRenamed("id", "d_id").withColumnRenamed("text_hash", "d_hash"),
+        F.col("id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")),
+    ).join(items, "item")
+    similarity = _weighted_similarity(window, F.col("item_shingles"))
     return (
-        add_once(near, {"similarity": similarity})
+        add_once(pairs, {"similarity": similarity})
         .where(F.col("similarity") >= similar)
         .select(
             "id",
             "item",
             F.col("start").alias("start_word"),
-            (F.col("count") + size - 1).alias("n_words"),
+            (F.least("wanted", "m") + size - 1).alias("n_words"),
             "similarity",
-            distance.alias("distance"),
+            "distance",
         )
     )

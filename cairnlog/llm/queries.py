@@ -47,8 +47,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Items of the given table have at least five words. Windows are those of the operator:
-#: aligned with a shared shingle.
+#: Items of the given table have at least five words. All windows that hold a shingle of an
+#: item are compared with it, wherever they begin.
 ORACLE_SQL["op1_decontamination"] = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -60,21 +60,23 @@ WITH dw AS (
 ), its AS (
   SELECT item_id, len(w) - 4 AS n, i, array_to_string(w[i:i + 4], ' ') AS s
   FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)
+), hits AS (
+  SELECT DISTINCT doc_id, item_id, n, least(n, m) AS size, m, ds.i AS p FROM ds JOIN its USING (s)
 ), starts AS (
-  SELECT DISTINCT doc_id, item_id, n, greatest(1, least(ds.i - its.i + 1, m - n + 1)) AS b
-  FROM ds JOIN its USING (s) WHERE m >= n
+  SELECT DISTINCT doc_id, item_id, n, size, b FROM (
+    SELECT *, unnest(range(greatest(1, p - size + 1), least(p, m - size + 1) + 1)) AS b FROM hits)
 ), wc AS (
-  SELECT doc_id, item_id, n, b, s, count(*) AS c
-  FROM starts JOIN ds USING (doc_id) WHERE ds.i BETWEEN b AND b + n - 1 GROUP BY ALL
+  SELECT doc_id, item_id, n, size, b, s, count(*) AS c
+  FROM starts JOIN ds USING (doc_id) WHERE ds.i BETWEEN b AND b + size - 1 GROUP BY ALL
 ), ic AS (SELECT item_id, s, count(*) AS c FROM its GROUP BY ALL),
 sims AS (
-  SELECT doc_id, item_id, n, b, sum(least(wc.c, ic.c)) / (2 * n - sum(least(wc.c, ic.c))) AS sim
-  FROM wc JOIN ic USING (item_id, s) GROUP BY doc_id, item_id, n, b
+  SELECT doc_id, item_id, size, b, sum(least(wc.c, ic.c)) / (n + size - sum(least(wc.c, ic.c))) AS sim
+  FROM wc JOIN ic USING (item_id, s) GROUP BY doc_id, item_id, n, size, b
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, b) AS r
   FROM sims WHERE sim >= 0.75
 )
-SELECT doc_id, item_id, cast(b - 1 AS INTEGER) AS start_word, cast(n + 4 AS INTEGER) AS n_words,
+SELECT doc_id, item_id, cast(b - 1 AS INTEGER) AS start_word, cast(size + 4 AS INTEGER) AS n_words,
   round(cast(sim AS DOUBLE), 6) AS similarity
 FROM best WHERE r = 1
 """
@@ -217,7 +219,10 @@ def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op9_chat_perspectives"] = r"""
 WITH t AS (
-  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+  SELECT conv_id, turn, replace(coalesce(text, ''), '<|', '< |') AS text,
+    CASE WHEN trim(coalesce(role, '')) = '' THEN '%' ELSE replace(replace(replace(replace(replace(
+      role, '%', '%25'), '|', '%7C'), '<', '%3C'), '>', '%3E'), chr(10), '%0A') END AS role
+  FROM conversations
 ), v AS (SELECT DISTINCT conv_id, role AS viewer FROM t WHERE role <> 'system'),
 s AS (
   SELECT conv_id, viewer, turn, role,

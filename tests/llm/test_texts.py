@@ -146,6 +146,7 @@ def test_chat_views(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(1, t, rng.choice(["ann", "bob", "cy"]), f"turn {t} <|assistant|> x") for t in range(20)]
     rows += [(2, 0, "system", "only rules"), (3, None, None, None), (3, 5, "", "é"), (3, 5, "a|b", "t"), (3, 5, "a|b", "t")]
+    rows += [(3, 6, "a_b", "u"), (3, 7, "unknown", "v"), (3, 8, "a%7Cb", "w"), (3, None, "x>\n", "y")]
     rows += [(None, 1, "ann", "lost"), (None, 2, "bob", "found"), (4, 0, "system", "s"), (4, 1, "ann", "")]
     data = [(*row, "x", 3) for row in rows]
     frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, part string, viewer int")
@@ -153,7 +154,7 @@ def test_chat_views(spark, monkeypatch):
     by = {}
     for row in got:
         by.setdefault((row["conv_id"], row["viewer"]), []).append(row)
-    assert set(by) == {(1, "ann"), (1, "bob"), (1, "cy"), (3, "unknown"), (3, "a_b"), (None, "ann"), (None, "bob"), (4, "ann")}
+    assert set(by) == {(1, "ann"), (1, "bob"), (1, "cy"), (3, "%"), (3, "a%7Cb"), (3, "a_b"), (3, "unknown"), (3, "a%257Cb"), (3, "x%3E%0A"), (None, "ann"), (None, "bob"), (4, "ann")}
     for (conv, viewer), view in by.items():
         view.sort(key=lambda r: r["start"])
         whole = "".join(r["segment"] for r in view)
