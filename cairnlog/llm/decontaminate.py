@@ -151,7 +151,7 @@ def find_leaks(
     """One row per document and item found in it, with the most similar window.
 
     ``<id>, <item>, start_word, n_words, similarity, distance``; of equally similar windows
-    the first. Words are compared in lower case. A document with fewer words than an item is
+    the first. ``distance`` is that of the fingerprints that found it. Words are compared in lower case. A document with fewer words than an item is
     compared as a whole. Items with fewer than five words are one shingle, which shorter
     documents do not hold. Null and empty texts hold nothing, null and empty items are
     found nowhere. Repeated rows give one row for each pair of ids; rows with a null id
@@ -237,16 +237,22 @@ def _matches(
         shingled.withColumnRenamed("id", "d_id").withColumnRenamed("text_hash", "d_hash"),
         F.col("id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")),
     ).join(items, "item")
-    similarity = _weighted_similarity(window, F.col("item_shingles"))
-    return (
-        add_once(pairs, {"similarity": similarity})
-        .where(F.col("similarity") >= similar)
-        .select(
-            "id",
-            "item",
-            F.col("start").alias("start_word"),
-            (F.least("wanted", "m") + size - 1).alias("n_words"),
-            "similarity",
-            "distance",
-        )
+    similar_window = _weighted_similarity(window, F.col("item_shingles"))
+    alike = add_once(pairs, {"similarity": similar_window}).where(F.col("similarity") >= similar)
+    best = alike.groupBy("id", "text_hash", "item").agg(
+        F.max_by(F.struct("start", "distance"), F.struct("similarity", -F.col("start"))).alias("best"),
+        F.max("similarity").alias("greatest"),
+        *(F.first(name).alias(name) for name in ("m", "wanted", "shingles", "item_shingles")),
+    )
+    # As similar a window may begin before the first alignment, where it gains nothing.
+    earliest = F.greatest(F.lit(0), F.col("best.start") - F.col("wanted") + 1)
+    leads = best.withColumn("start", F.explode(F.sequence(earliest, F.col("best.start"))))
+    ties = add_once(leads, {"similarity": similar_window}).where(F.col("similarity") >= F.col("greatest"))
+    return ties.select(
+        "id",
+        "item",
+        F.col("start").alias("start_word"),
+        (F.least("wanted", "m") + size - 1).alias("n_words"),
+        "similarity",
+        F.col("best.distance").alias("distance"),
     )
