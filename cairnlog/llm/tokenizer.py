@@ -1,26 +1,37 @@
 """Token ids of whole texts by the tokenizers library, without encoding a word twice.
 
-The library spends most of its time on words it has seen before. Pre-tokenizers of the
-two kinds below never look across a single space between two visible characters, so
-the ids of a text are the ids of its space-separated chunks one after another. Chunks
-are remembered per Python worker, up to a bound. Files with any other kind of
-pre-tokenizer are encoded text by text.
+The library spends most of its time on words it has seen before. For pre-tokenizers of the
+two kinds below, texts of Latin letters, digits, ASCII punctuation, spaces and line feeds
+are cut into the pre-tokenizer's pieces by its own expression, written for these
+characters; pieces are remembered per Python worker, up to a bound, and only new ones go
+to the library's model. In other texts only the parts between single spaces that have
+other characters go to the library, since neither pre-tokenizer looks across a space
+between two visible characters. Files with any other kind of pre-tokenizer are encoded
+text by text.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
-#: Chunks, and pieces of them, that one Python worker remembers in each of two generations.
+#: Pieces that one Python worker remembers in each of two generations.
 REMEMBERED = 250_000
 
 _RARE_SPACE = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?]?)\\Z")
+#: Any character that pieces are not cut at here.
+_OTHER = re.compile(f"[^\n -~{_LETTERS}]")
+# The expressions of both pre-tokenizers, for the characters above.
+_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+_SPACED_PIECES = re.compile(
+    rf"{_SUFFIXES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
+)
+_WORD_PIECES = re.compile(rf"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
 
 def _byte_table() -> dict[int, str]:
@@ -44,6 +55,28 @@ def _only_single_spaces(text: str) -> bool:
     )
 
 
+class _Remembered(dict):
+    """Values by key, made when first asked for; an old generation is asked before."""
+
+    def __init__(self, make, old: dict | None = None) -> None:
+        self.make = make
+        self.old = old or {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def bounded(self) -> _Remembered:
+        """This one, or a new one that takes over what it meets again."""
+        if len(self) <= REMEMBERED:
+            return self
+        self.old = {}
+        return _Remembered(self.make, self)
+
+
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -66,75 +99,59 @@ class TextEncoder:
             and not before["add_prefix_space"]
             and spec.get("normalizer") is None
         ):
-            self.mode, self.lead = "spaced", " "
+            self.mode, self.lead, self.cut = "spaced", " ", _SPACED_PIECES.findall
         elif (
             before.get("type") == "Sequence"
             and [step["type"] for step in before["pretokenizers"]] == ["Split", "ByteLevel"]
             and before["pretokenizers"][0]["behavior"] == "Removed"
-            and r"[\p{L}]+" in before["pretokenizers"][0]["pattern"].get("Regex", "")
+            and r"[\p{L}]+|[\p{N}]|" in before["pretokenizers"][0]["pattern"].get("Regex", "")
             and [step["type"] for step in steps] == ["NFC", "Replace", "Lowercase"]
         ):
-            self.mode = "words"
+            self.mode, self.cut = "words", _WORD_PIECES.findall
+        self.added = [token["content"] for token in spec["added_tokens"]]
         self.table = _byte_table()
-        # What an old generation knows is taken over when it is met again.
-        self.chunks: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.pieces = _Remembered(self._piece)
+        self.parts = _Remembered(self._part)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.mode == "whole":
             return self._library(text)
-        if len(self.chunks) > REMEMBERED:
-            self.chunks, self.old_chunks = {}, self.chunks
-        if len(self.pieces) > REMEMBERED:
-            self.pieces, self.old_pieces = {}, self.pieces
+        self.pieces = self.pieces.bounded()
+        if self._is_plain(text):
+            return self._plain(text)
+        self.parts = self.parts.bounded()
         if self.mode == "words":
-            chunks = text.replace("\n", " ").split(" ")
-            first = b""
-        else:
-            chunks = text.split(" ") if _only_single_spaces(text) else _CLEAN_SPACE.split(text)
-            first = self._new(chunks[0], "")
-            chunks = chunks[1:]
-        known = self.chunks
-        try:
-            return first + b"".join([known[chunk] for chunk in chunks])
-        except KeyError:
-            for chunk in chunks:
-                if chunk not in known:
-                    ids = self.old_chunks.get(chunk)
-                    known[chunk] = self._new(chunk, self.lead) if ids is None else ids
-            return first + b"".join([known[chunk] for chunk in chunks])
+            return b"".join([self.parts[part] for part in text.replace("\n", " ").split(" ")])
+        parts = text.split(" ") if _only_single_spaces(text) else _CLEAN_SPACE.split(text)
+        first = self._plain(parts[0]) if self._is_plain(parts[0]) else self._library(parts[0])
+        return first + b"".join([self.parts[part] for part in parts[1:]])
+
+    def _is_plain(self, text: str) -> bool:
+        return _OTHER.search(text) is None and not any(token in text for token in self.added)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _new(self, chunk: str, lead: str) -> bytes:
-        """Ids of one chunk: plain words by the library's model, all else by the library."""
-        if not chunk and not lead:
+    def _plain(self, text: str) -> bytes:
+        pieces = self.cut(text.lower() if self.mode == "words" else text)
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _part(self, part: str) -> bytes:
+        """Ids of what stands between two single spaces."""
+        if not part and not self.lead:
             return b""
-        plain = _PLAIN.match(chunk)
-        if plain is None:
-            return self._library(lead + chunk)
-        word = plain[1].lower() if self.mode == "words" else lead + plain[1]
-        ids = self._piece(word)
-        return ids + self._piece(plain[2]) if plain[2] else ids
+        part = self.lead + part
+        return self._plain(part) if self._is_plain(part) else self._library(part)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = self._encoded_piece(piece)
-        return ids
-
-    def _encoded_piece(self, piece: str) -> bytes:
-        ids = self.old_pieces.get(piece)
-        if ids is None:
+        """Ids of one piece, by the library's model."""
+        if piece.isascii():
+            visible = piece.replace(" ", self.table[0x20]).replace("\n", self.table[0x0A])
+        else:
             visible = piece.encode().decode("latin-1").translate(self.table)
-            found = self.tokenizer.model.tokenize(visible)
-            ids = np.array([token.id for token in found], "<u4").tobytes()
-        return ids
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(visible)]).tobytes()
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
