@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import round_half_even
+from ..plans.durable import materialise
 from ..plans.medians import exact_medians
 
 # Columns a result table may be grouped by, in this order.
@@ -177,13 +178,23 @@ def preprocessing_impact(results: DataFrame) -> DataFrame:
     )
 
 
+def interaction_cells(results: DataFrame, a: str, b: str) -> DataFrame:
+    """Mean accuracy in percent by ``a`` and ``b``, a row for each pair that occurs."""
+    return _means(results, [a, b]).select(a, b, (F.col("accuracy") * 100).alias("accuracy"))
+
+
 def interaction_matrix(
     results: DataFrame, a: str, b: str, values: Sequence | None = None
 ) -> DataFrame:
-    """Mean accuracy in percent of ``a`` by ``b``; 0 where a pair does not occur."""
-    cells = _means(results, [a, b])
-    pivot = cells.groupBy(a).pivot(b, list(values)) if values else cells.groupBy(a).pivot(b)
-    return pivot.agg(F.first(F.col("accuracy") * 100)).na.fill(0)
+    """``interaction_cells`` with a column for each value of ``b``; 0 where a pair does not occur.
+
+    A column per value is what a matrix for people is; where ``b`` has many values, use the
+    cells. Without ``values`` they are looked up, in order.
+    """
+    cells = materialise(interaction_cells(results, a, b), "interaction-cells")
+    if values is None:
+        values = [row[0] for row in cells.select(b).distinct().orderBy(b).collect()]
+    return cells.groupBy(a).pivot(b, list(values)).agg(F.first("accuracy")).na.fill(0)
 
 
 def faceted(results: DataFrame, metric: str) -> DataFrame:

@@ -12,9 +12,10 @@ combinations once; every function here takes its result in place of the lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.parsing import bgl_node_record, fields, hour_of
 from ..plans.durable import materialise
 from ..plans.once import add_once, keep_records
@@ -27,11 +28,13 @@ def parse_lines(lines: DataFrame, value: str = "raw_line") -> DataFrame:
     return keep_records(cut, bgl_node_record(part), F.size(part) >= 10, "line_no")
 
 
-def line_counts(parsed: DataFrame) -> DataFrame:
-    """Lines counted per level, component, node and hour."""
-    return parsed.groupBy(
-        "level", "component", "node_id", hour_of(F.col("timestamp")).alias("hour")
-    ).agg(F.count(F.lit(1)).alias("count"), F.min("line_no").alias("first_line"))
+def line_counts(parsed: DataFrame, *, patterns: bool = False) -> DataFrame:
+    """Lines counted per level, component, node and hour; with ``patterns`` also by the
+    pattern of ERROR lines, null for others."""
+    keys = ["level", "component", "node_id", hour_of(F.col("timestamp")).alias("hour")]
+    if patterns:
+        keys.append(F.when(F.col("level") == "ERROR", _pattern(F.col("message"))).alias("pattern"))
+    return parsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min("line_no").alias("first_line"))
 
 
 def _tally(frame: DataFrame, *keys: Column | str, where: Column | None = None) -> DataFrame:
@@ -100,15 +103,20 @@ def hour_level_map(frame: DataFrame) -> DataFrame:
     )
 
 
-def error_patterns(parsed: DataFrame, k: int = 10) -> DataFrame:
-    """The first five lower-case words of ERROR messages of three words or more."""
-    errors = parsed.where(F.col("level") == "ERROR").select("line_no", "message")
-    patterns = (
-        add_once(errors, {"words": fields(F.lower("message"), 6)})
-        .where(F.size("words") >= 3)
-        .withColumn("pattern", F.array_join(F.slice("words", 1, 5), " "))
+def _pattern(message: Column) -> Column:
+    """The first five lower-case words of a message; null with fewer than three words."""
+    return let(
+        fields(F.lower(message), 6),
+        lambda words: F.when(F.size(words) >= 3, F.array_join(F.slice(words, 1, 5), " ")),
     )
-    return _top(_tally(patterns, "pattern"), k)
+
+
+def error_patterns(frame: DataFrame, k: int = 10) -> DataFrame:
+    """The most frequent patterns of ERROR messages, from lines or from counts with patterns."""
+    if "pattern" not in frame.columns:
+        errors = frame.where(F.col("level") == "ERROR").select("line_no", "message")
+        frame = add_once(errors, {"pattern": _pattern(F.col("message"))})
+    return _top(_tally(frame.where(F.col("pattern").isNotNull()), "pattern"), k)
 
 
 def _hour_errors(frame: DataFrame) -> DataFrame:
@@ -269,9 +277,23 @@ def log_facts(frame: DataFrame) -> DataFrame:
     return facts.withColumn("top_components", names_of_top.scalar())
 
 
+def _counts_and_span(parsed: DataFrame) -> tuple[DataFrame, dict[str, str | None]]:
+    """Stored counts with patterns, and the time span, from one pass over the lines."""
+    names = {"start": F.min_by("timestamp", "line_no"), "end": F.max_by("timestamp", "line_no")}
+    if parsed.isEmpty():
+        return materialise(line_counts(parsed, patterns=True), "counts"), dict.fromkeys(names)
+    # Seen while counting. A task that runs twice does not change the first or last line.
+    seen = Observation()
+    watched = parsed.observe(seen, *(value.alias(name) for name, value in names.items()))
+    return materialise(line_counts(watched, patterns=True), "counts"), seen.get
+
+
 def statistics_rows(parsed: DataFrame) -> DataFrame:
-    """Every statistic in long form: section, key, subkey, value (text)."""
-    cells = materialise(line_counts(parsed), "counts")
+    """Every statistic in long form: section, key, subkey, value (text).
+
+    The lines are parsed once; all sections come from their counts.
+    """
+    cells, span_of = _counts_and_span(parsed)
 
     def rows(section: str, frame: DataFrame, key: str, subkey: Column, value: Column) -> DataFrame:
         return frame.select(
@@ -288,12 +310,12 @@ def statistics_rows(parsed: DataFrame) -> DataFrame:
         rows("node_counts", node_counts(cells), "node_id", none, count),
         rows("hour_counts", hour_counts(cells), "hour", none, count),
         rows("hour_level_counts", hour_level_counts(cells), "hour", F.col("level"), count),
-        rows("error_patterns", error_patterns(parsed), "pattern", none, count),
+        rows("error_patterns", error_patterns(cells), "pattern", none, count),
         rows("component_error_counts", component_error_counts(cells), "component", none, count),
         rows("hours_with_errors", hours_with_errors(cells), "hour", none, F.col("errors")),
     ]
-    span = time_span(parsed).select(F.explode(F.map_from_arrays(
-        F.array(F.lit("start"), F.lit("end")), F.array("start", "end"))).alias("key", "value"))
+    ends = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(span_of[k]).cast("string").alias("value")) for k in ("start", "end")))
+    span = parsed.sparkSession.range(1).select(F.inline(ends))
     parts.append(rows("time_span", span, "key", none, F.col("value")))
     scalars = (
         "total_lines", "error_count", "info_count", "warning_count", "unique_nodes",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.parsing import strip
 from ..functions.text import redact_config
+from ..plans.durable import materialise
 from ..plans.numbering import number_scan_rows
-from .logs import path_exists
+from .logs import path_exists, read_log_lines, with_line_numbers
 
 
 def label_flag(label: Column) -> Column:
@@ -44,7 +45,10 @@ def write_labels(labels: DataFrame, path: str) -> None:
 
 
 def read_session_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``<BlockId>.log``: the id and the stripped text."""
+    """One row per ``<BlockId>.log``: the id and the stripped text.
+
+    For sessions that fit into a row; ``read_session_lines`` gives those of any size.
+    """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.log")
     return files.select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.log$", "").alias("block_id"),
@@ -52,25 +56,57 @@ def read_session_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``block_id, line_no, value``: the lines of all ``<BlockId>.log``, read split by split."""
+    lines = with_line_numbers(read_log_lines(spark, path))
+    return lines.select(F.regexp_replace("file", r"\.log$", "").alias("block_id"), "line_no", "value")
+
+
+#: Columns of a result file at most.
+MAX_COLUMNS = 256
+
+
 def read_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Result CSVs as one table; files that do not exist are left out."""
+    """Result CSVs as one table; files and folders that do not exist are left out.
+
+    Headers may lack columns, name others, or have them in another order. All files are
+    read in one scan, without their headers; the first row of a file then tells which
+    cell belongs to which column. Types come from the schema, other columns are text.
+    """
     present = [path for path in paths if path_exists(spark, path)]
     if not present:
         raise ValueError("no valid CSV files found")
-    tables = [_read_result_file(spark, path) for path in present]
-    whole = tables[0]
-    for table in tables[1:]:
-        whole = whole.unionByName(table, allowMissingColumns=True)
-    return whole
+    names = [f"c{i}" for i in range(MAX_COLUMNS)]
+    kind = ", ".join(f"{name} string" for name in names)
+    # A quoted cell may hold line ends, so a file is read by one task, in order.
+    raw = spark.read.schema(kind).csv(present, multiLine=True, escape='"')
+    cells = materialise(
+        raw.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.monotonically_increasing_id().alias("place"),
+            F.array(*names).alias("cells"),
+        ),
+        "result-cells",
+    )
+    first = cells.groupBy("file").agg(F.min("place").alias("place"))
+    headers = materialise(
+        cells.join(first, ["file", "place"]).select("file", "place", F.col("cells").alias("header")),
+        "result-headers",
+    )
+    # The names of columns, not what is in them.
+    found = headers.select(F.explode(F.array_compact("header")).alias("name")).distinct().collect()
+    known = [row["name"] for row in found]
+    columns = [name for name in schemas.RESULT_COLUMNS if name in known]
+    columns += sorted(set(known) - set(columns))
+    types = dict(field.split() for field in schemas.RESULTS.split(", "))
+    rows = cells.join(headers.withColumnRenamed("place", "top"), "file").where(F.col("place") > F.col("top"))
 
+    def cell(name: str) -> Column:
+        place = F.array_position("header", name).cast("int")
+        value = F.when(place > 0, F.element_at("cells", F.greatest(place, F.lit(1))))
+        return value.try_cast(types.get(name, "string")).alias(name)
 
-def _read_result_file(spark: SparkSession, path: str) -> DataFrame:
-    # Headers may lack columns, so names come from the file and types from the schema.
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    types = dict(field.split() for field in schemas.RESULTS.split(", "))
-    return raw.select(
-        *(F.col(name).try_cast(types.get(name, "string")).alias(name) for name in raw.columns)
-    )
+    return rows.select(*(cell(name) for name in columns))
 
 
 def write_results(results: DataFrame, path: str) -> None:

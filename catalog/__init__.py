@@ -34,6 +34,7 @@ def load() -> dict[str, Entry]:
     from . import (  # noqa: F401
         answers,
         counts,
+        files,
         ingest,
         lines,
         results,

@@ -208,6 +208,14 @@ register(
         "v_results",
     ),
 )
+register(
+    "r8_interaction_cells",
+    lambda t: _rounded(ops.interaction_cells(_results(t), "question_id", "config_name"), "accuracy"),
+    sql(
+        f"SELECT question_id, config_name, round(avg({_HIT}) * 100, 6) AS accuracy FROM v_results GROUP BY 1, 2",
+        "v_results",
+    ),
+)
 _LABEL = "concat(model, ' | ', workflow, ' | ', CAST(preprocessing AS varchar))"
 register(
     "r9_faceted_accuracy",
