@@ -1,4 +1,4 @@
-"""The library's own code for the executors.
+"""What Python workers need: the library's own code, and batches of a fair size.
 
 Functions that run in tasks import this package there. A cluster whose executors do not
 have it installed gets it as a zip file through Spark, once per application.
@@ -17,7 +17,16 @@ from .files import new_folder, write_bytes
 _SHIPPED: set[str] = set()
 
 
+#: Rows of a batch that a worker gets. Spark's own 10,000 texts are held by the worker as
+#: Arrow, as Python objects and once more as results.
+BATCH_ROWS = 2_000
+
+
 def ship_code(spark: SparkSession) -> None:
+    """Make the package known to the executors, and batches smaller where nothing is set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
