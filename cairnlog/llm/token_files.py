@@ -18,9 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnlog.plans.durable import materialise
+from cairnlog.plans.prefix import running_totals
+
 from .shipping import ship_code
 from .storage import attempt_name, new_folder, read_bytes, write_bytes
 from .tokenizer import encoder
@@ -162,7 +165,7 @@ def write_token_files(
     file, 64-bit little-endian), one row per file, stored as a table in ``folder``. Only
     listed files count. A null text is an empty one: its document has only the end id.
     A null id comes first and is kept as null. Repeated ids stay next to each other,
-    rows with fewer characters first. An empty input gives no file. Ids must be integers.
+    in the order of digests of their texts. An empty input gives no file. Ids must be integers.
     """
     ship_code(documents.sparkSession)
     spark = documents.sparkSession
@@ -170,7 +173,9 @@ def write_token_files(
     rows = documents.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")
     )
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.length("text"), "text")
+    # A digest in the ranges splits rows that share an id, or have none.
+    keyed = rows.withColumn("digest", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("id", "digest").sortWithinPartitions("id", "digest", "text").drop("digest")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer_path).encode
@@ -220,10 +225,10 @@ def read_token_files(spark: SparkSession, folder: str, *, id_column: str = "doc_
     unsigned 32-bit integers. Files are decoded by as many tasks as there are files.
     """
     files = spark.read.parquet(f"{folder}/files")
-    # One row per file: the running sum sees files, not documents.
-    order = Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    dealt = placed.repartition(max(1, placed.count()), "file")
+    # Names and sizes of files only are summed up, not what documents they hold.
+    sizes = files.select("file", "partition", "number", "n_ids")
+    bases = running_totals(sizes, ["partition", "number"], {"base": "n_ids"}).select("file", "base")
+    dealt = files.join(materialise(bases, "file-offsets"), "file").repartition(max(1, files.count()), "file")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
