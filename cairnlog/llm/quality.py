@@ -19,17 +19,18 @@ from pyspark.sql import functions as F
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture; compared with the lower-cased line.
+#: Phrases of page furniture in English, German, French and Spanish; compared with the
+#: lower-cased line.
 BOILERPLATE = (
-    "accept cookies",
-    "all rights reserved",
-    "cookie policy",
-    "enable javascript",
-    "privacy policy",
-    "sign up for our newsletter",
-    "terms of service",
-    "terms of use",
-)
+    "accept cookies", "all rights reserved", "cookie policy", "enable javascript", "privacy policy",
+    "sign up for our newsletter", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookie-einstellungen", "cookies akzeptieren", "datenschutzerklärung",
+    "javascript aktivieren", "newsletter abonnieren", "nutzungsbedingungen",
+    "accepter les cookies", "activer javascript", "mentions légales", "politique de confidentialité",
+    "politique de cookies", "recevoir notre newsletter", "tous droits réservés",
+    "aceptar cookies", "activar javascript", "aviso legal", "política de cookies", "política de privacidad",
+    "suscríbete a nuestro boletín", "todos los derechos reservados", "términos de uso",
+)
 #: Shares in percent above which a line fails.
 SYMBOL_WORDS, SHOUTED_WORDS, SEPARATOR_WORDS = 30, 30, 20
 #: Words from which a line needs a punctuation mark.

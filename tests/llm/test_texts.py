@@ -59,6 +59,13 @@ def test_quality_lines():
     assert dict(zip(names, quality.judge(prose)))["cleaned"] == prose
 
 
+def test_furniture_in_four_languages():
+    for phrase in quality.BOILERPLATE:
+        assert "'" not in phrase and phrase == phrase.lower()
+        found = quality.judge(f"Good line, kept.\n{phrase.capitalize()} here.\nAnother good line, kept.")
+        assert found[-1] == "Good line, kept.\nAnother good line, kept."
+
+
 def test_secrets(spark):
     body = "abcdefghijklmnopqrstuvwxyz0123"
     good, bad = f"ghp_{body}{secrets.base_62_checksum(body)}", f"ghp_{body}AAAAAA"
