@@ -13,6 +13,8 @@ the worst of the best so far for positives, between two scores for negatives.
 
 Rows are dealt to tasks by place in that order, never by label, and anchors stream past
 the rows of each task, so neither is collected and a hot label is spread like any other.
+Positives are looked for in all tasks, negatives in those whose rows, taken as one long
+window, can have such a score.
 """
 
 from __future__ import annotations
@@ -254,23 +256,63 @@ def _stored_rows(
     return materialise(stored, "measured-vectors"), width, tasks
 
 
+def _everywhere(anchors: DataFrame, tasks: int) -> DataFrame:
+    """Anchors once for every task."""
+    return anchors.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+
+
+def _where_negatives_can_be(rows: DataFrame, anchors: DataFrame, tasks: int, low: int, of: int) -> DataFrame:
+    """Anchors once for every task whose rows can have a score that one of their positives asks for.
+
+    A task's rows are one long window: their bounds are those of its angles and norms.
+    """
+    directions = F.max(F.size("angles"))
+    count = rows.agg(directions).first()[0] or 0
+    ends = [(f"{name}{i}", end(F.col("angles")[i])) for i in range(count) for name, end in (("low", F.min), ("high", F.max))]
+    ends += [("small", F.min("norm")), ("great", F.max("norm"))]
+    low_angles, high_angles = np.zeros((tasks, count)), np.full((tasks, count), np.pi)
+    small, great, held = np.zeros(tasks), np.zeros(tasks), np.zeros(tasks, bool)
+    # One row per task.
+    for row in rows.groupBy("task").agg(*(value.alias(name) for name, value in ends)).collect():
+        task = row["task"]
+        low_angles[task] = [row[f"low{i}"] for i in range(count)]
+        high_angles[task] = [row[f"high{i}"] for i in range(count)]
+        small[task], great[task], held[task] = row["small"], row["great"], True
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            most = matrix(batch.column("positive"), len(batch.column("positive")[0]), "f8")
+            lower, upper = score_bounds(
+                matrix(batch.column("angles"), count, "f8"), batch.column("norm").to_numpy(),
+                low_angles, high_angles, small, great,
+            )
+            least = np.ceil(low * most / of)[:, None, :]
+            fits = (upper[:, :, None] >= least) & (lower[:, :, None] <= most[:, None, :]) & (least <= most[:, None, :])
+            which, task = np.nonzero(fits.any(axis=2) & held)
+            sent = batch.take(pa.array(which))
+            place = batch.schema.get_field_index("task")
+            yield sent.set_column(place, "task", pa.array(task.astype("i4")))
+
+    return anchors.mapInArrow(route, anchors.schema)
+
+
 _FOUND = "anchor_row long, anchor long, slot int, score long, id long, row long"
 
 
 def _scan(
     rows: DataFrame, anchors: DataFrame, width: int, tasks: int, slots: int, count: int, limits: tuple[int, int] | None
 ) -> DataFrame:
-    """The best rows of every task for every anchor and slot.
+    """The best rows of every task for every anchor sent to it, and slot.
 
-    ``anchors`` has the columns of ``rows`` and ``positive``, an array of ``slots`` scores
-    (null where there is none). Each task gets its rows first, then all anchors.
+    ``anchors`` has the columns of ``rows``, of which ``task`` says where it is sent, and
+    ``positive``, an array of ``slots`` scores (NaN where there is none). Each task gets its
+    rows first, then its anchors.
     """
     # A task's rows are its windows in stored order; anchors follow in the same order.
     own = rows.select("*", F.lit(False).alias("asks"), F.lit(None).cast("array<double>").alias("positive"))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
-    asking = anchors.select(
-        everywhere, *(c for c in rows.columns if c != "task"), F.lit(True).alias("asks"), "positive"
-    )
+    asking = anchors.select(*rows.columns, F.lit(True).alias("asks"), "positive")
     together = (
         own.unionByName(asking)
         .repartition(tasks, "task")
@@ -386,7 +428,9 @@ def mine_hard_negatives(
     anchors = rows.where("anchor")
     none = F.array().cast("array<double>").alias("positive")
     found = _first(
-        _scan(rows, anchors.select("*", none), width, tasks, 0, positives, None), positives, "positives"
+        _scan(rows, _everywhere(anchors.select("*", none), tasks), width, tasks, 0, positives, None),
+        positives,
+        "positives",
     )
     scores = found.groupBy("anchor_row").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", F.col("score").cast("double")))).alias("by_rank")
@@ -395,8 +439,9 @@ def mine_hard_negatives(
     asking = anchors.join(scores, F.col("row") == F.col("anchor_row")).select(
         *rows.columns, F.transform(every, lambda x: F.coalesce(x, F.lit(float("nan")))).alias("positive")
     )
+    sent = _where_negatives_can_be(rows, asking, tasks, low, of)
     mined = _first(
-        _scan(rows, asking, width, tasks, positives, negatives, (low, of)), negatives, "hard-negatives"
+        _scan(rows, sent, width, tasks, positives, negatives, (low, of)), negatives, "hard-negatives"
     )
     known = found.select(
         F.col("anchor_row").alias("of_row"),

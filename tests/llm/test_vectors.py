@@ -147,6 +147,27 @@ def test_negatives_match_brute_force(spark, monkeypatch, window, rows_per_task,
     assert sorted(map(tuple, mined.collect())) == sorted(plain_negatives(rows))
 
 
+def test_anchors_go_where_negatives_can_be(spark, monkeypatch):
+    """Clusters in different directions: tasks of other directions get no anchor."""
+    monkeypatch.setattr(hard_negatives, "TASK_NUMBERS", 40 * 8)
+    monkeypatch.setattr(hard_negatives, "WINDOW", 8)
+    rng = random.Random(4)
+    axes = [[1.0 if i == j else 0.0 for j in range(8)] for i in range(8)]
+    rows = [(i, [x + rng.uniform(-0.02, 0.02) for x in axes[i // 40]], rng.choice([1, 2])) for i in range(320)]
+    sent = []
+    route = hard_negatives._where_negatives_can_be
+
+    def watched(stored, anchors, tasks, *limits):
+        out = route(stored, anchors, tasks, *limits)
+        sent.append((out.count(), anchors.count() * tasks))
+        return out
+
+    monkeypatch.setattr(hard_negatives, "_where_negatives_can_be", watched)
+    mined = hard_negatives.mine_hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0)
+    assert sorted(map(tuple, mined.collect())) == sorted(plain_negatives(rows))
+    assert sent[0][1] >= 32 * 8 and sent[0][0] < sent[0][1] / 2
+
+
 def test_negatives_of_empty_tables(spark):
     for rows in ([], [(0, None, 1)], [(0, [1.0], None)], [(0, [1.0], 1)], [(0, [0.0] * 3, 1), (1, [0.0] * 3, 1)]):
         mined = hard_negatives.mine_hard_negatives(frame(spark, rows), F.col("vec_id") == 0)
