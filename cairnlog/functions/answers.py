@@ -23,6 +23,23 @@ BARE_JSON = (r"(?s)\{[^{}]*\}", r"(?s)\{.*?\}", r"(?s)\[.*?\]")
 FIRST_INTEGER = r"(?U)\b(\d+)\b"
 QUOTED_TEXT = r'(?s)"([^"]+)"'
 
+# The wording of reasons and of what an evaluator left out.
+NO_INTEGER_IN = "Could not extract integer from: "
+NOT_AN_INTEGER = "Could not convert to integer: "
+WITHIN_TOLERANCE = "Correct (within tolerance ±"
+GOT = "Incorrect: got "
+BUT_EXPECTED = ", expected "
+MATCHED = "Matched expected value: "
+NO_MATCH = "Did not match any expected values"
+NOT_A_LIST = "Answer is not a list: "
+EXACT_ORDER = "Correct (exact order match)"
+OTHER_ORDER = "Incorrect order: got "
+ALL_PRESENT = "Correct (all items present, order ignored)"
+OTHER_ITEMS = "Incorrect: "
+UNKNOWN_TYPE = "Unknown answer type: "
+NO_REASONING = "No reasoning provided"
+NOT_READ = "Could not parse JSON evaluation. Used heuristic."
+
 # Words by which an evaluator accepts when its JSON cannot be read.
 ACCEPT_WORDS = ("acceptable", "adequate", "satisfactory", "good", "correct", "yes")
 
@@ -196,20 +213,20 @@ def compare_integer(found: Answer, expected: Column, tolerance: Column) -> Colum
     value = found.integer
     difference = F.abs(value - expected)
     tolerance = F.coalesce(tolerance, F.lit(0))
-    unread = F.when(found.kind == "string", "Could not extract integer from: ").otherwise(
-        "Could not convert to integer: "
+    unread = F.when(found.kind == "string", NO_INTEGER_IN).otherwise(
+        NOT_AN_INTEGER
     )
     reason = (
         F.when(value.isNull(), F.concat(unread, found.plain))
         .when(
             difference <= tolerance,
-            F.concat(F.lit("Correct (within tolerance ±"), tolerance.cast("string"), F.lit(")")),
+            F.concat(F.lit(WITHIN_TOLERANCE), tolerance.cast("string"), F.lit(")")),
         )
         .otherwise(
             F.concat(
-                F.lit("Incorrect: got "),
+                F.lit(GOT),
                 value.cast("string"),
-                F.lit(", expected "),
+                F.lit(BUT_EXPECTED),
                 expected.cast("string"),
                 F.lit(" (±"),
                 tolerance.cast("string"),
@@ -233,8 +250,8 @@ def compare_string(found: Answer, expected: Column, case_sensitive: Column) -> C
     hits = F.filter(wanted, lambda e: F.contains(folded, e) | F.contains(e, folded))
 
     def verdict(first: Column) -> Column:
-        matched = F.concat(F.lit("Matched expected value: "), first)
-        reason = F.coalesce(matched, F.lit("Did not match any expected values"))
+        matched = F.concat(F.lit(MATCHED), first)
+        reason = F.coalesce(matched, F.lit(NO_MATCH))
         return _verdict(first.isNotNull(), reason, plain, F.lit(None))
 
     return let(F.try_element_at(hits, F.lit(1)), verdict)
@@ -271,13 +288,13 @@ def compare_list(found: Answer, expected: Column, order_matters: Column) -> Colu
             F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), _listed(missing))),
             F.when(F.size(extra) > 0, F.concat(F.lit("extra: "), _listed(extra))),
         )
-        in_order = (F.lit("Incorrect order: got "), _listed(items), F.lit(", expected "), _listed(wanted))
+        in_order = (F.lit(OTHER_ORDER), _listed(items), F.lit(BUT_EXPECTED), _listed(wanted))
         reason = (
-            F.when(items.isNull(), F.concat(F.lit("Answer is not a list: "), found.kind))
-            .when(ordered & correct, "Correct (exact order match)")
+            F.when(items.isNull(), F.concat(F.lit(NOT_A_LIST), found.kind))
+            .when(ordered & correct, EXACT_ORDER)
             .when(ordered, F.concat(*in_order))
-            .when(correct, "Correct (all items present, order ignored)")
-            .otherwise(F.concat(F.lit("Incorrect: "), parts))
+            .when(correct, ALL_PRESENT)
+            .otherwise(F.concat(F.lit(OTHER_ITEMS), parts))
         )
         answer = F.coalesce(_listed(items), found.plain)
         return _verdict(correct, reason, answer, F.lit(None))
@@ -300,7 +317,7 @@ def compare(found: Answer, spec: dict[str, Column]) -> Column:
     kind = spec["answer_type"]
     unknown = _verdict(
         F.lit(False),
-        F.concat(F.lit("Unknown answer type: "), F.coalesce(kind, F.lit("None"))),
+        F.concat(F.lit(UNKNOWN_TYPE), F.coalesce(kind, F.lit("None"))),
         found.plain,
         F.lit(None),
     )
@@ -341,10 +358,10 @@ def parse_verdict(text: Column) -> Column:
         F.when(
             readable,
             F.coalesce(
-                F.try_variant_get(parsed, "$.reasoning", "string"), F.lit("No reasoning provided")
+                F.try_variant_get(parsed, "$.reasoning", "string"), F.lit(NO_REASONING)
             ),
         )
-        .otherwise(F.lit("Could not parse JSON evaluation. Used heuristic."))
+        .otherwise(F.lit(NOT_READ))
         .alias("reasoning"),
         F.when(
             readable,

@@ -47,9 +47,8 @@ def chunk_lines(
     """
     windows = _windows(lines, size, overlap)
     filled = F.col("value").rlike(r"(?U)\S")
-    kept = (
-        windows.where(filled).select("file", "window_no").distinct()
-    )
+    # Stored, so that the text is read twice only: for this and for the chunks.
+    kept = materialise(windows.where(filled).select("file", "window_no").distinct(), "filled-windows")
     numbers = _chunk_numbers(kept)
     if first is not None:
         numbers = materialise(numbers.where(F.col("chunk_index") < first), "first-windows")
