@@ -132,13 +132,6 @@ def _documents(row) -> list[tuple[int | None, list[bytes]]]:
     ]
 
 
-def _compared(documents: list[tuple[int | None, list[bytes]]]) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Number, id and words of the documents that have an id and a window."""
-    for number, (id_, words) in enumerate(documents):
-        if id_ is not None and len(words) >= WINDOW:
-            yield number, id_, words
-
-
 def _starts(keys: np.ndarray, *more: np.ndarray) -> np.ndarray:
     """Which entries of sorted arrays begin a group of equal ones."""
     first = np.ones(len(keys), bool)
@@ -163,12 +156,36 @@ def _by_row(shards: pd.Series, asked: np.ndarray) -> list[tuple[int, slice]]:
     return [(shards.iloc[row], slice(a, b)) for row, a, b in zip(rows.tolist(), first.tolist(), ends.tolist())]
 
 
-def _local_seeds(documents: list[tuple[int | None, list[bytes]]]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """Distinct seeds of a shard, how many of its documents hold each, and seeds by window."""
-    own = {number: window_seeds(word_hashes(words)) for number, _, words in _compared(documents)}
-    each = [np.unique(seeds) for seeds in own.values()]
-    seeds, counts = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, "u8"),) * 2
-    return seeds, counts, own
+class _Windows:
+    """The windows of all documents of a shard that have an id, in one row of words.
+
+    ``place`` says where in that row each window begins, ``number`` in which document, and
+    ``seed`` is its seed. ``seeds`` are the distinct ones, ``group`` the seed of each window
+    among them, and ``several`` tells which seeds more than one document holds.
+    """
+
+    def __init__(self, documents: list[tuple[int | None, list[bytes]]]) -> None:
+        named = [(n, words) for n, (id_, words) in enumerate(documents) if id_ is not None and len(words) >= WINDOW]
+        self.words = [word for _, words in named for word in words]
+        sizes = np.array([len(words) for _, words in named], "i8")
+        self.hashes = word_hashes(self.words)
+        self.begins = np.zeros(len(documents), "i8")
+        self.begins[[n for n, _ in named]] = np.cumsum(sizes) - sizes
+        number = np.repeat(np.array([n for n, _ in named], "i8"), sizes)
+        # A window must end in the document it begins in.
+        inside = number[: len(number) - WINDOW + 1] == number[WINDOW - 1 :] if len(number) else np.zeros(0, bool)
+        self.place = np.flatnonzero(inside)
+        self.number = number[self.place]
+        seed = window_seeds(self.hashes)[self.place] if len(self.place) else np.zeros(0, "u8")
+        order = np.argsort(seed, kind="stable")
+        first = _starts(seed[order])
+        heads = np.flatnonzero(first)
+        self.seeds = seed[order][heads]
+        self.group = np.empty(len(seed), "i8")
+        self.group[order] = np.cumsum(first) - 1
+        # In the order of a stable sort the last window of a seed is in its last document.
+        ends = np.append(heads[1:], len(seed)) - 1
+        self.several = self.number[order[heads]] != self.number[order[ends]] if len(seed) else np.zeros(0, bool)
 
 
 def _joined(parts, kind: str) -> np.ndarray:
@@ -181,7 +198,7 @@ def _repeated_seeds(shards: DataFrame, ranges: int) -> DataFrame:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                seeds, _, _ = _local_seeds(_documents(row))
+                seeds = _Windows(_documents(row)).seeds
                 out = [(number, row.shard, seeds[part].tobytes()) for number, part in _by_range(seeds, ranges)]
                 yield pd.DataFrame(out, columns=["range", "shard", "seeds"])
 
@@ -211,18 +228,21 @@ def shard_windows(
     and the number and place of a document of the smallest id. A seed is repeated if it is
     in ``repeated`` or several documents of the shard hold it.
     """
-    seeds, counts, own = _local_seeds(documents)
-    wanted = np.union1d(seeds[counts > 1], repeated)
-    none = np.zeros(0, "u8")
-    parts = [(none, none.astype("u4"), none.astype("i8"), none.astype("u4"), none.astype("u4"))]
-    for number, id_, words in _compared(documents):
-        place = np.flatnonzero(np.isin(own[number], wanted))
-        if len(place):
-            hi = run_hashes(word_hashes(words), WINDOW)[place]
-            lo = run_hashes(_other_hashes(words), WINDOW)[place].astype("u4")
-            same = np.full(len(place), number, "u4")
-            parts.append((hi, lo, np.full(len(place), id_, "i8"), same, place.astype("u4")))
-    hi, lo, ids, numbers, places = (np.concatenate(part) for part in zip(*parts))
+    windows = _Windows(documents)
+    wanted = (windows.several | np.isin(windows.seeds, repeated))[windows.group]
+    place, numbers = windows.place[wanted], windows.number[wanted]
+    covered = np.zeros(len(windows.words) + 1, "i4")
+    np.add.at(covered, place, 1)
+    np.add.at(covered, place + WINDOW, -1)
+    # Only words of such windows need a second hash.
+    used = np.flatnonzero(np.cumsum(covered[:-1]))
+    others = np.zeros(len(windows.words), "u8")
+    others[used] = _other_hashes([windows.words[at] for at in used.tolist()])
+    hi = run_hashes(windows.hashes, WINDOW)[place] if len(place) else np.zeros(0, "u8")
+    lo = (run_hashes(others, WINDOW)[place] if len(place) else hi).astype("u4")
+    ids = np.array([0 if id_ is None else id_ for id_, _ in documents], "i8")[numbers]
+    places = (place - windows.begins[numbers]).astype("u4")
+    numbers = numbers.astype("u4")
     order = np.lexsort((places, numbers, ids, lo, hi))
     hi, lo, ids, numbers, places = (column[order] for column in (hi, lo, ids, numbers, places))
     heads = np.flatnonzero(_starts(hi, lo))
@@ -339,23 +359,30 @@ def locate_passages(
     automaton.make_automaton()
     ids = [id_ for id_, _ in documents]
     for number in sorted((n for n, id_ in enumerate(ids) if id_ is not None), key=lambda n: ids[n]):
-        text, mark, id_ = texts[number], removed[number], ids[number]
-        # A hit at an end covers all windows that begin up to ``ANCHOR`` - 1 words before it.
+        text, id_, gone = texts[number], ids[number], []
+        # A hit stands for all windows that begin up to ``ANCHOR`` - 1 words before it.
         for last, _ in automaton.iter(text):
             hit = last + 1 - anchor
             if hit % width:
                 continue
             for at in range(max(0, hit - anchor + width), hit + 1, width):
-                found = text[at : at + window]
-                if found in holders:
-                    holder = holders[found]
-                    if holder is None:
-                        holders[found] = id_
-                    elif holder < id_:
-                        mark[at // width : at // width + WINDOW] = True
+                holder = holders.get(text[at : at + window], _UNKNOWN)
+                if holder is None:
+                    holders[text[at : at + window]] = id_
+                elif holder is not _UNKNOWN and holder < id_:
+                    gone.append(at)
+        if gone:
+            begin = np.array(gone) // width
+            edges = np.zeros(len(removed[number]) + 1, "i8")
+            np.add.at(edges, begin, 1)
+            np.add.at(edges, begin + WINDOW, -1)
+            removed[number] = np.cumsum(edges[:-1]) > 0
     return removed
 
 
+_UNKNOWN = object()
+
+
 def remove_repeated_passages(
     documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
