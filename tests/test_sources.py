@@ -228,6 +228,36 @@ def test_results_round_trip(spark, tmp_path):
         ev.read_results(spark, [str(tmp_path / "missing")])
 
 
+def test_results_of_many_files_are_one_scan(spark, tmp_path):
+    heads = ["question_id,correct,tokens_total", "correct,note,question_id", "question_id"]
+    for i in range(300):
+        cells = {"question_id": f"q{i}", "correct": "true", "tokens_total": str(i), "note": f'"a\n{i}"'}
+        names = heads[i % 3].split(",")
+        (tmp_path / f"r{i}.csv").write_text("\n".join([heads[i % 3], ",".join(cells[n] for n in names)]) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    paths = [str(path) for path in tmp_path.glob("*.csv")]
+    found, rows = scanned_rows(spark, lambda: ev.read_results(spark, paths).collect(), "csv")
+    assert rows == 600 and len(found) == 300
+    by = {row["question_id"]: row for row in found}
+    for i in range(300):
+        row = by[f"q{i}"]
+        assert row["tokens_total"] == (i if i % 3 == 0 else None)
+        assert row["correct"] == (True if i % 3 < 2 else None) and row["note"] == (f"a\n{i}" if i % 3 == 1 else None)
+
+
+def test_long_sessions_are_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "blk_1.log").write_text("".join(f"line {i}\n" for i in range(300_000)))
+    (tmp_path / "blk_-2.log").write_text("one\ntwo")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500000")
+    try:
+        lines = ev.read_session_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 4
+        assert lines.where("block_id = 'blk_1' and value != concat('line ', line_no - 1)").count() == 0
+        assert {r["block_id"]: r["count"] for r in lines.groupBy("block_id").count().collect()} == {"blk_1": 300_000, "blk_-2": 2}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_evaluations(spark, tmp_path):
     tests = [{"block_id": f"blk_{i}", "expected_label": i % 2, "predicted_label": 1, "correct": i % 2 == 1} for i in range(25)]
     new = {"metadata": {"experiment": "e1", "model": "m"}, "metrics": {"TP": 12, "f1": 0.5}, "test_results": tests}
