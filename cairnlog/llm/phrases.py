@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cairnlog.plans.durable import materialise
 
-from .shingles import REMEMBERED, run_hashes, word_hashes, words_of
+from .shingles import run_hashes
 from .shipping import ship_code
 
 WINDOW = 13
@@ -44,8 +44,9 @@ ANCHOR = (WINDOW + 1) // 2
 RANGE_ENTRIES = 250_000
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD_BYTES = 3_000_000
-#: Letters that words are spelled with: all code points that are characters, but for 0.
-LETTERS = 0x10FFFF - 0x800
+#: Letters that words are spelled with. Nodes of the automaton look through their children
+#: one by one, so a word is several letters rather than one of very many.
+LETTERS = 512
 
 
 def window_seeds(hashes: np.ndarray) -> np.ndarray:
@@ -58,20 +59,16 @@ def window_seeds(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-_OTHERS: dict[bytes, int] = {}
+def _numbered(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words, and for every word its number among them."""
+    distinct = list(dict.fromkeys(words))
+    number = dict(zip(distinct, range(len(distinct))))
+    return distinct, np.fromiter(map(number.__getitem__, words), "u4", len(words))
 
 
-def _other_hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes of words that do not depend on those of ``word_hashes``."""
-    if len(_OTHERS) > REMEMBERED:
-        _OTHERS.clear()
-    out = []
-    for word in words:
-        value = _OTHERS.get(word)
-        if value is None:
-            value = _OTHERS[word] = xxhash.xxh64_intdigest(word, 1)
-        out.append(value)
-    return np.array(out, "u8")
+def _word_hashes(distinct: list[bytes], seed: int = 0) -> np.ndarray:
+    """Hashes of words; those of different seeds do not depend on each other."""
+    return np.fromiter((xxhash.xxh64_intdigest(word, seed) for word in distinct), "u8", len(distinct))
 
 
 def _dealt(documents: DataFrame) -> DataFrame:
@@ -166,9 +163,9 @@ class _Windows:
 
     def __init__(self, documents: list[tuple[int | None, list[bytes]]]) -> None:
         named = [(n, words) for n, (id_, words) in enumerate(documents) if id_ is not None and len(words) >= WINDOW]
-        self.words = [word for _, words in named for word in words]
         sizes = np.array([len(words) for _, words in named], "i8")
-        self.hashes = word_hashes(self.words)
+        self.distinct, self.words = _numbered([word for _, words in named for word in words])
+        self.hashes = _word_hashes(self.distinct)[self.words]
         self.begins = np.zeros(len(documents), "i8")
         self.begins[[n for n, _ in named]] = np.cumsum(sizes) - sizes
         number = np.repeat(np.array([n for n, _ in named], "i8"), sizes)
@@ -236,8 +233,10 @@ def shard_windows(
     np.add.at(covered, place + WINDOW, -1)
     # Only words of such windows need a second hash.
     used = np.flatnonzero(np.cumsum(covered[:-1]))
-    others = np.zeros(len(windows.words), "u8")
-    others[used] = _other_hashes([windows.words[at] for at in used.tolist()])
+    known = np.unique(windows.words[used])
+    second = np.zeros(len(windows.distinct), "u8")
+    second[known] = _word_hashes([windows.distinct[n] for n in known.tolist()], 1)
+    others = second[windows.words]
     hi = run_hashes(windows.hashes, WINDOW)[place] if len(place) else np.zeros(0, "u8")
     lo = (run_hashes(others, WINDOW)[place] if len(place) else hi).astype("u4")
     ids = np.array([0 if id_ is None else id_ for id_, _ in documents], "i8")[numbers]
@@ -296,34 +295,24 @@ def _confirmed(shards: DataFrame, seeds: DataFrame, ranges: int) -> DataFrame:
     return asking.mapInPandas(ask, _REQUESTS).groupBy("range").applyInPandas(answer, _ANSWERS)
 
 
-class _Letters(dict):
-    """A letter for every word, or as many as it takes (``width``) beyond ``LETTERS`` words."""
-
-    def __init__(self, width: int = 1) -> None:
-        self.width = width
-
-    def __missing__(self, word: bytes) -> str:
-        number = len(self)
-        if number >= LETTERS**self.width:
-            raise OverflowError("more words than letters")
-        spelled = ""
-        for _ in range(self.width):
-            number, code = divmod(number, LETTERS)
-            # Code points without the surrogates, which are no characters.
-            spelled += chr(code + 1 if code + 1 < 0xD800 else code + 0x801)
-        self[word] = spelled
-        return spelled
-
-
 def _spelled(documents: list[list[bytes]]) -> tuple[list[str], int]:
-    """All documents with words as letters, and the letters of a word."""
+    """All documents with words as letters, and the letters of a word.
+
+    A word is one letter, or as many as it takes beyond ``LETTERS`` distinct words.
+    """
+    distinct, numbers = _numbered([word for words in documents for word in words])
     width = 1
-    while True:
-        letters = _Letters(width)
-        try:
-            return ["".join([letters[word] for word in words]) for words in documents], width
-        except OverflowError:
-            width += 1
+    while LETTERS**width < len(distinct):
+        width += 1
+    codes = np.empty((len(numbers), width), "<u4")
+    rest = numbers.astype("u8")
+    for place in range(width):
+        rest, codes[:, place] = np.divmod(rest, np.uint64(LETTERS))
+    # Code points from 1 without the surrogates, which are no characters.
+    codes += np.where(codes + 1 < 0xD800, 1, 0x801).astype("<u4")
+    text = codes.tobytes().decode("utf-32-le")
+    ends = np.cumsum([len(words) for words in documents]) * width
+    return [text[end - len(words) * width : end] for words, end in zip(documents, ends.tolist())], width
 
 
 def locate_passages(
@@ -345,41 +334,56 @@ def locate_passages(
     window, anchor = WINDOW * width, ANCHOR * width
     # The smallest id that holds a window: none yet, or one before all of these.
     holders: dict[str, int | None] = {}
+    # Pieces with all windows around them, where all of these are held by an earlier id.
+    surroundings: set[str] = set()
     automaton = ahocorasick.Automaton()
-    begins = np.flatnonzero((np.diff(numbers, prepend=-1) != 0) | (np.diff(places, prepend=-2) != 1))
+    begins = np.flatnonzero(
+        (np.diff(numbers, prepend=-1) != 0) | (np.diff(places, prepend=-2) != 1) | (np.diff(earlier, prepend=False) != 0)
+    )
     ends = np.append(begins[1:], len(places))
-    for begin, end in zip(begins.tolist(), ends.tolist()):
-        text = texts[numbers[begin]]
-        for entry in range(begin, end):
-            at = int(places[entry]) * width
-            holders[text[at : at + window]] = -(2**63) - 1 if earlier[entry] else None
-        last = (int(places[end - 1]) + WINDOW) * width
-        for at in range(int(places[begin]) * width, last - anchor + 1, anchor):
+    lead = anchor - width
+    for number, first, count, known in zip(
+        numbers[begins].tolist(), places[begins].tolist(), (ends - begins).tolist(), earlier[begins].tolist()
+    ):
+        text = texts[number][first * width : (first + count - 1) * width + window]
+        windows = [text[at : at + window] for at in range(0, count * width, width)]
+        holders.update(dict.fromkeys(windows, _BEFORE_ALL if known else None))
+        for at in range(0, len(text) - anchor + 1, anchor):
             automaton.add_word(text[at : at + anchor], True)
+            if known and at >= lead and at + window <= len(text):
+                surroundings.add(text[at - lead : at + window])
     automaton.make_automaton()
     ids = [id_ for id_, _ in documents]
     for number in sorted((n for n, id_ in enumerate(ids) if id_ is not None), key=lambda n: ids[n]):
-        text, id_, gone = texts[number], ids[number], []
+        text, id_ = texts[number], ids[number]
+        gone: list[int] = []
+        until: list[int] = []
         # A hit stands for all windows that begin up to ``ANCHOR`` - 1 words before it.
         for last, _ in automaton.iter(text):
             hit = last + 1 - anchor
             if hit % width:
                 continue
-            for at in range(max(0, hit - anchor + width), hit + 1, width):
+            if text[max(0, hit - lead) : hit + window] in surroundings:
+                gone.append(hit - lead)
+                until.append(hit + window)
+                continue
+            for at in range(max(0, hit - lead), hit + 1, width):
                 holder = holders.get(text[at : at + window], _UNKNOWN)
                 if holder is None:
                     holders[text[at : at + window]] = id_
                 elif holder is not _UNKNOWN and holder < id_:
                     gone.append(at)
+                    until.append(at + window)
         if gone:
-            begin = np.array(gone) // width
             edges = np.zeros(len(removed[number]) + 1, "i8")
-            np.add.at(edges, begin, 1)
-            np.add.at(edges, begin + WINDOW, -1)
+            np.add.at(edges, np.array(gone) // width, 1)
+            np.add.at(edges, np.array(until) // width, -1)
             removed[number] = np.cumsum(edges[:-1]) > 0
     return removed
 
 
+#: Smaller than any id.
+_BEFORE_ALL = -(2**63) - 1
 _UNKNOWN = object()
 
 
