@@ -19,7 +19,7 @@ _SHIPPED: set[str] = set()
 
 #: Rows of a batch that a worker gets. Spark's own 10,000 texts are held by the worker as
 #: Arrow, as Python objects and once more as results.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def ship_code(spark: SparkSession) -> None:
