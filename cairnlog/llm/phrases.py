@@ -308,9 +308,7 @@ def _spelled(documents: list[list[bytes]]) -> tuple[list[str], int]:
     rest = numbers.astype("u8")
     for place in range(width):
         rest, codes[:, place] = np.divmod(rest, np.uint64(LETTERS))
-    # Code points from 1 without the surrogates, which are no characters.
-    codes += np.where(codes + 1 < 0xD800, 1, 0x801).astype("<u4")
-    text = codes.tobytes().decode("utf-32-le")
+    text = (codes + np.uint32(1)).tobytes().decode("utf-32-le")
     ends = np.cumsum([len(words) for words in documents]) * width
     return [text[end - len(words) * width : end] for words, end in zip(documents, ends.tolist())], width
 

@@ -5,20 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words remembered by one Python worker; beyond it, it starts anew.
-REMEMBERED = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text in UTF-8: runs without space, tab, line feed, \\v, \\f or \\r."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -30,10 +19,8 @@ def lowered_words(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_HASHES) > REMEMBERED:
-        _HASHES.clear()
-    hashes = _HASHES
-    return np.array([hashes[word] for word in words], "u8")
+    # Looking a word up costs as much as hashing it, and a worker would keep the words.
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from array import array
 import numpy as np
 
 #: Pieces that one Python worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 _RARE_SPACE = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
