@@ -1,4 +1,4 @@
-"""What Python workers need: the library's own code, and batches of a fair size.
+"""What Python workers need: the library's own code, batches of a fair size, and tidiness.
 
 Functions that run in tasks import this package there. A cluster whose executors do not
 have it installed gets it as a zip file through Spark, once per application.
@@ -6,8 +6,10 @@ have it installed gets it as a zip file through Spark, once per application.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,3 +41,27 @@ def ship_code(spark: SparkSession) -> None:
     write_bytes(address, packed.getvalue())
     context.addPyFile(address)
     _SHIPPED.add(context.applicationId)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives unused memory back to the system when it is done.
+
+    Spark keeps workers for later tasks; what allocators hold back for them adds up over
+    a job of many stages.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc
