@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .frames import fresh_name, squeezed, unsqueezed
 from .shingles import mix
-from .shipping import ship_code
+from .shipping import ship_code, tidied
 
 #: Lines under the rolling hash.
 ROLLED = 2
@@ -125,7 +125,7 @@ def repeated_chunks(
             ]
             yield pd.DataFrame(out, columns=["id", "text_hash", "first_line", "n_lines", "hi", "lo"])
 
-    found = rows.select("id", "text_hash", "text").mapInPandas(digest, f"{_PLACE}, hi long, lo long")
+    found = rows.select("id", "text_hash", "text").mapInPandas(tidied(digest), f"{_PLACE}, hi long, lo long")
     place = F.struct("id", "first_line")
     first = (
         found.groupBy("hi", "lo")
@@ -162,7 +162,7 @@ def repeated_chunks(
             )
 
     texts = with_text.mapInPandas(
-        cut, f"{_PLACE}, hi long, lo long, chunk binary, before binary, after binary"
+        tidied(cut), f"{_PLACE}, hi long, lo long, chunk binary, before binary, after binary"
     )
     # Equal bytes under one digest: the smallest place of each is the one that stays.
     stays = texts.groupBy("hi", "lo", "chunk").agg(
@@ -185,7 +185,7 @@ def repeated_chunks(
             out["n_before"], out["n_after"] = shared[:, 0], shared[:, 1]
             yield out
 
-    return sides.mapInPandas(grow, f"{_PLACE}, n_before int, n_after int")
+    return sides.mapInPandas(tidied(grow), f"{_PLACE}, n_before int, n_after int")
 
 
 def without_lines(text: str | None, ranges: list[tuple[int, int]]) -> tuple[str | None, int, int]:

@@ -26,7 +26,7 @@ from cairnlog.plans.durable import materialise
 
 from .components import connected_components
 from .shingles import lowered_words, mix, shingle_set
-from .shipping import ship_code
+from .shipping import ship_code, tidied
 
 SHINGLE_WORDS = 5
 #: Hash functions; each gives a minimum and a maximum.
@@ -92,7 +92,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
             )
 
     return materialise(
-        rows.mapInPandas(sign, "id long, n_shingles long, digest binary, bands array<long>"),
+        rows.mapInPandas(tidied(sign), "id long, n_shingles long, digest binary, bands array<long>"),
         "signatures",
     )
 
@@ -135,7 +135,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     found.append((int(a), b))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return materialise(together.mapInPandas(compare, "a long, b long"), "near-links")
+    return materialise(together.mapInPandas(tidied(compare), "a long, b long"), "near-links")
 
 
 def near_duplicates(
@@ -213,7 +213,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             sets = [shingle_set(lowered_words(text), SHINGLE_WORDS).tobytes() for text in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "shingles": sets})
 
-    return rows.mapInPandas(build, "id long, shingles binary")
+    return rows.mapInPandas(tidied(build), "id long, shingles binary")
 
 
 def _with_members(pairs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cairnlog.plans.durable import materialise
 
-from .shipping import ship_code
+from .shipping import ship_code, tidied
 from .tokenizer import encoder
 
 CAPACITY = 2048
@@ -64,7 +64,7 @@ def tokenize_pieces(
             frame.insert(0, "id", batch["id"].take(places).reset_index(drop=True))
             yield frame
 
-    cut = rows.mapInPandas(pieces, f"id {kind}, piece int, start long, length long, ids binary")
+    cut = rows.mapInPandas(tidied(pieces), f"id {kind}, piece int, start long, length long, ids binary")
     stored = materialise(cut.withColumn("item_id", F.monotonically_increasing_id()), "token-pieces")
     return stored.withColumnRenamed("id", id_column)
 
@@ -130,7 +130,7 @@ def _pack_round(items: DataFrame, partitions: int, capacity: int) -> DataFrame:
             )
 
     dealt = items.withColumn("tie", F.xxhash64(F.col("ids")[0])).repartition(partitions, "tie")
-    return dealt.mapInPandas(pack, _BINS)
+    return dealt.mapInPandas(tidied(pack), _BINS)
 
 
 def assign_sequences(

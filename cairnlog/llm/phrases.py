@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from cairnlog.plans.durable import materialise
 
 from .shingles import run_hashes
-from .shipping import ship_code
+from .shipping import ship_code, tidied
 
 WINDOW = 13
 SEED = 5
@@ -110,7 +110,7 @@ def _dealt(documents: DataFrame) -> DataFrame:
             yield close()
 
     kind = "shard long, n_bytes long, ids binary, named binary, sizes array<int>, texts binary"
-    return materialise(documents.mapInPandas(deal, kind), "phrase-shards")
+    return materialise(documents.mapInPandas(tidied(deal), kind), "phrase-shards")
 
 
 _SHARD = ("shard", "n_bytes", "ids", "named", "sizes", "texts")
@@ -212,7 +212,7 @@ def _repeated_seeds(shards: DataFrame, ranges: int) -> DataFrame:
         out = [(shard, seeds[order[own]].tobytes()) for shard, own in _by_row(part["shard"], asked[order])]
         return pd.DataFrame(out, columns=["shard", "seeds"])
 
-    asked = shards.mapInPandas(ask, "range int, shard long, seeds binary")
+    asked = shards.mapInPandas(tidied(ask), "range int, shard long, seeds binary")
     return asked.groupBy("range").applyInPandas(answer, "shard long, seeds binary")
 
 
@@ -292,7 +292,7 @@ def _confirmed(shards: DataFrame, seeds: DataFrame, ranges: int) -> DataFrame:
 
     known = seeds.groupBy("shard").agg(F.collect_list("seeds").alias("seeds"))
     asking = shards.join(known, "shard", "left").select(*_SHARD, "seeds")
-    return asking.mapInPandas(ask, _REQUESTS).groupBy("range").applyInPandas(answer, _ANSWERS)
+    return asking.mapInPandas(tidied(ask), _REQUESTS).groupBy("range").applyInPandas(answer, _ANSWERS)
 
 
 def _spelled(documents: list[list[bytes]]) -> tuple[list[str], int]:
@@ -436,6 +436,6 @@ def remove_repeated_passages(
                 )
 
     located = marked.mapInPandas(
-        locate, "id long, n_words long, n_removed long, n_passages long, kept string"
+        tidied(locate), "id long, n_words long, n_removed long, n_passages long, kept string"
     )
     return located.withColumnRenamed("id", id_column)

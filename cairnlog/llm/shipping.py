@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cairnlog.plans.shipping import ship_code
+from cairnlog.plans.shipping import ship_code, tidied
 
-__all__ = ["ship_code"]
+__all__ = ["ship_code", "tidied"]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from cairnlog.plans.durable import materialise
 from cairnlog.plans.prefix import running_totals
 
-from .shipping import ship_code
+from .shipping import ship_code, tidied
 from .storage import attempt_name, new_folder, read_bytes, write_bytes
 from .tokenizer import encoder
 
@@ -210,7 +210,7 @@ def write_token_files(
         if parts:
             yield close()
 
-    ordered.mapInPandas(write, _MANIFEST).write.parquet(f"{folder}/files")
+    ordered.mapInPandas(tidied(write), _MANIFEST).write.parquet(f"{folder}/files")
     return spark.read.parquet(f"{folder}/files")
 
 
