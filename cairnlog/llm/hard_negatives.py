@@ -195,7 +195,7 @@ class Block:
 def _stored_rows(
     table: DataFrame, is_anchor: Column, scale: int, columns: tuple[str, str, str]
 ) -> tuple[DataFrame, int, int]:
-    """Rows with norm, angles and task, stored; the vectors' length; the number of tasks."""
+    """Rows with norm, angles and task, stored; the vectors' length; tasks are numbered below the third value."""
     id_column, vector_column, label_column = columns
     named = table.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
     asked = named.withColumn(label_column, F.struct(F.col(label_column).cast("string").alias("label"),
@@ -253,7 +253,10 @@ def _stored_rows(
         F.monotonically_increasing_id().alias("place"),
         "row", "id", "label", "anchor", "q", "norm", "angles",
     )
-    return materialise(stored, "measured-vectors"), width, tasks
+    kept = materialise(stored, "measured-vectors")
+    # The session may have dealt the rows to another number of partitions than asked for.
+    last = kept.agg(F.max("task")).first()[0]
+    return kept, width, 1 if last is None else last + 1
 
 
 def _everywhere(anchors: DataFrame, tasks: int) -> DataFrame:

@@ -168,6 +168,15 @@ def test_anchors_go_where_negatives_can_be(spark, monkeypatch):
     assert sent[0][1] >= 32 * 8 and sent[0][0] < sent[0][1] / 2
 
 
+def test_negatives_with_more_partitions_than_asked_for(spark, monkeypatch):
+    kind = type(frame(spark, []))
+    ranged = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, count, *by: ranged(self, max(count, 37), *by))
+    rows = vector_rows()
+    mined = hard_negatives.mine_hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0)
+    assert sorted(map(tuple, mined.collect())) == sorted(plain_negatives(rows))
+
+
 def test_negatives_of_empty_tables(spark):
     for rows in ([], [(0, None, 1)], [(0, [1.0], None)], [(0, [1.0], 1)], [(0, [0.0] * 3, 1), (1, [0.0] * 3, 1)]):
         mined = hard_negatives.mine_hard_negatives(frame(spark, rows), F.col("vec_id") == 0)
