@@ -20,8 +20,9 @@ from .ingest import _columns, _mixed_sql
 from .vectors import OVERLAP, SIZE, _chunks
 from .views import Tables, sql
 
-#: Lines of one log file.
+#: Lines of one log file, and rows of one result file.
 LINES = 400
+RESULT_ROWS = 50_000
 
 
 def _written(files: DataFrame, label: str) -> str:
@@ -145,8 +146,10 @@ def _results_of_many_files(t: Tables) -> DataFrame:
         rows.where("embeddings").select(*reversed(rows.columns)).withColumn("note", F.lit("n")),
         rows.where("not embeddings").select("question_id", "correct", "config_name", "tokens_total", "time_seconds"),
     )
+    # A file whose cells hold line ends is read by one task, so files stay of one size.
+    files = max(7, -(-rows.count() // (2 * RESULT_ROWS)))
     for number, half in enumerate(halves):
-        half.repartition(7).write.csv(f"{folder}/{number}", header=True, escape='"')
+        half.repartition(files).write.csv(f"{folder}/{number}", header=True, escape='"')
     return ev.read_results(t.spark, [f"{folder}/0", f"{folder}/1"])
 
 

@@ -245,6 +245,22 @@ def test_results_of_many_files_are_one_scan(spark, tmp_path):
         assert row["correct"] == (True if i % 3 < 2 else None) and row["note"] == (f"a\n{i}" if i % 3 == 1 else None)
 
 
+def test_results_are_parsed_as_wide_as_their_headers(spark, tmp_path):
+    def read(name, text):
+        (tmp_path / name).write_text(text)
+        return ev.read_results(spark, [str(tmp_path / "a.csv"), str(tmp_path / name)]).collect()
+
+    (tmp_path / "a.csv").write_text("question_id,note\nq1,x,too many\nq2\n")
+    assert ev._header_width(spark, [str(tmp_path / "a.csv")]) == 2
+    found = read("b.csv", '\n  \n"a,b",correct,question_id\n1,true,"q\n3"\n')
+    assert ev._header_width(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]) == 4
+    assert len(found) >= 3
+    found = read("c.csv", '"two\nlines",question_id,z\n7,q4,8\n')
+    assert ev._header_width(spark, [str(tmp_path / "c.csv")]) == ev.MAX_COLUMNS
+    assert sorted((r["question_id"], r["note"], r["two\nlines"], r["z"]) for r in found) == [
+        ("q1", "x", None, None), ("q2", None, None, None), ("q4", None, "7", "8")]
+
+
 def test_long_sessions_are_read_by_several_tasks(spark, tmp_path):
     (tmp_path / "blk_1.log").write_text("".join(f"line {i}\n" for i in range(300_000)))
     (tmp_path / "blk_-2.log").write_text("one\ntwo")
