@@ -23,6 +23,8 @@ from .views import Tables, sql
 #: Lines of one log file, and rows of one result file.
 LINES = 400
 RESULT_ROWS = 50_000
+#: Folders over which the files of sessions are dealt.
+SESSION_FOLDERS = 256
 
 
 def _written(files: DataFrame, label: str) -> str:
@@ -83,10 +85,14 @@ register(
 
 
 def _session_files(t: Tables) -> str:
+    """A pattern of folders: no folder has all files."""
     keyed = t.view("v_hdfs").select(
         "line_no", F.col("raw_line").alias("value"), F.regexp_extract("raw_line", r"blk_-?\d+", 0).alias("id")
     )
-    return _joined(keyed, F.concat("id", F.lit(".log")), "session-files")
+    folder = F.pmod(F.xxhash64("id"), F.lit(SESSION_FOLDERS)).cast("string")
+    # Lines without an id go to a file that is no session's.
+    name = F.coalesce(F.concat("id", F.lit(".log")), F.lit("None"))
+    return _joined(keyed, F.concat(folder, F.lit("/"), name), "session-files") + "/*"
 
 
 _BLOCKS = r"SELECT *, regexp_extract(raw_line, 'blk_-?\d+') AS block_id FROM v_hdfs"

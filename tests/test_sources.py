@@ -215,6 +215,35 @@ def test_labels_and_sessions(spark, tmp_path):
     assert tuple(ev.read_session_files(spark, str(sessions)).head()) == ("blk_-5", "one\ntwo")
 
 
+def test_sessions_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Same rows as by Spark's own readers, which list all files in the driver."""
+    texts = {"1/blk_1.log": b"\xef\xbb\xbfone\r\ntwo\rthree\n\n", "1/blk_-2.log": b"", "2/b [3]%20é+,;.log": b" \xff x\n",
+             "2/_4.log": b"hidden", "2/.5.log": b"hidden", "2/blk_6.txt": b"other", "1/sub/blk_7.log": b"deeper",
+             "2/blk_8.log": b"\n".join(b"line %d" % i for i in range(4_000))}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    monkeypatch.setattr(ev, "WHOLE_BYTES", 20_000)
+    monkeypatch.setattr(ev, "BATCH_ROWS", 3)
+
+    def found(path):
+        files = ev.read_session_files(spark, path).withColumn("logs", F.hex("logs"))
+        return sorted(map(tuple, files.collect())), sorted(map(tuple, ev.read_session_lines(spark, path).collect()))
+
+    (tmp_path / "None").write_text("no session's")
+    ours = [found(str(tmp_path / folder)) for folder in ("1", "2")]
+    assert found(f"{tmp_path}/*") == tuple(sorted(a + b) for a, b in zip(*ours))
+    assert len(ours[1][0]) == 2 and len(ours[1][1]) == 4_001
+    plan = ev.read_session_files(spark, str(tmp_path / "1"))
+    assert plan.inputFiles() and not any(name.endswith(".log") for name in plan.inputFiles())
+    monkeypatch.setattr(ev, "opens", lambda address: False)
+    assert [found(str(tmp_path / folder)) for folder in ("1", "2")] == ours
+    (tmp_path / "3" / "day=1").mkdir(parents=True)
+    (tmp_path / "3" / "day=1" / "blk_9.log").write_text("x")
+    monkeypatch.undo()
+    assert found(str(tmp_path / "3")) == ([("blk_9", "78")], [("blk_9", 1, "x")])
+
+
 def test_results_round_trip(spark, tmp_path):
     row = {name: None for name in schemas.RESULT_COLUMNS}
     row |= {"config_name": "c", "correct": True, "time_seconds": 1.5, "tokens_total": 3, "reason": 'a "b", c\nd'}
