@@ -49,13 +49,13 @@ def tokenize_pieces(
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path).encode
+        encode_all = encoder(tokenizer_path).encode_all
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             places: list[int] = []
             out: list[tuple[int, int, int, bytes]] = []
-            for place, text in enumerate(batch["text"]):
-                ids = encode(text) + end
+            for place, ids in enumerate(encode_all(batch["text"])):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     places.append(place)

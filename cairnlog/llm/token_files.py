@@ -178,7 +178,7 @@ def write_token_files(
     ordered = keyed.repartitionByRange("id", "digest").sortWithinPartitions("id", "digest", "text").drop("digest")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path).encode
+        encode_all = encoder(tokenizer_path).encode_all
         end = np.array([end_id], "<u4").tobytes()
         parts: list[bytes] = []
         owners: list[int] = []
@@ -199,8 +199,8 @@ def write_token_files(
 
         partition = TaskContext.get().partitionId()
         for batch in batches:
-            for owner, text in zip(batch["id"], batch["text"]):
-                part = encode(text) + end
+            for owner, ids in zip(batch["id"], encode_all(batch["text"])):
+                part = ids + end
                 parts.append(part)
                 owners.append(NULL_ID if pd.isna(owner) else int(owner))
                 waiting += len(part) // 4

@@ -2,9 +2,10 @@
 
 The library spends most of its time on words it has seen before. For pre-tokenizers of the
 two kinds below, texts of Latin letters, digits, ASCII punctuation, spaces and line feeds
-are cut into the pre-tokenizer's pieces by its own expression, written for these
-characters; pieces are remembered per Python worker, up to a bound, and only new ones go
-to the library's model. In other texts only the parts between single spaces that have
+are cut into the pre-tokenizer's pieces by its own rules, written for the bytes of these
+characters; many texts are cut at once and each of their different pieces is looked up
+once. Pieces are remembered per Python worker, up to a bound, and only new ones go to the
+library's model. In other texts only the parts between single spaces that have
 other characters go to the library, since neither pre-tokenizer looks across a space
 between two visible characters. Files with any other kind of pre-tokenizer are encoded
 text by text.
@@ -15,11 +16,15 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Pieces that one Python worker remembers in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
+#: Characters of texts that are cut at once; a longer text is cut alone.
+AT_ONCE = 500_000
 
 _RARE_SPACE = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -33,6 +38,49 @@ _SPACED_PIECES = re.compile(
 )
 _WORD_PIECES = re.compile(rf"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
+# Kinds of bytes in texts without other characters; every byte beyond ASCII is in a letter.
+_SPACE, _FEED, _EDGE, _LETTER, _DIGIT, _SIGN = range(6)
+_KINDS = np.full(256, _SIGN, "u1")
+_KINDS[[0x20, 0x0A, 0x00]] = _SPACE, _FEED, _EDGE
+_KINDS[[b for b in range(256) if b >= 0x80 or chr(b).isalpha()]] = _LETTER
+_KINDS[0x30:0x3A] = _DIGIT
+#: What may follow an apostrophe, by size.
+_ENDINGS = {
+    size: np.array([list(x[1:].encode()) for x in _SUFFIXES.split("|") if len(x) == size + 1], "u1")
+    for size in (1, 2)
+}
+
+
+def _starts(data: np.ndarray, spaced: bool) -> np.ndarray:
+    """Where pieces start in the bytes of texts that a zero byte follows each.
+
+    A zero byte is a piece. Where pieces have no spaces, one space is still put before
+    the piece that follows it, and the other spaces and line feeds are pieces.
+    """
+    kind = _KINDS[data]
+    blank = kind <= _FEED
+    changes = np.ones(len(data), bool)
+    np.not_equal(kind[1:], kind[:-1], out=changes[1:])
+    if not spaced:
+        changes |= kind == _DIGIT
+    starts = changes.copy()
+    # A space belongs to what is visible after it. Of several blanks the last is on its own.
+    led = (kind[:-1] == _SPACE) & (kind[1:] > _EDGE)
+    starts[1:] &= ~led
+    inner = blank[1:] & blank[:-1]
+    starts[1:] &= ~inner
+    starts[1:-1] |= inner[:-1] & (kind[2:] > _EDGE)
+    # An ending such as 's is a piece where a piece could start with its apostrophe.
+    at = np.flatnonzero(data == 0x27)
+    at = at[(starts if spaced else changes)[at]]
+    at = at[kind[at + 1] == _LETTER]
+    for size, endings in _ENDINGS.items():
+        near = data[np.minimum(at[:, None] + np.arange(1, size + 1), len(data) - 1)]
+        found = at[(near[:, None] == endings).all(axis=2).any(axis=1)]
+        starts[found + 1] = False
+        starts[found + 1 + size] = True
+    return np.flatnonzero(starts)
+
 
 def _byte_table() -> dict[int, str]:
     """Byte-level BPE writes bytes as visible characters: printable Latin-1 ones stay."""
@@ -84,6 +132,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
@@ -114,13 +163,59 @@ class TextEncoder:
         self.parts = _Remembered(self._part)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text."""
+        plain: list[str] = []
+        waiting: list[bytes | None] = []
+        size = 0
+        for text in texts:
+            if waiting and size + len(text or "") > AT_ONCE:
+                yield from self._filled(waiting, plain)
+                plain, waiting, size = [], [], 0
+            size += len(text or "")
+            if text and self.mode != "whole" and self._is_plain(text):
+                plain.append(text)
+                waiting.append(None)
+            else:
+                waiting.append(self._other(text) if text else b"")
+        yield from self._filled(waiting, plain)
+
+    def _filled(self, waiting: list[bytes | None], plain: list[str]) -> Iterator[bytes]:
+        """The list with the ids of plain texts in the places that are open."""
+        found = iter(self._plain_texts(plain) if plain else ())
+        for ids in waiting:
+            yield next(found) if ids is None else ids
+
+    def _plain_texts(self, texts: list[str]) -> Iterator[bytes]:
+        whole = "\0".join(texts) + "\0"
+        data = np.frombuffer((whole.lower() if self.mode == "words" else whole).encode(), "u1")
+        starts = _starts(data, self.mode == "spaced")
+        ends = np.append(starts, len(data))
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data))
+        coded = pieces.dictionary_encode()
+        which = coded.indices.to_numpy()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.mode == "words":
+            different = [piece.strip() for piece in different]
+        self.pieces = self.pieces.bounded()
+        ids = list(map(self.pieces.__getitem__, different))
+        sizes = np.fromiter(map(len, ids), "int64", len(ids)) // 4
+        known = np.frombuffer(b"".join(ids), "<u4")
+        own = sizes[which]
+        after = np.cumsum(own)
+        shift = (np.cumsum(sizes) - sizes)[which] - (after - own)
+        out = known[np.arange(after[-1]) + np.repeat(shift, own)]
+        at = 0
+        for end in after[data[starts] == 0].tolist():
+            yield out[at:end].tobytes()
+            at = end
+
+    def _other(self, text: str) -> bytes:
         if self.mode == "whole":
             return self._library(text)
         self.pieces = self.pieces.bounded()
-        if self._is_plain(text):
-            return self._plain(text)
         self.parts = self.parts.bounded()
         if self.mode == "words":
             return b"".join([self.parts[part] for part in text.replace("\n", " ").split(" ")])
@@ -146,12 +241,14 @@ class TextEncoder:
         return self._plain(part) if self._is_plain(part) else self._library(part)
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of one piece, by the library's model."""
+        """Ids of one piece, by the library's model; the end of a text has none."""
+        if piece == "\0":
+            return b""
         if piece.isascii():
             visible = piece.replace(" ", self.table[0x20]).replace("\n", self.table[0x0A])
         else:
             visible = piece.encode().decode("latin-1").translate(self.table)
-        return array("I", [token.id for token in self.tokenizer.model.tokenize(visible)]).tobytes()
+        return array("I", [token.id for token in self.tokenize(visible)]).tobytes()
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

@@ -41,6 +41,37 @@ def test_chunks_give_the_ids_of_the_whole_text(name, monkeypatch):
         assert np.frombuffer(encode(text), "<u4").tolist() == plain_ids(name, text)
 
 
+@pytest.mark.parametrize("at_once", [1, 60, 500_000])
+@pytest.mark.parametrize("name", FILES)
+def test_many_texts_at_once(name, at_once, monkeypatch):
+    monkeypatch.setattr(tokenizer, "AT_ONCE", at_once)
+    rng = random.Random(9)
+    pieces = [*"ab Zßé \n 19.,'", "'s", "'re", "'LL", "''", "'ve ", " 't", "\n\n", "  ", "word", "日"]
+    weights = [*[4] * (len(pieces) - 1), 0.1]
+    texts = ["".join(rng.choices(pieces, weights, k=rng.randrange(20))) for _ in range(3_000)]
+    texts[::100] = [None] * 30
+    texts[50::100] = ["a\0b", "<|endoftext|>", "\0"] * 10
+    found = tokenizer.TextEncoder(tokenizer_file(name)).encode_all(texts)
+    for text, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain_ids(name, text), repr(text)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_repeated_pieces_are_looked_up_once(name, monkeypatch):
+    """CPU goes with different pieces of many texts, not with each place of a piece."""
+    asked = []
+
+    class Asked(tokenizer._Remembered):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(tokenizer, "_Remembered", Asked)
+    made = tokenizer.TextEncoder(tokenizer_file(name))
+    assert len(list(made.encode_all(["One word, another word's\n"] * 500))) == 500
+    assert len(asked) <= 10
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=3000), st.randoms())
 @settings(max_examples=40, deadline=None)
 def test_blocks_round_trip(values, rng):
